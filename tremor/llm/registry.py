@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = (
     "mixing",
     "secret_scan",
+    "topk_index",
 )
 
 
