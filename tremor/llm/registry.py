@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "mixing",
+    "prefix_fingerprint",
     "secret_scan",
     "topk_index",
 )
