@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
+    "language_id",
     "mixing",
     "prefix_fingerprint",
     "secret_scan",
