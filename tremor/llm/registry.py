@@ -13,6 +13,7 @@ MODULES = (
     "prefix_fingerprint",
     "secret_scan",
     "topk_index",
+    "toxicity",
 )
 
 
