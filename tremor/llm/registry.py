@@ -11,6 +11,7 @@ MODULES = (
     "language_id",
     "mixing",
     "prefix_fingerprint",
+    "repeat_spans",
     "secret_scan",
     "topk_index",
     "toxicity",
