@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = (
     "language_id",
     "mixing",
+    "ngram_jaccard",
     "prefix_fingerprint",
     "repeat_spans",
     "secret_scan",
