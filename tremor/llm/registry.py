@@ -12,8 +12,10 @@ MODULES = (
     "mixing",
     "ngram_jaccard",
     "prefix_fingerprint",
+    "quote_linking",
     "repeat_spans",
     "secret_scan",
+    "sequence_packing",
     "topk_index",
     "toxicity",
 )
