@@ -32,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Rolling, batches, buffers, chunks, mix64, release, stage, table
@@ -217,7 +217,7 @@ def _sets(part: pa.RecordBatch, i: int, j: int, owner: np.ndarray, h: np.ndarray
     return {"node": part.column(0).slice(i, j - i), "items": lists}
 
 
-def _node() -> F.Column:
+def _node() -> Column:
     return F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
 
 
@@ -243,10 +243,14 @@ def _prefixed(classes: DataFrame, p: str) -> DataFrame:
     return classes.select(F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("n", "s0", "s1", "s2", "s3")))
 
 
+def _row_key() -> list[Column]:
+    return [F.coalesce("doc_id", F.lit(-1)).cast("long").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")]
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id; also its class, the hash of its set, and k and t, which name its row."""
+    """Per document: doc_id, n_shingles, component_id; also root, which names the component, and k and t, which name the row."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(-1)).cast("long").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row_key(), F.coalesce("text", F.lit("")).alias("text"))
     kinds = "doc_id long, k long, t long, n long, h1 long, h2 long, s0 long, s1 long, s2 long, s3 long"
     base = stage(texts.mapInArrow(_each(n, _describe), kinds), "jaccard-base")
     keep = [F.first(c).alias(c) for c in ("k", "t", "n", "s0", "s1", "s2", "s3")]
@@ -279,13 +283,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     rooted = classes.select("h1", "h2", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(rooted.join(least, "root").select("h1", "h2", "component_id"), "jaccard-named")
+    named = stage(rooted.join(least, "root").select("h1", "h2", "root", "component_id"), "jaccard-named")
     found = base.where("n > 0").join(named, ["h1", "h2"])
-    alone = base.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    cols = [F.col("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.concat(F.hex("h1"), F.lit("-"), F.hex("h2")).alias("class"), "k", "t"]
+    alone = base.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("string"))
+    cols = [F.col("doc_id"), F.col("n").alias("n_shingles"), "component_id", "root", "k", "t"]
     return found.select(*cols).unionByName(alone.select(*cols))
 
 
+def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each component, the one with the least id, with all its columns; rows without words all stay."""
+    found = jaccard_components(docs, n, num, den)
+    heads = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "k", "t")).alias("m"))
+    kept = heads.select("m.k", "m.t", F.lit(False).alias("alone")).union(found.where("root is null").select("k", "t", F.lit(True).alias("alone")).distinct())
+    keyed = docs.select("*", *(c.alias(f"near_{x}") for c, x in zip(_row_key(), "kt", strict=True)))
+    kept = stage(kept.toDF("near_k", "near_t", "near_alone"), "jaccard-kept")
+    place = F.row_number().over(Window.partitionBy("near_k", "near_t").orderBy("near_alone"))
+    return keyed.join(kept, ["near_k", "near_t"]).withColumn("near_place", place).where("near_alone or near_place = 1").select(*docs.columns)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id")

@@ -148,8 +148,11 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_l
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", min_log2: float = MIN_LOG2) -> DataFrame:
-    """The same rows and columns, each text with its spans replaced; overlapping spans become one mark."""
+def redact_secrets(docs: DataFrame, text: str = "text", count: str = "n_chars", mark: str = "[SECRET]", min_log2: float = MIN_LOG2) -> DataFrame:
+    """The same rows and columns, each text with its spans replaced; overlapping spans become one mark.
+
+    A column ``count``, if there is one, changes by as much as the text's length does.
+    """
 
     def clean(x: str | None) -> str | None:
         spans = find_spans(x, min_log2)
@@ -163,11 +166,18 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]",
         return "".join([*out, x[at:]])
 
     place = docs.columns.index(text)
+    counted = docs.columns.index(count) if count in docs.columns else -1
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            new = pa.array([clean(x) for x in part.column(place).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(part.columns)], names=part.schema.names)
+            old = part.column(place).to_pylist()
+            new = [clean(x) for x in old]
+            cols = list(part.columns)
+            cols[place] = pa.array(new, pa.string())
+            if counted >= 0:
+                sizes = zip(part.column(counted).to_pylist(), old, new, strict=True)
+                cols[counted] = pa.array([n if n is None or a is b else n + len(b) - len(a) for n, a, b in sizes], cols[counted].type)
+            yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 
