@@ -1,15 +1,28 @@
 """Corpus pipeline: from raw documents to packed training sequences.
 
 STAGES run in order; each takes (spark, docs, sf_dir), is written as Parquet below the
-shared folder and is read again as the documents of the next one.
+shared folder and is read again as the documents of the next one. All but the last return
+the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tremor.llm import secret_scan
-from tremor.llm.common import stage, table
+from tremor.llm import mixing, ngram_jaccard, secret_scan, sequence_packing, toxicity
+from tremor.llm.common import crc_mod, stage, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it learns from four of five labels."""
+    labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0)
+    return toxicity.drop_toxic(docs, labels)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, Jaccard 0.8 or more."""
+    return ngram_jaccard.drop_near_copies(docs, n=5, num=80, den=100)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,10 +30,25 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return secret_scan.redact_secrets(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: 0, 1 or 2 times."""
+    return mixing.mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document with its place in a sequence."""
+    return sequence_packing.pack_documents(docs)
+
+
 STAGES = [
+    ("drop_toxic", drop_toxic),
+    ("drop_near_copies", drop_near_copies),
     ("redact_secrets", redact_secrets),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
 ]
 
+#: The model, the draws and the packing are not SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
