@@ -1 +1 @@
-"""functions."""
+"""Scalar functions as Column expressions; none of them runs Python on executors."""
