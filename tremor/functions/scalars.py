@@ -15,8 +15,8 @@ PROFILES: dict[str, dict[str, float]] = {
 HIGH, MEDIUM = 0.8, 0.5
 CONSENSUS = 0.05
 DEFAULT_CONFIDENCE = 0.6
-# Score of an error text's category, first hit wins.
-ERROR_RULES = (("timeout", "timeout"), ("rate limit", "rate_limit"), ("context", "context_length"), ("execution failed", "execution_failed"))
+# An error text's category, first hit wins.
+ERROR_RULES = (("Failed to set up repository", "Repository Setup"), ("Execution failed", "Execution Failed"))
 
 
 def profile(name: str | None) -> dict[str, float]:
@@ -212,7 +212,13 @@ def impact_level(score: Column) -> Column:
 
 
 def recommendation(high: Column, total: Column) -> Column:
-    return F.when(total == 0, "no impacted tests").when(high > 10, "high impact: run the full suite").when(high > 0, "run all high-impact tests first").otherwise("run the impacted tests")
+    """Advice by the number of tests that score HIGH or more."""
+    return (
+        F.when(total == 0, "No tests impacted. Safe to proceed, but consider adding tests.")
+        .when(high == 0, "Low impact detected. Run all tests to be safe.")
+        .when(high <= 10, F.concat(F.lit("Run "), high.cast("string"), F.lit(" high-impact tests before committing.")))
+        .otherwise(F.concat(F.lit("High impact: "), high.cast("string"), F.lit(" tests affected. Run full test suite.")))
+    )
 
 
 def scaled(x: Column, factor: float = 1e6) -> Column:
@@ -242,9 +248,9 @@ def eval_workers(cpus: Column, memory_gb: Column, per_worker_gb: float = 4.0, re
 def error_category(error: Column) -> Column:
     out = None
     for needle, name in ERROR_RULES:
-        hit = F.contains(F.lower(error), F.lit(needle))
+        hit = F.contains(error, F.lit(needle))
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    return F.when(error.isNull() | (F.length(error) == 0), F.lit(None).cast("string")).otherwise(out.otherwise("other"))
+    return F.when(error.isNull() | (F.length(error) == 0), F.lit(None).cast("string")).otherwise(out.otherwise("Other"))
 
 
 def file_stamp(name: Column) -> Column:
