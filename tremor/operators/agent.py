@@ -185,11 +185,18 @@ def reliability(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.min("confidence").alias("confidence"), F.bool_and("reliable").alias("reliable"))
 
 
-def graph_guard(mode: str, indexed: Column, unavailable: Column, useful: Column) -> Column:
-    """Whether an attempt may go on: 'off' always; 'either' needs an indexed search or a useful signal; 'both' needs both; an unavailable signal passes 'either'."""
-    if mode == "off":
-        return F.lit(True)
-    return (indexed & useful) if mode == "both" else (indexed | useful | unavailable)
+def graph_guard(mode: str, indexed: Column, test_changed: Column) -> Column:
+    """Empty where an attempt may go on, else why not, by mode: either, both or indexed_only."""
+    mode = mode if mode in ("either", "both", "indexed_only") else "either"
+    missing = F.array_join(F.filter(F.array(F.when(~indexed, "indexed_search_missing"), F.when(~test_changed, "unit_test_change_missing")), lambda x: x.isNotNull()), ",")
+    if mode == "indexed_only":
+        return F.when(indexed, "").otherwise("graph_guard_indexed_only_failed:indexed_search_missing")
+    passed = indexed & test_changed if mode == "both" else indexed | test_changed
+    return F.when(passed, "").otherwise(F.concat(F.lit(f"graph_guard_{mode}_failed:"), missing))
+
+
+def guard_shape(indexed: Column, test_changed: Column) -> Column:
+    return F.when(indexed & test_changed, "both").when(indexed, "either_indexed").when(test_changed, "either_test_change").otherwise("none")
 
 
 def evidence_missing(checks: dict[str, Column]) -> Column:
