@@ -109,7 +109,7 @@ def mix_items(sizes: DataFrame, seed: int = 0, **how) -> DataFrame:
         .select(F.col("doc_id").cast("long"), F.col("size").cast("long"), "src", "rows", base.alias("base"), F.greatest(wanted - base, F.lit(0.0)).alias("p"))
     )
     items = stage(items.withColumn("p", F.when((F.col("size") > 0) & (F.col("p") >= EPS), F.col("p")).otherwise(0.0)), "mix-items")
-    counts = items.where("p > 0").groupBy("src").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    counts = stage(items.where("p > 0").groupBy("src").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "mix-blocks")
     most = items.where("p > 0").groupBy("src").count().agg(F.max("count")).first()[0] or 0
 
     fixed = items.where("p = 0").select("src", "doc_id", "size", "rows", F.col("base").alias("copies"))
