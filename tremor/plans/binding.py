@@ -104,6 +104,34 @@ class Tables:
     def runs(self) -> DataFrame:
         return self.read("events").select(F.col("event_id").alias("run_id"), F.col("user_id").alias("instance"), "ts", F.col("event_type").alias("status"), "value", "props")
 
+    @cached_property
+    def symbols(self) -> DataFrame:
+        """Functions with classes for every third and names that a few of them share."""
+        f = self.functions.withColumn("name", F.concat_ws("_", "name", (F.col("id") % 7).cast("string")))
+        module = F.regexp_replace(F.regexp_replace("file_path", r"\.py$", ""), "/", ".")
+        f = f.withColumn("module_name", module).withColumn("class_name", F.when(F.col("id") % 3 == 0, F.concat(F.lit("C"), F.col("id") % 11)))
+        return f.withColumn("qualified_name", F.concat_ws(".", "module_name", "class_name", "name"))
+
+    @cached_property
+    def call_refs(self) -> DataFrame:
+        """Calls by text (caller, called, seq, caller_module, caller_class): bare, dotted, by class or on self."""
+        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+        rows = self.read("lineitem").where("l_orderkey % 40 = 0").select("l_orderkey", F.col("l_partkey").alias("caller"), F.lead("l_partkey").over(w).alias("callee"), "l_linenumber").where("callee is not null")
+        a = self.symbols.select(F.col("id").alias("caller"), F.col("module_name").alias("caller_module"), F.col("class_name").alias("caller_class"))
+        b = self.symbols.select(F.col("id").alias("callee"), "name", "class_name", "qualified_name")
+        k = F.floor(F.col("l_orderkey") / 40) % 4
+        called = F.when(k == 0, F.col("name")).when(k == 1, F.col("qualified_name")).when(k == 2, F.concat(F.lit("self."), "name")).otherwise(F.concat_ws(".", F.coalesce("class_name", F.lit("mod")), "name"))
+        return rows.join(a, "caller").join(b, "callee").select("caller", called.alias("called"), (F.col("l_orderkey") * 1000 + F.col("callee")).alias("seq"), "caller_module", "caller_class").distinct()
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        """Customers as classes by nation and segment, with the base they name."""
+        c = self.read("customer").join(self.read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        name = F.concat(F.lower("c_mktsegment"), F.lit("_"), F.col("c_custkey") % 40)
+        base = F.concat(F.lower("c_mktsegment"), F.lit("_"), F.col("c_custkey") % 37)
+        module = F.concat(F.lit("m"), F.col("c_nationkey") % 5)
+        return c.select(F.col("c_custkey").alias("id"), name.alias("name"), module.alias("module_name"), F.when(F.col("c_custkey") % 2 == 0, base).otherwise(F.concat_ws(".", F.concat(F.lit("m"), F.col("c_custkey") % 5), base)).alias("base"))
+
     @cached_property
     def graph(self) -> dict[str, DataFrame]:
         return {"function": self.functions, "test": self.tests, "tests": self.test_links, "calls": self.calls, "imports": self.test_imports, "depends_on": self.depends}
@@ -150,6 +178,15 @@ _VIEWS = {
     "paths": "SELECT *, 1 AS depth FROM path1 UNION ALL SELECT *, 2 FROM path2 UNION ALL SELECT *, 3 FROM path3",
     "transitive": """SELECT l.src AS test_id, s.file_path AS target_file, max(l.link_confidence * p.confidence / p.depth) AS confidence
         FROM test_links l JOIN paths p ON p.start = l.dst JOIN seeds s ON s.id = p.seed GROUP BY ALL""",
+    "symbols": """SELECT * , module_name || '.' || coalesce(class_name || '.', '') || name AS qualified_name FROM (
+        SELECT id, name || '_' || (id % 7) AS name, file_path, start_line, end_line, replace(regexp_replace(file_path, '\\.py$', ''), '/', '.') AS module_name,
+        CASE WHEN id % 3 = 0 THEN 'C' || (id % 11) END AS class_name FROM functions)""",
+    "call_refs": """SELECT DISTINCT caller, CASE (l_orderkey // 40) % 4 WHEN 0 THEN b.name WHEN 1 THEN b.qualified_name WHEN 2 THEN 'self.' || b.name ELSE coalesce(b.class_name, 'mod') || '.' || b.name END AS called,
+        l_orderkey * 1000 + callee AS seq, a.module_name AS caller_module, a.class_name AS caller_class
+        FROM (SELECT l_orderkey, l_partkey AS caller, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS callee FROM lineitem WHERE l_orderkey % 40 = 0) r
+        JOIN symbols a ON a.id = caller JOIN symbols b ON b.id = callee""",
+    "classes": """SELECT c_custkey AS id, lower(c_mktsegment) || '_' || (c_custkey % 40) AS name, 'm' || (c_nationkey % 5) AS module_name,
+        CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'm' || (c_custkey % 5) || '.' END || lower(c_mktsegment) || '_' || (c_custkey % 37) AS base FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "line_counts": "SELECT file_path AS target_file, count(DISTINCT line) AS lines FROM changed_lines GROUP BY ALL",
 }
 
