@@ -1 +1 @@
-"""streaming."""
+"""Continuous refresh of the graph's tables."""
