@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 DEFAULT_SHARED = "/tmp/checkpoints"
 #: Text bytes that a numpy kernel takes at once; one longer text is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Texts that a Python kernel takes out of a record batch at once.
+CHUNK_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +95,12 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def slices(part: pa.RecordBatch, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """A record batch in smaller ones, so that Python objects of a few texts exist at a time."""
+    for i in range(0, part.num_rows, rows):
+        yield part.slice(i, rows)
+
+
 def batches(tables: Iterable[dict[str, np.ndarray | pa.Array]]) -> Iterator[pa.RecordBatch]:
     """Record batches from dicts of equally long arrays; empty ones are left out."""
     for t in tables:

@@ -13,8 +13,8 @@ only suffixes in groups that are still shared go on:
    repeated as a whole, and need no further order.
 3. Of what is left, one run of each content is ordered by the remaining bytes, PASS_BYTES
    at a time, suffix by suffix; groups of one drop out after each pass. A digit with up to
-   FEW contents is sorted inside a task; the suffixes of a more frequent one are grouped
-   by a 128-bit hash of their WIDTH bytes across tasks, as many rows as there are suffixes.
+   FEW contents is sorted inside a task; a more frequent one is sorted across tasks, in
+   blocks of neighbouring suffixes that get finer where they stay undecided.
 
 Digits are compared by 64-bit hashes that add up along the passes. The bytes to remove are
 those of the repeated suffixes' windows; matches never cross documents.
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Rolling, batches, buffers, chunks, release, stage, table
+from .common import CHUNK_BYTES, Rolling, batches, buffers, chunks, release, slices, stage, table, unstage
 
 # Fixed value of the query: bytes of a repeated string.
 WIDTH = 200
@@ -43,8 +43,10 @@ GRAM = 32
 PASS_BYTES = 50
 #: Contents of one digit that a task sorts by itself.
 FEW = 256
+#: Suffixes to a block, from coarse to fine, where a digit's contents are sorted across tasks.
+STEPS = (16, 4, 1)
 #: Suffixes that a task sorts at once.
-BATCH_SUFFIXES = 400_000
+BATCH_SUFFIXES = 100_000
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, roll: Rolling) -> dict[str, np.ndarray]:
@@ -88,16 +90,14 @@ def _runs(width: int, gram: int):
                 own = found["row"] + base
                 return {"k": keys[0][own], "t": keys[1][own], "start": found["start"] + shift, "count": found["count"].astype(np.int32), "digit": found["digit"], "content": found["content"]}
 
-            out = []
             for i, j in chunks(offsets):
                 a, b = offsets[i], offsets[j]
                 if b - a <= 2 * CHUNK_BYTES:
-                    out.append(rows(_windows(data[a:b], offsets[i : j + 1] - a, width, gram, roll), i, 0))
+                    yield from batches([rows(_windows(data[a:b], offsets[i : j + 1] - a, width, gram, roll), i, 0)])
                     continue
                 for s in range(a, b, CHUNK_BYTES):  # a very long text; a cut run is two runs of one digit
                     e = min(b, s + CHUNK_BYTES + width - 1)
-                    out.append(rows(_windows(data[s:e], np.array([0, e - s]), width, gram, roll), i, s - a))
-            yield from batches(out)
+                    yield from batches([rows(_windows(data[s:e], np.array([0, e - s]), width, gram, roll), i, s - a)])
 
     return run
 
@@ -176,24 +176,82 @@ def _sort_few(width: int):
     return run
 
 
-def _suffix_hashes(width: int):
-    """One row per suffix of a content: 128 bits of its width bytes."""
+def _cut_blocks(width: int, gram: int, step: int):
+    """Stretches of suffixes cut where their distance to the digit is a multiple of ``step``.
+
+    A block's core is what all suffixes at its distances have in common; whoever shares a
+    suffix of the block shares the core. Its whole is what its own suffixes cover.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolls = Rolling(3), Rolling(4)
+        roll, finer = Rolling(1), Rolling(3)
         for part in parts:
-            digit, content, _, counts = (part.column(i).to_numpy() for i in range(4))
-            data, offsets = buffers(part.column(4))
-            own = np.repeat(np.arange(len(counts)), counts)
-            step = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
-            h = [r.spans(r.prefix(data), offsets[own] + step, offsets[own] + step + width).view(np.int64) for r in rolls]
-            yield from batches([{"h1": h[0], "h2": h[1], "digit": digit[own], "content": content[own], "low": step.astype(np.int32)}])
+            digit, content = (part.column(i).to_numpy() for i in range(2))
+            data, offsets = buffers(part.column(2))
+            at = np.arange(max(0, len(data) - gram + 1))
+            same = roll.spans(roll.prefix(data), at, at + gram)
+            lead = np.array([np.argmax(same[o : o + width] == d) for o, d in zip(offsets[:-1], digit.view(np.uint64), strict=True)], np.int64)
+            shift = width - gram - lead  # of a suffix's number to its distance
+            ranges = part.column(3)
+            per = np.diff(ranges.offsets.to_numpy())
+            flat = ranges.flatten()
+            low, high = (flat.field(i).to_numpy().astype(np.int64) for i in range(2))
+            row = np.repeat(np.arange(part.num_rows), per)
+            first, last = (low + shift[row]) // step, (high - 1 + shift[row]) // step
+            times = last - first + 1
+            of = np.repeat(np.arange(len(row)), times)
+            block = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+            r = row[of]
+            begin = np.maximum(low[of], block * step - shift[r])
+            end = np.minimum(high[of], (block + 1) * step - shift[r])
+            core_from = np.minimum((block + 1) * step - 1, width - gram) - shift[r]
+            core_to = block * step - shift[r] + width
+            prefix = finer.prefix(data)
+            yield from batches(
+                [
+                    {
+                        "digit": digit[r],
+                        "content": content[r],
+                        "block": block.astype(np.int32),
+                        "core": finer.spans(prefix, offsets[r] + core_from, offsets[r] + core_to).view(np.int64),
+                        "whole": finer.spans(prefix, offsets[r] + begin, offsets[r] + end - 1 + width).view(np.int64),
+                        "place": (begin + shift[r]).astype(np.int32),
+                        "low": begin.astype(np.int32),
+                        "high": end.astype(np.int32),
+                    }
+                ]
+            )
 
     return run
 
 
+def _sort_many(often: DataFrame, width: int, gram: int) -> DataFrame:
+    """Repeated stretches (digit, content, low, high) of digits with very many contents.
+
+    Their suffixes are ordered across tasks in blocks that get finer: a block whose whole
+    recurs is repeated, one whose core doesn't is unique, and only the others go on, one of
+    each whole. Rows are a few per content, not one per suffix.
+    """
+    ranges = often.select("digit", "content", F.array(F.struct(F.lit(0).alias("low"), F.col("count").alias("high"))).alias("ranges"))
+    bodies = often.select("digit", "content", "body")
+    found = often.where("times > 1").select("digit", "content", F.lit(0).alias("low"), F.col("count").alias("high"))
+    for step in STEPS:
+        kinds = "digit long, content long, block int, core long, whole long, place int, low int, high int"
+        rows = bodies.join(ranges, ["digit", "content"]).select("digit", "content", "body", "ranges").mapInArrow(_cut_blocks(width, gram, step), kinds)
+        rows = stage(rows, "repeat-blocks")
+        same = ["digit", "block", "core", "whole", "place", "length"]
+        rows = rows.withColumn("length", F.col("high") - F.col("low"))
+        wholes = stage(rows.groupBy(same).agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("content", "low", "high"))), "repeat-wholes")
+        twice = wholes.where("n > 1").select(same)
+        found = found.unionByName(rows.join(twice, same).select("digit", "content", "low", "high"))
+        if step > 1:
+            open_ = wholes.groupBy("digit", "block", "core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+            ranges = wholes.join(open_, ["digit", "block", "core"]).groupBy("digit", "content").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return found
+
+
 def _remove(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
+    for part in (x for whole in parts for x in slices(whole)):
         data, offsets = buffers(part.column(1))
         lists = part.column(2)
         removed, spans, digests = [], [], []
@@ -225,7 +283,7 @@ def _remove(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few: int = FEW) -> DataFrame:
-    """Byte ranges [low, high) of (k, t) documents that repeated strings cover; docs has k, t, text."""
+    """(k, t, gone): byte ranges [low, high) of documents that repeated strings cover; docs has k, t, text."""
     spark = docs.sparkSession
     docs_text = docs.select("k", "t", "text")
     runs = docs_text.mapInArrow(_runs(width, gram), "k long, t long, start long, count int, digit long, content long")
@@ -247,25 +305,26 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few:
     found = rare.repartition("digit").sortWithinPartitions("digit").select("digit", "content", "times", "count", "body").mapInArrow(_sort_few(width), "digit long, content long, low int, high int")
     if not many.isEmpty():
         often = picked.join(many.select("digit"), "digit", "left_semi").select("digit", "content", "times", "count", "body")
-        suffixes = stage(often.mapInArrow(_suffix_hashes(width), "h1 long, h2 long, digit long, content long, low int"), "repeat-suffixes")
-        twice = suffixes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        found = found.unionByName(suffixes.join(twice, ["h1", "h2"]).select("digit", "content", "low", (F.col("low") + 1).alias("high")))
-        found = found.unionByName(often.where("times > 1").select("digit", "content", F.lit(0).alias("low"), F.col("count").alias("high")))
+        found = found.unionByName(_sort_many(stage(often, "repeat-often"), width, gram))
     found = stage(found, "repeat-found")
+    unstage(picked, mixed, shared)
+    release(spark)
 
     start = F.col("start").cast("long")
     whole = hits.where("not mixed").select("k", "t", start.alias("low"), (start + F.col("count") + width - 1).alias("high"))
     part = hits.where("mixed").join(found, ["digit", "content"]).select("k", "t", (start + F.col("low")).alias("low"), (start + F.col("high") + width - 1).alias("high"))
-    return whole.unionByName(part)
+    per_doc = whole.unionByName(part).distinct().groupBy("k", "t").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
+    per_doc = stage(per_doc, "repeat-ranges")
+    unstage(hits, found)
+    release(spark)
+    return per_doc
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few: int = FEW) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("k"), F.xxhash64("text").alias("t"), "text")
-    ranges = repeated_ranges(keyed, width, gram, few)
-    per_doc = ranges.distinct().groupBy("k", "t").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
-    joined = keyed.join(per_doc, ["k", "t"], "left").select("doc_id", "text", "gone")
+    joined = keyed.join(repeated_ranges(keyed, width, gram, few), ["k", "t"], "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
