@@ -133,9 +133,9 @@ def mix_items(sizes: DataFrame, seed: int = 0, **how) -> DataFrame:
     return out.join(targets, "src").drop("src")
 
 
-def _copies(place: Column) -> Column:
+def _copies(place: Column, copies: str = "copies", rows: str = "rows") -> Column:
     """Copies of the place-th (from 1) of an item's equal rows."""
-    return F.floor((F.col("copies") + F.col("rows") - place) / F.col("rows"))
+    return F.floor((F.col(copies) + F.col(rows) - place) / F.col(rows))
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
@@ -149,13 +149,13 @@ def mix_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     def key(d: DataFrame, size: Column) -> Column:
         return F.concat_ws("|", F.coalesce(d["doc_id"].cast("string"), F.lit("~")), size.cast("string"), F.coalesce(F.concat(F.lit("="), d["source"]), F.lit("~")))
 
-    given = items.select(key(items, items["size"]).alias("mix_key"), "rows", "copies")
+    given = items.select(key(items, items["size"]).alias("mix_key"), F.col("rows").alias("mix_rows"), F.col("copies").alias("mix_total"))
     place = F.row_number().over(Window.partitionBy("mix_key").orderBy("text"))
     return (
         docs.withColumn("mix_key", key(docs, words(docs["text"])))
         .join(given, "mix_key")
         .withColumn("mix_place", place)
-        .withColumn("mix_copies", _copies(F.col("mix_place")))
+        .withColumn("mix_copies", _copies(F.col("mix_place"), "mix_total", "mix_rows"))
         .where("mix_copies > 0")
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")))
         .select(*docs.columns)
