@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, slices, table
 
 # Fixed values of the fingerprint: two primes below 2**31, the bases and the grid's growth.
 PRIMES = (2147483629, 2147483587)
@@ -143,7 +143,7 @@ def edit(text: str, following: str) -> str:
 def _run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by block, then order; a block ends with the first row of the next one, tail = 1."""
     held = None  # (block, doc_id, text, fingerprint)
-    for part in parts:
+    for part in (x for whole in parts for x in slices(whole)):
         rows: list[tuple] = []
         blocks, tails, ids, texts = (part.column(i).to_pylist() for i in range(4))
         for block, tail, doc_id, text in zip(blocks, tails, ids, texts, strict=True):

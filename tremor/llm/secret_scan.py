@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import slices, table
 
 # The base patterns, their least lengths and the order of kinds.
 ASSIGN = re.compile(
@@ -132,7 +132,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_l
     """One row per document: counts, the base spans' digest and all spans."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             rows = [find_spans(x, min_log2) for x in part.column(1).to_pylist()]
             base = [_joined([s for s in r if s[2] < 3]) for r in rows]
             yield pa.RecordBatch.from_pydict(
@@ -169,7 +169,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", count: str = "n_chars",
     counted = docs.columns.index(count) if count in docs.columns else -1
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             old = part.column(place).to_pylist()
             new = [clean(x) for x in old]
             cols = list(part.columns)

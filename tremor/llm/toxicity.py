@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stage, table
+from .common import crc_mod, slices, stage, table
 
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = range(4, 9)
@@ -102,7 +102,7 @@ class Model:
         if s is None:
             hits = [self.scores[u] for u in units(t) if u in self.scores]
             s = max(hits, key=lambda h: h[1])[0] if hits else DRIFT
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             self.known[t] = s
         return s
@@ -131,7 +131,7 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of a partition of the bounded sample."""
     times: dict[int, int] = {0: 0, 1: 0}
     docs: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for part in parts:
+    for part in (x for whole in parts for x in slices(whole)):
         for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             tokens = TOKEN.findall((text or "").lower())
             times[label] += len(tokens)
@@ -208,7 +208,7 @@ def featurise(docs: DataFrame, model: Model, keep: str) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             rows = [m.features(t) for t in part.column(0).to_pylist()]
             cols = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*cols, part.column(1)], names=[*FEATURES, part.schema.names[1]])
@@ -222,7 +222,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             texts = part.column(1).to_pylist()
             p = m.probability(np.array([m.features(t) for t in texts]).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
@@ -236,7 +236,7 @@ def toxic_passages(docs: DataFrame, model: Model, surprise: float = 3.0) -> Data
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             rows = []
             for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 n, found = m.passages(text)
@@ -256,7 +256,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             p = m.probability(np.array([m.features(t) for t in part.column(place).to_pylist()]).reshape(-1, len(FEATURES)))
             yield part.filter(pa.array(p < 0.5))
 
