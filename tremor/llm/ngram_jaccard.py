@@ -10,12 +10,13 @@ smaller or the larger one of a pair. A band splits the domain of elements at ran
 blocks; as at most K elements differ, in some block the two sets differ little, and some
 subset of the block's parts is equal in both. A signature is the hash of a set's elements
 in such a subset. For small K, blocks have three parts of which two are taken; for large K
-each block is one part. A subset that holds no element gives no signature; a set with more
-such hollow blocks than SPARE adds the signatures of another random split, where its
+each block is one part. More blocks are used than K needs; the rest are spare. A subset that holds no element gives no signature; a set with more
+such hollow blocks than the band has spare ones adds the signatures of another random split, where its
 partner, hollow in the same blocks, does so too. So no linked pair is lost.
 
-Pairs: equal sets are one class first. A signature's classes are first compared with the
-least of them only; classes already connected need no more. Only for signatures with
+Pairs: equal sets are one class first. A signature's classes are first compared with one of
+them only, the least in one of ORDERS random orders, which the signature picks; so a group
+that shares many signatures has few heads in common. Classes already connected need no more. Only for signatures with
 several components left, pairs of different components whose sizes and 256-bit parity
 sketches allow a link are compared. Each comparison is exact on the sets.
 
@@ -35,15 +36,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, batches, buffers, chunks, mix64, release, stage, table
+from .common import Rolling, batches, buffers, chunks, mix64, release, stage, table, unstage
 from .graph import connected_components
 
 #: Growth of the bands, largest K with blocks of three parts, hollow blocks allowed, splits.
-BAND = 1.3
+BAND = 1.5
 SMALL_K = 9
-SPARE = 1
+SPARE, SPARE_EVERY = 2, 20
 SPLITS = 5
 SKETCH = 256
+ORDERS = 1
+#: Signatures by which the pairs of a class are kept from meeting twice.
+LOWEST = 16
 LARGEST = 1 << 34
 
 
@@ -128,7 +132,7 @@ def signatures(owner: np.ndarray, h: np.ndarray, n: int, num: int, den: int) ->
                 sigs_out.append(mix64(b.astype(np.uint64) * np.uint64(1009) + np.uint64(7)))
                 break
             three = k_band_rows <= SMALL_K
-            spare = np.where(three, 0, SPARE)
+            spare = np.where(three, 0, SPARE + k_band_rows // SPARE_EVERY)
             blocks = np.where(three, k_band_rows // 2 + 1, k_band_rows + 1) + spare
             emit = np.where(three, k // 2 + 1, k + 1) + spare
             parts = np.where(three, 3, 1)
@@ -182,11 +186,9 @@ def _each(n: int, make):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             data, offsets = buffers(part.column(part.num_columns - 1))
-            out = []
             for i, j in chunks(offsets):
                 owner, h = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
-                out.append(make(part, i, j, owner, h))
-            yield from batches(out)
+                yield from batches([make(part, i, j, owner, h)])
 
     return run
 
@@ -227,9 +229,14 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num:
     wanted = classes.join(nodes, "node", "left_semi").select("node", "k", "t")
     text = texts.join(wanted, ["k", "t"]).select("node", "text").dropDuplicates(["node"])
     sets = stage(text.mapInArrow(_each(n, _sets), "node string, items array<long>"), "jaccard-sets")
+    release(pairs.sparkSession)
     x, y = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "a").join(y, "b").where(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
+    linked = pairs.join(x, "a").join(y, "b").where(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
+    linked = stage(linked, "jaccard-links")
+    unstage(sets)
+    release(pairs.sparkSession)
+    return linked
 
 
 def _allowed(num: int, den: int):
@@ -258,26 +265,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     classes = stage(classes, "jaccard-classes")
 
     signed = texts.select("text").mapInArrow(_each(n, _sign(num, den)), "sig long, h1 long, h2 long")
-    shared = signed.groupBy("sig").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("sig", "low")
+    signed = signed.withColumn("x", F.xxhash64("h1", F.pmod("sig", F.lit(ORDERS))))
+    shared = signed.groupBy("sig").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low <> high").select("sig", "low")
     shared = stage(shared, "jaccard-shared")
     release(spark)
-    members = stage(signed.join(shared, "sig").select("sig", "low", "h1", "h2").distinct().withColumn("node", _node()), "jaccard-members")
+    members = stage(signed.join(shared, "sig").select("sig", "h1", "h2", (F.col("x") == F.col("low")).alias("head")).distinct().withColumn("node", _node()), "jaccard-members")
+    unstage(shared)
     release(spark)
 
-    heads = members.where("h1 = low").groupBy("sig").agg(F.min("node").alias("b"))
+    heads = members.where("head").groupBy("sig").agg(F.min("node").alias("b"))
     stars = members.join(heads, "sig").where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     likely = stars.join(_prefixed(classes, "a"), "a").join(_prefixed(classes, "b"), "b").where(_allowed(num, den)).select("a", "b")
-    links = stage(_links(stage(likely, "jaccard-stars"), classes, texts, n, num, den), "jaccard-links")
+    links = _links(stage(likely, "jaccard-stars"), classes, texts, n, num, den)
     roots = stage(connected_components(links), "jaccard-roots")
 
     placed = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     several = placed.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("sig")
-    open_ = stage(placed.join(several, "sig").join(classes.select("node", "n", "s0", "s1", "s2", "s3"), "node"), "jaccard-open")
-    side = lambda p: open_.select("sig", F.col("node").alias(p), F.col("root").alias(f"{p}_root"), *(F.col(c).alias(f"{p}_{c}") for c in ("n", "s0", "s1", "s2", "s3")))
-    rest = side("a").join(side("b"), "sig").where((F.col("a_root") > F.col("b_root")) & _allowed(num, den))
+    undecided = stage(placed.join(several, "sig"), "jaccard-undecided")
+    lowest = undecided.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LOWEST).alias("low"))
+    open_ = stage(undecided.join(lowest, "node").join(classes.select("node", "n", "s0", "s1", "s2", "s3"), "node"), "jaccard-open")
+    side = lambda p: open_.select("sig", F.col("node").alias(p), F.col("root").alias(f"{p}_root"), *(F.col(c).alias(f"{p}_{c}") for c in ("low", "n", "s0", "s1", "s2", "s3")))
+    # a pair meets under its least common signature; where that is beyond both lists, under all
+    common = F.array_intersect("a_low", "b_low")
+    once = (F.size(common) == 0) | (F.col("sig") == F.array_min(common))
+    rest = side("a").join(side("b"), "sig").where((F.col("a_root") > F.col("b_root")) & _allowed(num, den) & once)
     rest = stage(rest.select("a", "b").distinct(), "jaccard-rest")
-    more = stage(_links(rest, classes, texts, n, num, den), "jaccard-links")
     release(spark)
+    more = _links(rest, classes, texts, n, num, den)
+    unstage(members, undecided, open_, rest)
     if not more.isEmpty():
         roots = stage(connected_components(links.union(more)), "jaccard-roots")
 
