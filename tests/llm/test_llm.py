@@ -383,6 +383,17 @@ def test_quotes_are_linked_and_dropped(spark):
     ]
 
 
+def test_reply_order_of_deep_conversations(spark):
+    n = 5000
+    rows = [(None, i, "user", f"message number {i}") for i in range(n)]
+    rows += [(None, n, "user", "> message number 1\nlate"), (None, n + 1, "user", "after"), (7, 0, "user", "first one"), (7, 1, "user", "b"), (7, 2, "user", "> first one\nc")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = quote_linking.link_conversations(df).collect()
+    deep = {r.turn: (r.place, r.depth, r.reply_to) for r in got if r.conv_id is None}
+    assert deep == {i: (i + 1, i, i - 1 if i else None) for i in range(n)} | {n: (n + 1, 2, 1), n + 1: (n + 2, 3, n)}
+    assert sorted((r.turn, r.place, r.depth) for r in got if r.conv_id == 7) == [(0, 1, 0), (1, 2, 1), (2, 3, 1)]
+
+
 def test_empty_tables(spark, none):
     assert repeat_spans.remove_repeats(none).count() == 0
     assert ngram_jaccard.jaccard_components(none).count() == 0

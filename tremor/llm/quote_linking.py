@@ -22,14 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, unstage
 
 # Fixed value: marks of quoting at the start of a line.
 MARKS = r"^(?:[ \t]*>)+"
 #: Words below which a passage is too short to tell its source by.
 LEAST_WORDS = 2
-#: Steps of pointer doubling: replies may be 2**STEPS deep.
-STEPS = 12
 
 
 def _fold(text: Column) -> Column:
@@ -94,25 +92,34 @@ def link_conversations(conversations: DataFrame) -> DataFrame:
     rows = stage(rows.where("branched").drop("branched"), "quote-branched")
     if rows.isEmpty():
         return plain
-    paths = _reply_paths(rows)
-    order = Window.partitionBy("conv_id").orderBy("path")
-    up = rows.select(F.col("conv_id").alias("c"), F.col("mid").alias("m"), F.col("turn").alias("reply_to"))
-    out = paths.join(up, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("m")), "left")
-    out = out.withColumn("place", F.row_number().over(order))
-    return plain.unionByName(out.select("conv_id", "place", "turn", "role", "text", "reply_to", "n_quotes", (F.size("path") - 1).alias("depth")))
-
-
-def _reply_paths(rows: DataFrame) -> DataFrame:
-    """path: places from the first message down to this one; it sorts a conversation into reply order."""
-    now = rows.withColumn("up", F.col("parent")).withColumn("path", F.array("mid"))
-    for _ in range(STEPS):
-        if now.where("up is not null").isEmpty():
-            break
-        above = now.select(F.col("conv_id").alias("c"), F.col("mid").alias("m"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        now = now.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("m")), "left")
-        now = now.withColumn("path", F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path"))).withColumn("up", F.col("up2")).drop("c", "m", "up2", "path2")
-        now = stage(now, "quote-paths")
-    return now.drop("up")
+    places = _reply_places(rows).select(F.col("conv_id").alias("c"), F.col("mid").alias("m"), "place", "depth")
+    up = rows.select(F.col("conv_id").alias("c2"), F.col("mid").alias("m2"), F.col("turn").alias("reply_to"))
+    out = rows.join(places, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("mid") == F.col("m")))
+    out = out.join(up, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("parent") == F.col("m2")), "left")
+    return plain.unionByName(out.select("conv_id", "place", "turn", "role", "text", "reply_to", "n_quotes", "depth"))
+
+
+def _reply_places(rows: DataFrame) -> DataFrame:
+    """conv_id, mid, place and depth in reply order, for trees of any depth.
+
+    A walk round the tree enters (2 * mid) and leaves (2 * mid + 1) each message once. Every
+    step knows the one before it; doubling those pointers counts the steps up to each, in
+    rounds that grow with the log2 of a conversation's messages. A message's place is the
+    number of messages entered so far, its depth that of those entered and not left.
+    """
+    last = rows.groupBy(F.col("conv_id").alias("c"), F.col("parent").alias("p")).agg(F.max("mid").alias("last"))
+    before = F.lag("mid").over(Window.partitionBy("conv_id", "parent").orderBy("mid"))
+    walk = rows.select("conv_id", "mid", "parent", before.alias("before")).join(last, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("mid") == F.col("p")), "left")
+    enter = F.struct((2 * F.col("mid")).alias("step"), F.coalesce(2 * F.col("before") + 1, 2 * F.col("parent")).alias("back"), F.lit(1).alias("entered"), F.lit(0).alias("left"))
+    leave = F.struct((2 * F.col("mid") + 1).alias("step"), F.coalesce(2 * F.col("last") + 1, 2 * F.col("mid")).alias("back"), F.lit(0).alias("entered"), F.lit(1).alias("left"))
+    now = stage(walk.select("conv_id", F.inline(F.array(enter, leave))), "quote-walk")
+    while not now.where("back is not null").isEmpty():
+        there = now.select(F.col("conv_id").alias("c"), F.col("step").alias("s"), F.col("back").alias("back2"), F.col("entered").alias("entered2"), F.col("left").alias("left2"))
+        moved = now.where("back is not null").join(there, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("back") == F.col("s")))
+        moved = moved.select("conv_id", "step", F.col("back2").alias("back"), (F.col("entered") + F.col("entered2")).alias("entered"), (F.col("left") + F.col("left2")).alias("left"))
+        done, now = now, stage(moved.unionByName(now.where("back is null")), "quote-walk")
+        unstage(done)
+    return now.where("step % 2 = 0").select("conv_id", F.expr("cast(step div 2 as int)").alias("mid"), F.col("entered").alias("place"), (F.col("entered") - F.col("left") - 1).alias("depth"))
 
 
 def op7_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
