@@ -383,6 +383,27 @@ def test_quotes_are_linked_and_dropped(spark):
     ]
 
 
+def test_parts_of_messages_are_quoted(spark):
+    quotes = {
+        "> line two\n> line three\nyes": 0,  # lines of a paragraph
+        "> par b one\n> \n> par c one\nyes": 1,  # two paragraphs of three
+        "> run a\n> run b\nyes": 2,  # a run before a quote
+        "> The second one, I think.\nyes": 3,  # a sentence
+        "> I like the second\n> one. The third\n> is late.\nyes": 4,  # rewrapped
+        "> ok\nyes": 5,  # a whole message of one word
+        "> 你好。再见\nyes": 6,
+        "> line two\n> [...]\n> line four\nyes": 0,  # lines with a gap
+        "> line\nyes": None,  # too short for a part
+        "> nowhere at all\nyes": None,
+    }
+    sources = ["line one\nline two\nline three\nline four", "par a one\n\npar b one\n\npar c one", "run a\nrun b\n> old words\nrun c\nrun d", "It is this. The second one, I think. Not that.", "I like the second one.\nThe third is\nlate. The end.", "OK", "你好。再见"]
+    texts = sources + list(quotes)
+    df = spark.createDataFrame([(None, i, "user", x) for i, x in enumerate(texts)], "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.turn: (r.reply_to, r.n_quotes) for r in quote_linking.link_conversations(df).collect()}
+    for i, (text, source) in enumerate(quotes.items(), len(sources)):
+        assert got[i] == ((i - 1, 0) if source is None else (source, 1)), text
+
+
 def test_reply_order_of_deep_conversations(spark):
     n = 5000
     rows = [(None, i, "user", f"message number {i}") for i in range(n)]

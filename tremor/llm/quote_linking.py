@@ -2,9 +2,12 @@
 
 A line's quote level is the number of ``>`` marks at its start (blanks between them don't
 count). Runs of lines of one level are passages. A quoted passage is normalised (marks off,
-lower case, white space folded) and hashed, and so are the paragraphs and the lines of
-every message; a passage links its message to the earlier message of the conversation that
-holds it, the latest of several. A message replies to the source of its last passage of
+lower case, white space folded) and hashed, and so are all stretches of lines and sentences
+of every message's own text that start and number as a quote's do; a passage links its
+message to the earlier message of the conversation that holds it, the latest of several. If
+none holds it all, its paragraphs and lines are looked up, and the message that holds most
+of them is its source. One word alone is matched with whole messages only; a quote that
+begins or ends within a sentence of a longer line is not found. A message replies to the source of its last passage of
 level 1 (or of the least level it has), or else to the message before it. Its text without
 quotes stays; a conversation's messages are ordered by reply: each after the one it replies
 to, before that one's later replies.
@@ -26,7 +29,10 @@ from .common import stage, table, unstage
 
 # Fixed value: marks of quoting at the start of a line.
 MARKS = r"^(?:[ \t]*>)+"
-#: Words below which a passage is too short to tell its source by.
+# Ends of sentences in folded text; words, of which each letter is one in scripts without blanks.
+SENTENCE_END = r"(?<=[.!?\u2026] )|(?<=[.!?\u2026][\"')\]] )|(?<=[\u3002\uff01\uff1f])"
+WORDS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]+"
+#: Words below which a passage is too short to tell its source by, unless it is a whole message.
 LEAST_WORDS = 2
 
 
@@ -59,19 +65,57 @@ def _passages(lines: Column) -> Column:
     return F.aggregate(lines, empty, add)
 
 
+def _sentences(folded: Column) -> Column:
+    """The sentences of a folded text, each with the blank that follows it."""
+    return F.filter(F.split(folded, SENTENCE_END), lambda x: x != "")
+
+
+def _pieces(text: Column) -> Column:
+    """Two cuts of a text: at the ends of lines and sentences, and, for rewrapped text, of sentences only."""
+    lines = F.filter(F.transform(F.split(text, "\n"), _fold), lambda x: x != "")
+    return F.array(F.flatten(F.transform(lines, lambda x: _sentences(F.concat(x, F.lit(" "))))), _sentences(_fold(text)))
+
+
+def _own(lines: Column) -> Column:
+    return F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
+
+
+def _starts(cuts: Column) -> Column:
+    """(pieces, their number, hash of the first) of each cut."""
+    return F.transform(cuts, lambda c: F.struct(F.size(c).alias("k"), F.xxhash64(F.trim(F.try_element_at(c, F.lit(1)))).alias("first")))
+
+
 def link_quotes(msgs: DataFrame) -> DataFrame:
-    """Links (conv_id, mid, level, source) from quoting messages to the quoted ones."""
+    """Links (conv_id, mid, pos, level, source) from quoting messages to the quoted ones."""
     runs = msgs.where("text like '%>%'").select("conv_id", "mid", F.posexplode(_passages(F.col("lines"))).alias("pos", "p"))
-    quotes = runs.where("p.level > 0").select("conv_id", "mid", "pos", F.col("p.level").alias("level"), _fold(F.col("p.text")).alias("folded"))
-    quotes = quotes.where(F.size(F.split("folded", " ")) >= LEAST_WORDS).withColumn("h", F.xxhash64("folded")).drop("folded")
-    # a message can be quoted as a whole, by paragraph or by line; only conversations with quotes matter
-    own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
-    units = F.array_distinct(F.concat(F.array(own), F.split(own, "\n\n"), F.split(own, "\n")))
-    held = msgs.join(quotes.select(F.col("conv_id").alias("c")).distinct(), F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
-    held = held.select(F.col("conv_id").alias("c"), F.col("mid").alias("source"), F.explode(F.transform(units, _fold)).alias("u"))
-    held = held.select("c", "source", F.xxhash64("u").alias("hash")).distinct()
-    joined = quotes.join(held, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("hash")) & (F.col("source") < F.col("mid")))
-    return joined.groupBy("conv_id", "mid", "pos", "level").agg(F.max("source").alias("source"))
+    runs = runs.where("p.level > 0").select("conv_id", "mid", "pos", F.col("p.level").alias("level"), F.col("p.text").alias("text"))
+    # a passage, and for passages without a source their paragraphs and lines
+    parts = F.array_distinct(F.concat(F.split("text", r"\n[ \t]*\n"), F.split("text", "\n")))
+    asked = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("part"))), F.transform(parts, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part"))))
+    asked = runs.select("conv_id", "mid", "pos", "level", F.inline(asked)).withColumn("folded", _fold(F.col("part"))).where("folded != ''")
+    # short ones are told only by whole messages
+    short = F.regexp_count("folded", F.lit(WORDS)) < LEAST_WORDS
+    asked = asked.withColumn("short", short).where("whole or not short")
+    asked = stage(asked.select("conv_id", "mid", "pos", "level", "whole", "short", F.length("folded").alias("n"), F.xxhash64("folded", F.col("short").cast("int")).alias("h"), _starts(_pieces(F.col("part"))).alias("starts")), "quote-asked")
+    # only conversations with quotes matter; of their messages, stretches of pieces that start as a quote does and are as long
+    held = msgs.join(asked.select(F.col("conv_id").alias("c")).distinct(), F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+    held = stage(held.select("conv_id", "mid", _own(F.col("lines")).alias("own")).withColumn("cuts", _pieces(F.col("own"))), "quote-held")
+    wanted = asked.where("not short").select(F.col("conv_id").alias("c"), F.inline("starts")).distinct()
+    begins = held.select("conv_id", "mid", F.posexplode("cuts").alias("cut", "pieces"))
+    begins = begins.select("conv_id", "mid", "cut", F.size("pieces").alias("size"), F.posexplode(F.transform("pieces", lambda x: F.xxhash64(F.trim(x)))).alias("i", "begin"))
+    begins = begins.join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("begin") == F.col("first")) & (F.col("i") + F.col("k") <= F.col("size")))
+    begins = begins.groupBy(F.col("conv_id").alias("c"), F.col("mid").alias("m")).agg(F.collect_set(F.struct("cut", "i", "k")).alias("stretches"))
+    stretches = F.transform("stretches", lambda x: F.xxhash64(F.trim(F.array_join(F.slice(F.col("cuts")[x["cut"]], x["i"] + 1, x["k"]), "")), F.lit(0)))
+    cut = held.join(begins, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("mid") == F.col("m"))).select("conv_id", "mid", F.explode(F.array_distinct(stretches)).alias("h"))
+    whole = held.select("conv_id", "mid", F.explode(F.array(*[F.xxhash64(_fold(F.col("own")), F.lit(x)) for x in (0, 1)])).alias("h"))
+    # the latest holder before each quote, in one pass over the holders and quotes of a hash
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("level", "int"), ("whole", "boolean"), ("n", "int"))]
+    both = cut.unionByName(whole).select("conv_id", "mid", "h", *none, F.col("mid").alias("held")).unionByName(asked.select("conv_id", "mid", "h", "pos", F.col("level").cast("int"), "whole", "n", F.lit(None).cast("int").alias("held")))
+    earlier = Window.partitionBy("conv_id", "h").orderBy("mid").rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("source", F.max("held").over(earlier)).where("pos is not null and source is not null")
+    # the whole passage's source, or else the one that holds most of its parts, the latest of several
+    found = found.groupBy("conv_id", "mid", "pos", "level", "source").agg(F.max("whole").alias("whole"), F.sum("n").alias("n"))
+    return found.groupBy("conv_id", "mid", "pos", "level").agg(F.max(F.struct("whole", "n", "source"))["source"].alias("source"))
 
 
 def link_conversations(conversations: DataFrame) -> DataFrame:
@@ -80,7 +124,7 @@ def link_conversations(conversations: DataFrame) -> DataFrame:
     links = link_quotes(msgs)
     target = links.groupBy("conv_id", "mid").agg(F.min(F.struct("level", (-F.col("pos")).alias("pos"), "source"))["source"].alias("source"), F.count(F.lit(1)).alias("n_quotes"))
     target = target.select(F.col("conv_id").alias("c"), F.col("mid").alias("m"), "source", "n_quotes")
-    text = F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), F.lit("\n "))
+    text = F.trim(_own(F.col("lines")), F.lit("\n "))
     rows = msgs.join(target, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("mid") == F.col("m")), "left")
     rows = rows.select("conv_id", "mid", "turn", "role", text.alias("text"), F.coalesce("source", F.when(F.col("mid") > 1, F.col("mid") - 1)).alias("parent"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"))
     rows = stage(rows, "quote-parents")
