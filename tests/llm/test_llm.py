@@ -309,6 +309,15 @@ def test_secrets(spark):
     assert [(r.text, r.n_chars) for r in clean] == [("a [SECRET] z", 12), (None, None)]
 
 
+def test_values_are_judged_beyond_their_base_spans(spark):
+    text = "a password=Tr0ub4dor$Gh!9xQ#w2 z"
+    assert secret_scan._joined(secret_scan.find_spans(text)) == "assign:2:20,guess:11:30"
+    assert secret_scan._joined(secret_scan.find_spans("token=abcdefgh")) == "assign:0:14"
+    assert secret_scan._joined(secret_scan.find_spans('"password":"abcdefgh","user":"x7Kq!"')) == "assign:1:20"
+    clean = secret_scan.redact_secrets(spark.createDataFrame([(1, text, 32)], "doc_id long, text string, n_chars long")).collect()
+    assert [(r.text, r.n_chars) for r in clean] == [("a [SECRET] z", 12)]
+
+
 def test_guess_cost_is_least_over_segmentations():
     for value in ("password1234", "qwertyZq!", "aaaaaa2024-01-01", "xKq9"):
         pieces = secret_scan._pieces(value)

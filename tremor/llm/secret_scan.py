@@ -4,7 +4,7 @@ Three patterns find the base spans. Beyond them, a value that stands in a creden
 context is segmented into words, dates, repeats, sequences, keyboard walks and
 brute-force spans so that the total number of guesses is least (a dynamic program over
 its positions); a value that would cost at least ``min_log2`` bits is a span of kind
-``guess`` when no base span covers it.
+``guess`` unless base spans cover it entirely; it may overlap them.
 
 Null and empty texts have no spans. Every row is scanned by itself, so repeated rows get
 equal results and columns beyond the two that are read don't matter. The program looks
@@ -108,6 +108,15 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether the union of spans, sorted by start, holds start to end."""
+    for s, e, _ in spans:
+        if s > start:
+            break
+        start = max(start, e)
+    return start >= end
+
+
 def find_spans(text: str | None, min_log2: float = MIN_LOG2) -> list[tuple[int, int, int]]:
     """(start, end, kind's place in KINDS) of one text, by start, then kind; code points, end exclusive."""
     if not text:
@@ -115,11 +124,15 @@ def find_spans(text: str | None, min_log2: float = MIN_LOG2) -> list[tuple[int,
     found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_VALUE]
     found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
+    base = sorted(found)
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
-        value = m[1].rstrip("\"',;.)")
+        value = m[1]
+        if (quote := text[start - 1]) in "\"'":  # a quoted value ends with its quote
+            value = value.partition(quote)[0]
+        value = value.rstrip("\"',;.)")
         end = start + len(value)
-        if len(value) >= 8 and not any(s < end and start < e for s, e, _ in found) and guess_cost(value) >= min_log2:
+        if len(value) >= 8 and not _covered(start, end, base) and guess_cost(value) >= min_log2:
             found.append((start, end, 3))
     return sorted(found, key=lambda x: (x[0], x[2]))
 
