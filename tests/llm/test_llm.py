@@ -318,6 +318,13 @@ def test_values_are_judged_beyond_their_base_spans(spark):
     assert [(r.text, r.n_chars) for r in clean] == [("a [SECRET] z", 12)]
 
 
+def test_words_are_cheap_and_short_random_values_are_not():
+    for text in ("the secret is something", "the token is generated by", "login is successfully done", "The secret is Configuration.", "auth is user-provided here"):
+        assert not secret_scan.find_spans(text), text
+    for text in ("pwd=Kx7Qz9Lp", "pwd=x7kq9zb2f", "pin: vR4#nW8q"):
+        assert [s[2] for s in secret_scan.find_spans(text)] == [3], text
+
+
 def test_guess_cost_is_least_over_segmentations():
     for value in ("password1234", "qwertyZq!", "aaaaaa2024-01-01", "xKq9"):
         pieces = secret_scan._pieces(value)

@@ -3,7 +3,8 @@
 Three patterns find the base spans. Beyond them, a value that stands in a credential
 context is segmented into words, dates, repeats, sequences, keyboard walks and
 brute-force spans so that the total number of guesses is least (a dynamic program over
-its positions); a value that would cost at least ``min_log2`` bits is a span of kind
+its positions). Words have their rank in a frequency list (``word_list``, English), and
+brute force tries all character classes of the value at each place. A value that would cost at least ``min_log2`` bits is a span of kind
 ``guess`` unless base spans cover it entirely; it may overlap them.
 
 Null and empty texts have no spans. Every row is scanned by itself, so repeated rows get
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices, table
+from .word_list import WORDS
 
 # The base patterns, their least lengths and the order of kinds.
 ASSIGN = re.compile(
@@ -36,7 +38,7 @@ KINDS = ("assign", "access", "hex", "guess")
 CONTEXT = re.compile(
     r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|login|pin)["']?\s{0,3}(?::|=>|=|\bis\b)\s{0,3}["']?([!-~]{8,})"""
 )
-#: Frequent parts of chosen passwords, most frequent first: a word's rank is its guess count.
+#: Frequent parts of chosen passwords, most frequent first, before WORDS: a word's rank is its guess count.
 COMMON = (
     "password pass admin login welcome master secret qwerty letmein dragon monkey shadow sunshine princess football "
     "baseball superman batman michael jordan hunter summer winter spring autumn monday friday sunday love hello test "
@@ -49,8 +51,8 @@ MAX_PIECE = 32
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 MIN_LOG2 = 40.0
 
-_RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-_WORD_LENGTHS = sorted({len(w) for w in COMMON})
+_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *WORDS]))}
+_WORD_LENGTHS = sorted({len(w) for w in _RANK})
 _NEIGHBOURS = {frozenset(p) for row in KEYBOARD for p in zip(row, row[1:], strict=False)}
 _UNLEET = str.maketrans("01345$@7", "oleassat")
 
@@ -59,6 +61,11 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() else 33
 
 
+def _charset(value: str) -> int:
+    """Characters of all classes that a value has: what brute force tries at each place."""
+    return 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value)
+
+
 def _pieces(value: str) -> list[list[tuple[int, float]]]:
     """For each end position, the (start, log2 guesses) of the structured pieces that end there."""
     n = len(value)
@@ -96,13 +103,16 @@ def _follows(a: str, b: str, step: str) -> bool:
     return a.isalnum() and b.isalnum() and ord(b) - ord(a) == (1 if step == "up" else -1)
 
 
-def guess_cost(value: str) -> float:
-    """Least log2 of the guesses for a value, over all its segmentations."""
+def guess_cost(value: str, charset: int | None = None) -> float:
+    """Least log2 of the guesses for a value, over all its segmentations.
+
+    A brute-force character costs its own class, or charset where that is given.
+    """
     n = len(value)
     pieces = _pieces(value)
     best = [0.0] * (n + 1)
     for j in range(1, n + 1):
-        best[j] = best[j - 1] + math.log2(_alphabet(value[j - 1]))
+        best[j] = best[j - 1] + math.log2(charset or _alphabet(value[j - 1]))
         for i, cost in pieces[j]:
             best[j] = min(best[j], best[i] + cost)
     return best[n]
@@ -132,7 +142,7 @@ def find_spans(text: str | None, min_log2: float = MIN_LOG2) -> list[tuple[int,
             value = value.partition(quote)[0]
         value = value.rstrip("\"',;.)")
         end = start + len(value)
-        if len(value) >= 8 and not _covered(start, end, base) and guess_cost(value) >= min_log2:
+        if len(value) >= 8 and not _covered(start, end, base) and guess_cost(value, _charset(value)) >= min_log2:
             found.append((start, end, 3))
     return sorted(found, key=lambda x: (x[0], x[2]))
 
