@@ -186,6 +186,22 @@ def test_likeness():
     assert like(f("a" * 50 + "b" * 50), f("a" * 50 + "c" * 50)) > 0.4 and like(f("abcd" * 9), f("wxyz" * 9)) == 0
 
 
+def test_likeness_counts_what_is_common_inside():
+    rng = random.Random(4)
+    f, like = prefix_fingerprint.fingerprint, prefix_fingerprint.likeness
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(1000)]
+    text = " ".join(words)
+    assert like(f("(" + text + ")"), f("[" + text + "]")) > 0.95
+    for i in range(50, 1000, 100):
+        words[i] = "EDITED"
+    assert 0.8 < like(f(text), f(" ".join(words))) < 1
+    assert like(f(text), f("".join(rng.choices("abcdefgh ", k=len(text))))) < 0.05
+    x = prefix_fingerprint.Prefixes(text + "z" * 1000)
+    cuts = prefix_fingerprint._cuts(x)
+    assert cuts[0] == 0 and cuts[-1] == x.n and 0 < np.diff(cuts).min() and np.diff(cuts).max() <= prefix_fingerprint.LONGEST
+    assert all(int(h) == x.span(i, j) >> 31 for h, i, j in zip(prefix_fingerprint._hashes(x, cuts[:-1], cuts[1:]), cuts[:-1].tolist(), cuts[1:].tolist()))
+
+
 # -- mixing ------------------------------------------------------------------------
 
 

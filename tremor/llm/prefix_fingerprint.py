@@ -5,8 +5,10 @@ prefix arrays of its partial sums, any two spans are compared in constant time a
 longest common extension of two positions is found by binary search (``Prefixes``). A
 fingerprint keeps the length, the hash of the whole text and the prefix and suffix hashes
 at GRID lengths, so the longest common prefix and suffix of two texts can be located by
-binary search from their fingerprints alone, to the grid's precision. Likeness is the share
-of the longer text that both ends cover: 1 for equal texts, 0 where neither end agrees.
+binary search from their fingerprints alone, to the grid's precision. It also keeps the
+hashes of content-defined spans that cover the text end to end (cut where a hash of the
+last WINDOW code points says so). Likeness is the share of the longer text that both ends
+and the common spans between them cover: 1 for equal texts, 0 where nothing agrees.
 
 Null is the empty text; two empty texts have likeness 1, an empty and another 0. Ids that
 repeat are ordered by text; null ids stand before all others. A single document is its own
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,8 @@ from .common import partitions, slices, table
 PRIMES = (2147483629, 2147483587)
 BASES = (1000003, 69069069)
 GROWTH = 1.125
+# Content-defined spans: code points that decide on a cut, one cut in EVERY, and the longest span.
+WINDOW, EVERY, LONGEST = 8, 32, 255
 
 
 def _grid(most: int) -> list[int]:
@@ -49,6 +54,15 @@ class Powers:
 
     def __init__(self) -> None:
         self.have = [np.ones(1, np.uint64) for _ in PRIMES]
+        self.down = np.ones(1, np.uint64)
+
+    def inverse(self, n: int) -> np.ndarray:
+        """Powers of the first base's inverse."""
+        p = PRIMES[0]
+        while len(self.down) < n:
+            step = np.uint64(pow(BASES[0], -len(self.down), p))
+            self.down = np.concatenate([self.down, self.down * step % np.uint64(p)])
+        return self.down
 
     def upto(self, n: int) -> list[np.ndarray]:
         for k, (p, b) in enumerate(zip(PRIMES, BASES, strict=True)):
@@ -105,14 +119,38 @@ class Prefixes:
         return low
 
 
+def _hashes(x: Prefixes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First part of span() for many spans at once."""
+    p = np.uint64(PRIMES[0])
+    return (x.h[0][ends] + p - x.h[0][starts]) % p * POWERS.inverse(x.n + 1)[starts] % p
+
+
+def _cuts(x: Prefixes) -> np.ndarray:
+    """Starts of the content-defined spans, and the text's end."""
+    at = np.arange(WINDOW, x.n)
+    cuts = at[_hashes(x, at - WINDOW, at) % np.uint64(EVERY) == 0] if len(at) else at
+    cuts = np.concatenate([[0], cuts, [x.n]]).astype(np.int64)
+    if (more := (np.diff(cuts) - 1) // LONGEST).any():  # long spans in pieces
+        first = np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+        cuts = np.append(np.repeat(cuts[:-1], more + 1) + (np.arange(len(first)) - first) * LONGEST, x.n)
+    return cuts
+
+
 def fingerprint(text: str) -> str:
-    """``n:whole:prefixes:suffixes``; the last two are 6 hex digits for each grid length up to n."""
+    """``n:whole:prefixes:suffixes:spans``.
+
+    Prefixes and suffixes are 6 hex digits for each grid length up to n, spans 8 for each
+    content-defined span in order: 6 of its hash, 2 of its length.
+    """
     x = Prefixes(text)
     lengths = GRID[: bisect_right(GRID, x.n)]
     cut = (1 << 24) - 1
     heads = "".join(f"{x.prefix(g) & cut:06x}" for g in lengths)
     tails = "".join(f"{x.span(x.n - g, x.n) & cut:06x}" for g in lengths)
-    return f"{x.n}:{x.prefix(x.n):016x}:{heads}:{tails}"
+    cuts = _cuts(x)
+    starts, ends = (cuts[:-1], cuts[1:]) if x.n else (cuts[:0], cuts[:0])
+    spans = ((_hashes(x, starts, ends) & np.uint64(cut)) << np.uint64(8) | (ends - starts).astype(np.uint64)).astype(">u4").tobytes().hex()
+    return f"{x.n}:{x.prefix(x.n):016x}:{heads}:{tails}:{spans}"
 
 
 def _agree(a: str, b: str) -> int:
@@ -126,12 +164,21 @@ def _agree(a: str, b: str) -> int:
 
 def likeness(a: str, b: str) -> float:
     """0 to 1 from two fingerprints."""
-    n, whole, heads, tails = a.split(":")
-    m, other, heads2, tails2 = b.split(":")
+    n, whole, heads, tails, spans = a.split(":")
+    m, other, heads2, tails2, spans2 = b.split(":")
     if n == m and whole == other:
         return 1.0
     longest = max(int(n), int(m))
-    return min(_agree(heads, heads2) + _agree(tails, tails2), longest) / longest if longest else 1.0
+    head, tail = _agree(heads, heads2), _agree(tails, tails2)
+    between = _between(spans, head, int(n) - tail) & _between(spans2, head, int(m) - tail)
+    return min(head + tail + sum((k & 255) * times for k, times in between.items()), longest) / longest if longest else 1.0
+
+
+def _between(spans: str, start: int, end: int) -> Counter[int]:
+    """How often each span lies between two places of the text."""
+    all_ = np.frombuffer(bytes.fromhex(spans), ">u4")
+    ends = np.cumsum(all_ & 255)
+    return Counter(all_[(ends - (all_ & 255) >= start) & (ends <= end)].tolist())
 
 
 def edit(text: str, following: str) -> str:
