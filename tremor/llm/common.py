@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +13,22 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-DEFAULT_SHARED = "/tmp/checkpoints"
+#: The shared folder of a session in local mode that names none; a cluster must name its own.
+LOCAL_SHARED = "/tmp/checkpoints"
 #: Text bytes that a numpy kernel takes at once; one longer text is taken alone.
 CHUNK_BYTES = 1 << 18
 #: Texts that a Python kernel takes out of a record batch at once.
 CHUNK_ROWS = 512
+#: While a table is staged: bytes of a record batch that goes to a Python worker, and shuffle
+#: files go once the table is written, as nothing reads them again.
+STAGING = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 22),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+#: Rows of a small table to a file, where their number is known before it is staged.
+FILE_ROWS = 1 << 16
+#: A sieve has 2**SIEVE words of 64 bits at most, whatever the number of keys.
+SIEVE = 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,38 +36,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
+    """The folder that driver and executors share; only a local session gets one here."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(DEFAULT_SHARED)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df below the shared folder and read it back: a later loss of executors costs no recomputation."""
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df below the shared folder and read it back: a later loss of executors costs no recomputation.
+
+    ``rows`` is about the most rows that df can have; few rows go to few files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tremor-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    with settings(spark, STAGING):
+        df.write.parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    found.staged_at = path
+    return found
 
 
 def unstage(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:
         spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/tremor-" in root:
-                path = jvm.org.apache.hadoop.fs.Path(root)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
+def _sieve_place(key: str) -> tuple[Column, Column]:
+    h = F.xxhash64(key, F.lit(77))
+    return F.shiftrightunsigned(h, 64 - SIEVE), F.pmod(h, F.lit(64)).cast("int")
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """A Bloom filter with one hash: (word, bits), at most 2**SIEVE rows."""
+    word, bit = _sieve_place(key)
+    return keys.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def sift(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """The rows whose key may be among the sieve's; a later join decides. 2**SIEVE rows are the broadcast's bound."""
+    word, bit = _sieve_place(key)
+    hit = df.withColumns({"sieve_word": word, "sieve_bit": bit}).join(F.broadcast(bits), F.col("sieve_word") == F.col("word"))
+    return hit.where(F.call_function("shiftright", F.col("bits"), F.col("sieve_bit")).bitwiseAND(F.lit(1)) == 1).select(*df.columns)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -86,13 +132,14 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[first : offsets[-1] if len(offsets) else 0], offsets - first
 
 
-def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes, a longer row alone."""
+def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes and ``rows`` rows, a longer row alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + rows)
+        yield i, j
+        i = j
 
 
 def slices(part: pa.RecordBatch, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
@@ -118,30 +165,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Rolling:
-    """Hashes of any span of a byte buffer from prefix sums of a random polynomial modulo 2**64.
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of a byte buffer, eight bytes at a time.
 
-    The base is odd, hence invertible, so a span's sum can be shifted to a common origin;
-    spans here are far shorter than those for which this modulus is weak.
+    Each step is bijective in the state and in the eight bytes, so no two spans of up to eight
+    bytes and one length collide, and longer ones do with the probability of random values.
     """
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(2**60, 2**63, dtype=np.int64)) * 2 + 1
-        self.inverse = pow(self.base, -1, 2**64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def powers(self, n: int) -> None:
-        if len(self.up) < n:
-            m = max(n, 2 * len(self.up))
-            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(m - 1, b, np.uint64)]), dtype=np.uint64) for b in (self.base, self.inverse))
-
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        self.powers(len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=out[1:])
-        return out
-
-    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((prefix[ends] - prefix[starts]) * self.down[starts])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    length = ends - starts
+    out = mix64(length.astype(np.uint64) + np.uint64(0x51_7C_C1_B7_27_22_0A_95))
+    live, at = np.arange(len(starts)), starts.astype(np.int64)
+    while len(live):
+        left = ends[live] - at
+        cut = (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64)) % np.uint64(64)
+        lane = lanes[at] << cut  # bytes beyond the end go
+        out[live] = mix64(out[live] * np.uint64(0x9E3779B97F4A7C15) + lane)
+        on = left > 8
+        live, at = live[on], at[on] + 8
+    return out

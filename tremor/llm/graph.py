@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stage, unstage
+from .common import STAGING, settings, stage, unstage
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -16,20 +16,20 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     join, so a node with very many links is split; every round is written to the shared folder.
     """
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = None
+    seen, most = None, edges.count()
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large, "links")
+        large = stage(large, "links", most)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = stage(small, "links")
+        after = stage(small, "links", most)
         unstage(edges, large)
-        release(edges.sparkSession)
         edges = after
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        with settings(edges.sparkSession, STAGING):
+            now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now

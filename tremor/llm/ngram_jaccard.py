@@ -14,11 +14,16 @@ each block is one part. More blocks are used than K needs; the rest are spare. A
 such hollow blocks than the band has spare ones adds the signatures of another random split, where its
 partner, hollow in the same blocks, does so too. So no linked pair is lost.
 
-Pairs: equal sets are one class first. A signature's classes are first compared with one of
-them only, the least in one of ORDERS random orders, which the signature picks; so a group
-that shares many signatures has few heads in common. Classes already connected need no more. Only for signatures with
-several components left, pairs of different components whose sizes and 256-bit parity
-sketches allow a link are compared. Each comparison is exact on the sets.
+Pairs: equal sets are one class first. The classes of a signature are first compared with
+the least of them only; classes already connected need no more. What stays undecided is
+narrowed by counts: of its blocks, a set with h hollow ones shares at least
+``left`` = 1 + spare - h signatures with any set it links to. Signatures of more than HOT rows
+are passed over where the rest must still show some of these; only two sets that both lack
+enough others meet under them too. A pair that shares fewer signatures than it would have
+to, or whose sizes or 256-bit parity sketches forbid a link, goes. Each comparison that
+remains is exact on the sets of 64-bit element hashes. Signatures are counted once by the
+shuffle; only those that several classes share are dealt again, as far as a sieve of bounded
+size tells (what it lets through in vain is dropped by the join).
 
 Null and empty texts and texts without words have the empty set and link with nothing.
 Rows with equal texts are one class, so repeated rows are linked; null ids are allowed and
@@ -29,33 +34,28 @@ Texts are taken whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, batches, buffers, chunks, mix64, release, stage, table, unstage
+from .common import batches, buffers, chunks, mix64, sieve, sift, stage, table, unstage, word_hashes
 from .graph import connected_components
 
-#: Growth of the bands, largest K with blocks of three parts, hollow blocks allowed, splits.
+#: Growth of the bands, largest K with blocks of three parts, spare blocks, splits.
 BAND = 1.5
 SMALL_K = 9
-SPARE, SPARE_EVERY = 2, 20
+SPARE, SPARE_EVERY = 3, 7
 SPLITS = 5
 SKETCH = 256
-ORDERS = 1
-#: Signatures by which the pairs of a class are kept from meeting twice.
-LOWEST = 16
+#: Rows of a signature that is passed over where others suffice.
+HOT = 32
+#: The low bits of a signature name its slot: band modulo 8, then split.
+SLOT_BITS = 6
 LARGEST = 1 << 34
 
 
-@lru_cache
-def _roll() -> Rolling:
-    return Rolling(5)
-
-
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, element) of each text's distinct word n-grams, by row, then element."""
     low = np.where((data >= 65) & (data <= 90), data | 32, data)
@@ -64,7 +64,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     first[offsets] = True
     starts = np.flatnonzero(inside & (first[:-1] | np.concatenate([[True], ~inside[:-1]])))
     ends = np.flatnonzero(inside & (first[1:] | np.concatenate([~inside[1:], [True]]))) + 1
-    word = _roll().spans(_roll().prefix(low), starts, ends)
+    word = word_hashes(low, starts, ends)
     row = np.searchsorted(offsets, starts, side="right") - 1
     counts = np.bincount(row, minlength=len(offsets) - 1)
     begin = np.cumsum(counts) - counts
@@ -93,7 +93,6 @@ def set_hashes(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np
     return tuple(_sums(owner, mix64(h ^ np.uint64(c)), n).view(np.int64) for c in (0x1234567, 0x89ABCDE))
 
 
-@lru_cache
 def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least and largest smaller size of each band, and the largest size of a partner."""
     at, low, high = 1, [], []
@@ -109,12 +108,17 @@ def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(low), high_a, high_a * den // num
 
 
-def signatures(owner: np.ndarray, h: np.ndarray, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) for the sets of n rows."""
-    low, high, reach = bands(num, den)
+def signatures(owner: np.ndarray, h: np.ndarray, n: int, num: int, den: int, cut: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """(row, signature) and (row, left * 64 + slot) for the sets of n rows; cut is bands(num, den), where it is known."""
+    low, high, reach = cut or bands(num, den)
     size = np.bincount(owner, minlength=n)
     start = np.cumsum(size) - size
-    rows_out, sigs_out = [], []
+    rows_out, sigs_out, left_rows, lefts = [], [], [], []
+
+    def emit_(rows: np.ndarray, sigs: np.ndarray, slot: np.ndarray) -> None:
+        rows_out.append(rows)
+        sigs_out.append(sigs << np.uint64(SLOT_BITS) | slot.astype(np.uint64))
+
     lowest = np.searchsorted(reach, size, side="left")  # bands from there to the one of its own size
     own = np.searchsorted(low, size, side="right") - 1
     for step in range(int((own - lowest).max(initial=0)) + 1):
@@ -125,11 +129,13 @@ def signatures(owner: np.ndarray, h: np.ndarray, n: int, num: int, den: int) ->
             if not len(rows):
                 break
             b = band[rows]
+            slot = b % 8 * 8 + split
             smaller = np.minimum(size[rows], high[b])
             k, k_band_rows = smaller * (den - num) // num, high[b] * (den - num) // num
             if split == SPLITS:  # hollow in all splits: these few meet under one signature a band
-                rows_out.append(rows)
-                sigs_out.append(mix64(b.astype(np.uint64) * np.uint64(1009) + np.uint64(7)))
+                emit_(rows, mix64(b.astype(np.uint64) * np.uint64(1009) + np.uint64(7)), slot)
+                left_rows.append(rows)
+                lefts.append(1 << SLOT_BITS | slot)
                 break
             three = k_band_rows <= SMALL_K
             spare = np.where(three, 0, SPARE + k_band_rows // SPARE_EVERY)
@@ -155,22 +161,23 @@ def signatures(owner: np.ndarray, h: np.ndarray, n: int, num: int, den: int) ->
             hollow = np.zeros(len(rows), np.int64)
             one = ~three[cell_row]
             name = mix64(cells + salt[cell_row] + place * np.uint64(0x2545F4914F6CDD1D))
-            rows_out.append(rows[cell_row[one & filled]])
-            sigs_out.append(name[one & filled])
+            emit_(rows[cell_row[one & filled]], name[one & filled], slot[cell_row[one & filled]])
             np.add.at(hollow, cell_row[one & ~filled], 1)
             heads = np.flatnonzero(~one & (place % np.uint64(3) == 0))
             bad = np.zeros(len(heads), bool)
             for x, y in ((0, 1), (0, 2), (1, 2)):
                 some = filled[heads + x] | filled[heads + y] if len(heads) else bad
                 pair = mix64(cells[heads + x] * np.uint64(3) + cells[heads + y] * np.uint64(5) + salt[cell_row[heads]] + (place[heads] * np.uint64(3) + np.uint64(x + y)) * np.uint64(0x2545F4914F6CDD1D))
-                rows_out.append(rows[cell_row[heads[some]]])
-                sigs_out.append(pair[some])
+                emit_(rows[cell_row[heads[some]]], pair[some], slot[cell_row[heads[some]]])
                 bad = bad | ~some
             np.add.at(hollow, cell_row[heads[bad]], 1)
-            rows = rows[hollow > spare]
+            sure = hollow <= spare
+            left_rows.append(rows[sure])
+            lefts.append((1 + spare - hollow)[sure] << SLOT_BITS | slot[sure])
+            rows = rows[~sure]
     if not rows_out:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(rows_out), np.concatenate(sigs_out).view(np.int64)
+        return (np.empty(0, np.int64),) * 4
+    return np.concatenate(rows_out), np.concatenate(sigs_out).view(np.int64), np.concatenate(left_rows), np.concatenate(lefts).astype(np.int64)
 
 
 def sketches(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -188,54 +195,50 @@ def _each(n: int, make):
             data, offsets = buffers(part.column(part.num_columns - 1))
             for i, j in chunks(offsets):
                 owner, h = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
-                yield from batches([make(part, i, j, owner, h)])
+                yield from batches([make(part.slice(i, j - i), owner, h)])
 
     return run
 
 
-def _describe(part: pa.RecordBatch, i: int, j: int, owner: np.ndarray, h: np.ndarray) -> dict:
-    h1, h2 = set_hashes(owner, h, j - i)
-    sk = sketches(owner, h, j - i)
-    own = part.slice(i, j - i)
-    return {"doc_id": own.column(0), "k": own.column(1), "t": own.column(2), "n": np.bincount(owner, minlength=j - i), "h1": h1, "h2": h2, **{f"s{x}": np.ascontiguousarray(sk[:, x]) for x in range(4)}}
+def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """Values by owner, which is in order, as one list per row."""
+    ends = np.cumsum(np.bincount(owner, minlength=n))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _sign(num: int, den: int):
-    def make(part: pa.RecordBatch, i: int, j: int, owner: np.ndarray, h: np.ndarray) -> dict:
-        h1, h2 = set_hashes(owner, h, j - i)
-        _, once = np.unique(h1 ^ (h2 << 1), return_index=True)  # copies in one chunk sign once
-        keep = np.zeros(j - i, bool)
-        keep[once] = True
-        kept = keep[owner]
-        rows, sigs = signatures(owner[kept], h[kept], j - i, num, den)
-        return {"sig": sigs, "h1": h1[rows], "h2": h2[rows]}
+def _describe(num: int, den: int):
+    cut = bands(num, den)
 
-    return make
+    def make(part: pa.RecordBatch, owner: np.ndarray, h: np.ndarray) -> dict:
+        rows = part.num_rows
+        h1, h2 = set_hashes(owner, h, rows)
+        sk = sketches(owner, h, rows)
+        once = np.zeros(rows, bool)  # copies in one chunk sign once
+        once[np.unique(np.stack([h1, h2]), axis=1, return_index=True)[1]] = True
+        kept = once[owner]
+        who, sigs, sure, left = signatures(owner[kept], h[kept], rows, num, den, cut)
+        order, by = np.argsort(who, kind="stable"), np.argsort(sure, kind="stable")
+        return {"doc_id": part.column(0), "k": part.column(1), "t": part.column(2), "n": np.bincount(owner, minlength=rows), "h1": h1, "h2": h2, **{f"s{x}": np.ascontiguousarray(sk[:, x]) for x in range(4)}, "sigs": _lists(who[order], sigs[order], rows), "lefts": _lists(sure[by], left[by], rows)}
 
-
-def _sets(part: pa.RecordBatch, i: int, j: int, owner: np.ndarray, h: np.ndarray) -> dict:
-    ends = np.cumsum(np.bincount(owner, minlength=j - i))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(h.view(np.int64)))
-    return {"node": part.column(0).slice(i, j - i), "items": lists}
+    return make
 
 
-def _node() -> Column:
-    return F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
+def _sets(part: pa.RecordBatch, owner: np.ndarray, h: np.ndarray) -> dict:
+    return {"node": part.column(0), "items": _lists(owner, h, part.num_rows)}
 
 
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by their sets."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select("node", "k", "t")
-    text = texts.join(wanted, ["k", "t"]).select("node", "text").dropDuplicates(["node"])
-    sets = stage(text.mapInArrow(_each(n, _sets), "node string, items array<long>"), "jaccard-sets")
-    release(pairs.sparkSession)
+    """The pairs (a, b) of classes that link, by their sets; pairs is a staged table."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stage(classes.join(nodes, "node", "left_semi").select("node", "k", "t"), "jaccard-wanted", 2 * pairs.count())
+    bits = stage(sieve(wanted, "t"), "jaccard-sieve", 1)
+    text = sift(texts, "t", bits).join(wanted, ["k", "t"]).select("node", "text").dropDuplicates(["node"])
+    sets = stage(text.mapInArrow(_each(n, _sets), "node long, items array<long>"), "jaccard-sets")
     x, y = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     linked = pairs.join(x, "a").join(y, "b").where(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
     linked = stage(linked, "jaccard-links")
-    unstage(sets)
-    release(pairs.sparkSession)
+    unstage(sets, wanted, bits)
     return linked
 
 
@@ -256,51 +259,60 @@ def _row_key() -> list[Column]:
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id; also root, which names the component, and k and t, which name the row."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row_key(), F.coalesce("text", F.lit("")).alias("text"))
-    kinds = "doc_id long, k long, t long, n long, h1 long, h2 long, s0 long, s1 long, s2 long, s3 long"
-    base = stage(texts.mapInArrow(_each(n, _describe), kinds), "jaccard-base")
+    kinds = "doc_id long, k long, t long, n long, h1 long, h2 long, s0 long, s1 long, s2 long, s3 long, sigs array<long>, lefts array<long>"
+    base = stage(texts.mapInArrow(_each(n, _describe(num, den)), kinds), "jaccard-base")
+    rows = base.count()
     keep = [F.first(c).alias(c) for c in ("k", "t", "n", "s0", "s1", "s2", "s3")]
-    classes = base.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *keep).withColumn("node", _node())
-    classes = stage(classes, "jaccard-classes")
-
-    signed = texts.select("text").mapInArrow(_each(n, _sign(num, den)), "sig long, h1 long, h2 long")
-    signed = signed.withColumn("x", F.xxhash64("h1", F.pmod("sig", F.lit(ORDERS))))
-    shared = signed.groupBy("sig").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low <> high").select("sig", "low")
+    # a class is named by h1; of those rare ones that share it, all but the first get another name
+    place = F.row_number().over(Window.partitionBy("h1").orderBy("h2"))
+    classes = base.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *keep).withColumn("place", place)
+    classes = classes.withColumn("node", F.when(F.col("place") == 1, F.col("h1")).otherwise(F.xxhash64("h1", "h2", "place")))
+    classes = stage(classes, "jaccard-classes", rows)
+
+    signed = base.select(F.explode("sigs").alias("sig"), F.col("h1").alias("node"))
+    shared = signed.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), (F.count(F.lit(1)) > HOT).alias("hot"))
+    shared = shared.where("low <> high").select("sig", "low", "hot")
     shared = stage(shared, "jaccard-shared")
-    release(spark)
-    members = stage(signed.join(shared, "sig").select("sig", "h1", "h2", (F.col("x") == F.col("low")).alias("head")).distinct().withColumn("node", _node()), "jaccard-members")
-    unstage(shared)
-    release(spark)
+    bits = stage(sieve(shared, "sig"), "jaccard-sieve", 1)
+    met = sift(signed, "sig", bits).join(shared, "sig").select("sig", "node", "low", "hot").distinct()
+    clash = classes.where("place > 1").select(F.col("h1").alias("node"), F.col("node").alias("other"))
+    members = stage(met.union(met.join(clash, "node").select("sig", "other", "low", "hot")), "jaccard-members")
 
-    heads = members.where("head").groupBy("sig").agg(F.min("node").alias("b"))
-    stars = members.join(heads, "sig").where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    stars = members.where("node <> low").select(F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b")).distinct()
     likely = stars.join(_prefixed(classes, "a"), "a").join(_prefixed(classes, "b"), "b").where(_allowed(num, den)).select("a", "b")
     links = _links(stage(likely, "jaccard-stars"), classes, texts, n, num, den)
-    roots = stage(connected_components(links), "jaccard-roots")
+    roots = stage(connected_components(links), "jaccard-roots", rows)
+    unstage(shared, bits)
 
-    placed = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots, "node", "left").select("sig", "node", "hot", F.coalesce("root", "node").alias("root"))
     several = placed.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("sig")
-    undecided = stage(placed.join(several, "sig"), "jaccard-undecided")
-    lowest = undecided.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LOWEST).alias("low"))
-    open_ = stage(undecided.join(lowest, "node").join(classes.select("node", "n", "s0", "s1", "s2", "s3"), "node"), "jaccard-open")
-    side = lambda p: open_.select("sig", F.col("node").alias(p), F.col("root").alias(f"{p}_root"), *(F.col(c).alias(f"{p}_{c}") for c in ("low", "n", "s0", "s1", "s2", "s3")))
-    # a pair meets under its least common signature; where that is beyond both lists, under all
-    common = F.array_intersect("a_low", "b_low")
-    once = (F.size(common) == 0) | (F.col("sig") == F.array_min(common))
-    rest = side("a").join(side("b"), "sig").where((F.col("a_root") > F.col("b_root")) & _allowed(num, den) & once)
-    rest = stage(rest.select("a", "b").distinct(), "jaccard-rest")
-    release(spark)
+    slot = F.col("sig").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).alias("slot")
+    undecided = stage(placed.join(several, "sig").select("*", slot), "jaccard-undecided")
+    left = base.select(F.col("h1").alias("node"), F.explode("lefts").alias("v")).select("node", F.col("v").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).alias("slot"), F.shiftright("v", SLOT_BITS).alias("left"))
+    left = left.union(left.join(clash, "node").select("other", "slot", "left")).groupBy("node", "slot").agg(F.max("left").alias("left"))
+    cold = undecided.groupBy("node", "slot").agg(F.sum(F.col("hot").cast("long")).alias("hots")).join(left, ["node", "slot"], "left")
+    cold = cold.select("node", "slot", F.coalesce("left", F.lit(0)).alias("left"), (F.coalesce("left", F.lit(0)) - F.col("hots")).alias("cold"))
+    open_ = undecided.join(cold, ["node", "slot"]).where("not hot or cold <= 0").join(classes.select("node", "n", "s0", "s1", "s2", "s3"), "node")
+    open_ = stage(open_, "jaccard-open")
+    side = lambda p: open_.select("sig", "slot", "hot", F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("root", "left", "cold", "n", "s0", "s1", "s2", "s3")))
+    met = side("a").join(side("b").drop("slot", "hot"), "sig").where((F.col("a_root") > F.col("b_root")) & _allowed(num, den))
+    met = met.groupBy("a", "b", "slot", F.greatest("a_left", "b_left").alias("left"), F.greatest("a_cold", "b_cold").alias("cold"))
+    met = met.agg(F.count(F.lit(1)).alias("all"), F.sum((~F.col("hot")).cast("long")).alias("colds"))
+    enough = F.when(F.col("cold") > 0, F.col("colds") >= F.col("cold")).otherwise((F.col("left") > 0) & (F.col("all") >= F.col("left")))
+    rest = stage(met.where(enough).select("a", "b").distinct(), "jaccard-rest")
+    unstage(members, undecided)
     more = _links(rest, classes, texts, n, num, den)
-    unstage(members, undecided, open_, rest)
+    unstage(open_, rest)
     if not more.isEmpty():
-        roots = stage(connected_components(links.union(more)), "jaccard-roots")
+        roots = stage(connected_components(links.union(more)), "jaccard-roots", rows)
 
     rooted = classes.select("h1", "h2", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(rooted.join(least, "root").select("h1", "h2", "root", "component_id"), "jaccard-named")
+    named = stage(rooted.join(least, "root").select("h1", "h2", "root", "component_id"), "jaccard-named", rows)
+    unstage(links, more, classes)
     found = base.where("n > 0").join(named, ["h1", "h2"])
-    alone = base.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("string"))
+    alone = base.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("long"))
     cols = [F.col("doc_id"), F.col("n").alias("n_shingles"), "component_id", "root", "k", "t"]
     return found.select(*cols).unionByName(alone.select(*cols))
 
@@ -322,3 +334,32 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}
+
+ORACLE_SQL = {
+    "op2_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE
+    WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')]
+    ELSE [] END) AS sh
+  FROM w
+), e AS MATERIALIZED (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s
+), links AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM e x JOIN e y ON x.h = y.h AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
+FROM s LEFT JOIN reach r ON r.a = s.doc_id
+GROUP BY s.doc_id, len(s.sh)
+""",
+}

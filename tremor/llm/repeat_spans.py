@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Rolling, batches, buffers, chunks, release, slices, stage, table, unstage
+from .common import CHUNK_BYTES, batches, buffers, chunks, mix64, slices, stage, table, unstage
 
 # Fixed value of the query: bytes of a repeated string.
 WIDTH = 200
@@ -47,8 +47,38 @@ FEW = 256
 STEPS = (16, 4, 1)
 #: Suffixes that a task sorts at once.
 BATCH_SUFFIXES = 100_000
+#: Bits of a place in a buffer: the others of a 64-bit word order the digits, alike in every buffer.
+PLACE_BITS = np.uint64(int(2 * CHUNK_BYTES).bit_length())
 
 
+class Rolling:
+    """Hashes of any span of a byte buffer from prefix sums of a random polynomial modulo 2**64.
+
+    The base is odd, hence invertible, so a span's sum can be shifted to a common origin. This
+    modulus is weak from about 1,000 symbols on; spans here have less than 2 * WIDTH bytes.
+    """
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(rng.integers(2**60, 2**63, dtype=np.int64)) * 2 + 1
+        self.inverse = pow(self.base, -1, 2**64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> None:
+        if len(self.up) < n:
+            m = max(n, 2 * len(self.up))
+            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(m - 1, b, np.uint64)]), dtype=np.uint64) for b in (self.base, self.inverse))
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        self.powers(len(data) + 1)
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.table[data] * self.up[: len(data)], out=out[1:])
+        return out
+
+    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix64((prefix[ends] - prefix[starts]) * self.down[starts])
+
 def _windows(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, roll: Rolling) -> dict[str, np.ndarray]:
     """Runs of suffixes with one digit: owner row, first start, number, digit and content."""
     starts_ok = np.repeat(offsets[1:] - width, np.maximum(np.diff(offsets), 0))
@@ -59,14 +89,13 @@ def _windows(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, roll:
     prefix = roll.prefix(data)
     at = np.arange(len(data) - gram + 1)
     grams = roll.spans(prefix, at, at + gram)
-    place_bits = np.uint64(max(1, int(len(data)).bit_length()))
-    keyed = (grams >> place_bits << place_bits) | at.astype(np.uint64)
+    keyed = (grams >> PLACE_BITS << PLACE_BITS) | at.astype(np.uint64)
     w = width - gram + 1
     pad = -len(keyed) % w
     blocks = np.concatenate([keyed, np.full(pad, ~np.uint64(0))]).reshape(-1, w)
     left = np.minimum.accumulate(blocks, axis=1).ravel()
     right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = (np.minimum(right[:n], left[w - 1 : w - 1 + n]) & ((np.uint64(1) << place_bits) - np.uint64(1))).astype(np.int64)
+    least = (np.minimum(right[:n], left[w - 1 : w - 1 + n]) & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
     good = np.flatnonzero(np.arange(n) <= starts_ok[:n])
     if not len(good):
         return empty
@@ -112,7 +141,7 @@ def repeated_suffixes(group: np.ndarray, data: np.ndarray, at: np.ndarray, width
     """Which of the suffixes that start at ``at`` agree through ``width`` bytes with another of their group.
 
     Most-significant-digit passes over what is left; a pass refines the groups and drops
-    those of one.
+    those of one. The last one compares bytes, a slice of the groups at a time.
     """
     prefix = roll.prefix(data)
     alive = np.arange(len(at))
@@ -128,7 +157,18 @@ def repeated_suffixes(group: np.ndarray, data: np.ndarray, at: np.ndarray, width
         shared = np.bincount(name)[name] > 1
         alive, group = alive[order][shared], name[shared]
     out = np.zeros(len(at), bool)
-    out[alive] = True
+    for s in range(0, len(alive), BATCH_SUFFIXES):
+        # a slice starts with the member before it, so that neighbours of one group are compared
+        own = alive[max(0, s - 1) : s + BATCH_SUFFIXES + 1]
+        name = group[max(0, s - 1) : s + BATCH_SUFFIXES + 1]
+        bytes_ = np.lib.stride_tricks.sliding_window_view(data, width)[at[own]]
+        same = (name[1:] == name[:-1]) & (bytes_[1:] == bytes_[:-1]).all(axis=1)
+        out[own[1:][same]] = out[own[:-1][same]] = True
+        odd = np.unique(name[1:][(name[1:] == name[:-1]) & ~same])
+        for g in odd:  # equal hashes of different bytes: practically never
+            members = alive[group == g]
+            _, back, times = np.unique(np.lib.stride_tricks.sliding_window_view(data, width)[at[members]], axis=0, return_inverse=True, return_counts=True)
+            out[members] = times[back] > 1
     return out
 
 
@@ -250,48 +290,46 @@ def _sort_many(often: DataFrame, width: int, gram: int) -> DataFrame:
     return found
 
 
-def _remove(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in (x for whole in parts for x in slices(whole)):
-        data, offsets = buffers(part.column(1))
-        lists = part.column(2)
-        removed, spans, digests = [], [], []
-        for i in range(part.num_rows):
-            own = data[offsets[i] : offsets[i + 1]]
-            if lists[i].is_valid:
-                values = lists[i].values
-                edge = np.zeros(len(own) + 1, np.int32)
-                np.add.at(edge, values.field(0).to_numpy(), 1)
-                np.add.at(edge, values.field(1).to_numpy(), -1)
-                gone = np.cumsum(edge[:-1]) > 0
+def _remove(with_kept: bool):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for whole in parts for x in slices(whole)):
+            data, offsets = buffers(part.column(1))
+            lists = part.column(2)
+            removed, spans, digests, kept = [], [], [], []
+            for i in range(part.num_rows):
+                own = data[offsets[i] : offsets[i + 1]]
+                gone = np.zeros(0, bool)
+                if lists[i].is_valid:
+                    values = lists[i].values
+                    edge = np.zeros(len(own) + 1, np.int32)
+                    np.add.at(edge, values.field(0).to_numpy(), 1)
+                    np.add.at(edge, values.field(1).to_numpy(), -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    own = own[~gone]
                 removed.append(int(gone.sum()))
                 spans.append(len(_ranges(gone)[0]))
-                own = own[~gone]
-            else:
-                removed.append(0)
-                spans.append(0)
-            digests.append((hashlib.sha256(own.tobytes()).hexdigest(), own.tobytes()))
-        yield pa.RecordBatch.from_pydict(
-            {
+                digests.append(hashlib.sha256(own).hexdigest())
+                if with_kept:
+                    kept.append(own.tobytes())
+            cols = {
                 "doc_id": part.column(0),
                 "n_bytes": pa.array(np.diff(offsets)),
                 "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(spans, pa.int64()),
-                "kept_sha256": pa.array([d[0] for d in digests], pa.string()),
-                "kept": pa.array([d[1] for d in digests], pa.binary()),
+                "kept_sha256": pa.array(digests, pa.string()),
             }
-        )
+            yield pa.RecordBatch.from_pydict(cols | ({"kept": pa.array(kept, pa.binary())} if with_kept else {}))
+
+    return run
 
 
 def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few: int = FEW) -> DataFrame:
     """(k, t, gone): byte ranges [low, high) of documents that repeated strings cover; docs has k, t, text."""
-    spark = docs.sparkSession
     docs_text = docs.select("k", "t", "text")
     runs = docs_text.mapInArrow(_runs(width, gram), "k long, t long, start long, count int, digit long, content long")
     shared = runs.groupBy("digit").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("c1"), F.max("content").alias("c2")).where("n > 1")
     shared = stage(shared.select("digit", (F.col("c1") != F.col("c2")).alias("mixed")), "repeat-digits")
-    release(spark)
     hits = stage(runs.join(shared, "digit"), "repeat-runs")
-    release(spark)
 
     mixed = hits.where("mixed").groupBy("digit", "content").agg(F.count(F.lit(1)).alias("times"), *(F.first(c).alias(c) for c in ("k", "t", "start", "count")))
     mixed = stage(mixed, "repeat-contents")
@@ -300,7 +338,6 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few:
     body = F.substring(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("count") + width - 1).cast("int"))
     picked = mixed.join(docs_text, ["k", "t"]).select("digit", "content", "times", "count", body.alias("body"))
     picked = stage(picked.dropDuplicates(["digit", "content"]), "repeat-bodies")
-    release(spark)
     rare = picked.join(many, "digit", "left_anti")
     found = rare.repartition("digit").sortWithinPartitions("digit").select("digit", "content", "times", "count", "body").mapInArrow(_sort_few(width), "digit long, content long, low int, high int")
     if not many.isEmpty():
@@ -308,7 +345,6 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few:
         found = found.unionByName(_sort_many(stage(often, "repeat-often"), width, gram))
     found = stage(found, "repeat-found")
     unstage(picked, mixed, shared)
-    release(spark)
 
     start = F.col("start").cast("long")
     whole = hits.where("not mixed").select("k", "t", start.alias("low"), (start + F.col("count") + width - 1).alias("high"))
@@ -316,20 +352,20 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few:
     per_doc = whole.unionByName(part).distinct().groupBy("k", "t").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
     per_doc = stage(per_doc, "repeat-ranges")
     unstage(hits, found)
-    release(spark)
     return per_doc
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few: int = FEW) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few: int = FEW, with_kept: bool = True) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, where wanted, the kept bytes."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("k"), F.xxhash64("text").alias("t"), "text")
     joined = keyed.join(repeated_ranges(keyed, width, gram, few), ["k", "t"], "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return joined.mapInArrow(_remove(with_kept), kinds + (", kept binary" if with_kept else ""))
 
 
 def op1_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
 
 QUERIES = {"op1_repeat_spans": op1_repeat_spans}
