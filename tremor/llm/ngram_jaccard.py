@@ -15,8 +15,10 @@ such hollow blocks than the band has spare ones adds the signatures of another r
 partner, hollow in the same blocks, does so too. So no linked pair is lost.
 
 Pairs: equal sets are one class first. The classes of a signature are first compared with
-the least of them only; classes already connected need no more. What stays undecided is
-narrowed by counts: of its blocks, a set with h hollow ones shares at least
+the least of them only, then, where several components are left, with the least of each in
+HEADS random orders, each time only where STAR signatures have the same head: that settles
+groups of near copies with few comparisons, and need not find every link. Classes already
+connected need no more. What stays undecided is narrowed by counts: of its blocks, a set with h hollow ones shares at least
 ``left`` = 1 + spare - h signatures with any set it links to. Signatures of more than HOT rows
 are passed over where the rest must still show some of these; only two sets that both lack
 enough others meet under them too. A pair that shares fewer signatures than it would have
@@ -49,6 +51,8 @@ SMALL_K = 9
 SPARE, SPARE_EVERY = 3, 7
 SPLITS = 5
 SKETCH = 256
+#: Signatures with one head that a class has to share with it to be compared at once; heads of the second turn.
+STAR, HEADS = 4, 8
 #: Rows of a signature that is passed over where others suffice.
 HOT = 32
 #: The low bits of a signature name its slot: band modulo 8, then split.
@@ -108,7 +112,12 @@ def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(low), high_a, high_a * den // num
 
 
-def signatures(owner: np.ndarray, h: np.ndarray, n: int, num: int, den: int, cut: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+def signatures(owner: np.ndarray, h: np.ndarray, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) for the sets of n rows."""
+    return sign(owner, h, n, num, den)[:2]
+
+
+def sign(owner: np.ndarray, h: np.ndarray, n: int, num: int, den: int, cut: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
     """(row, signature) and (row, left * 64 + slot) for the sets of n rows; cut is bands(num, den), where it is known."""
     low, high, reach = cut or bands(num, den)
     size = np.bincount(owner, minlength=n)
@@ -216,7 +225,7 @@ def _describe(num: int, den: int):
         once = np.zeros(rows, bool)  # copies in one chunk sign once
         once[np.unique(np.stack([h1, h2]), axis=1, return_index=True)[1]] = True
         kept = once[owner]
-        who, sigs, sure, left = signatures(owner[kept], h[kept], rows, num, den, cut)
+        who, sigs, sure, left = sign(owner[kept], h[kept], rows, num, den, cut)
         order, by = np.argsort(who, kind="stable"), np.argsort(sure, kind="stable")
         return {"doc_id": part.column(0), "k": part.column(1), "t": part.column(2), "n": np.bincount(owner, minlength=rows), "h1": h1, "h2": h2, **{f"s{x}": np.ascontiguousarray(sk[:, x]) for x in range(4)}, "sigs": _lists(who[order], sigs[order], rows), "lefts": _lists(sure[by], left[by], rows)}
 
@@ -279,16 +288,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     clash = classes.where("place > 1").select(F.col("h1").alias("node"), F.col("node").alias("other"))
     members = stage(met.union(met.join(clash, "node").select("sig", "other", "low", "hot")), "jaccard-members")
 
-    stars = members.where("node <> low").select(F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b")).distinct()
-    likely = stars.join(_prefixed(classes, "a"), "a").join(_prefixed(classes, "b"), "b").where(_allowed(num, den)).select("a", "b")
-    links = _links(stage(likely, "jaccard-stars"), classes, texts, n, num, den)
+    pair = [F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")]
+
+    def compare(stars: DataFrame) -> DataFrame:
+        """Links of the pairs (a, b) that stand in enough rows of stars."""
+        often = stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= STAR)
+        likely = often.join(_prefixed(classes, "a"), "a").join(_prefixed(classes, "b"), "b").where(_allowed(num, den)).select("a", "b")
+        return _links(stage(likely, "jaccard-stars"), classes, texts, n, num, den)
+
+    def place_(roots: DataFrame) -> DataFrame:
+        """Members of signatures with several components left, with their roots."""
+        placed = members.join(roots, "node", "left").select("sig", "node", "hot", F.coalesce("root", "node").alias("root"))
+        several = placed.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("sig")
+        return placed.join(several, "sig")
+
+    links = compare(members.withColumnRenamed("low", "head").where("node <> head").select(*pair))
     roots = stage(connected_components(links), "jaccard-roots", rows)
     unstage(shared, bits)
-
-    placed = members.join(roots, "node", "left").select("sig", "node", "hot", F.coalesce("root", "node").alias("root"))
-    several = placed.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("sig")
+    open_ = stage(place_(roots), "jaccard-placed")
+    orders = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("u"), F.col("node").alias("head"), F.col("root").alias("head_root"))).alias(f"h{k}") for k in range(HEADS)]
+    heads = open_.groupBy("sig").agg(*orders).select("sig", F.explode(F.array_distinct(F.array(*(F.struct(f"h{k}.head", f"h{k}.head_root") for k in range(HEADS))))).alias("h")).select("sig", "h.*")
+    # a pair is counted once a signature, also where both are heads
+    stars = open_.join(heads, "sig").where("root <> head_root").select("sig", *pair).distinct()
+    more = compare(stars)
+    unstage(open_)
+    if not more.isEmpty():
+        links = stage(links.union(more), "jaccard-links")
+        roots = stage(connected_components(links), "jaccard-roots", rows)
     slot = F.col("sig").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).alias("slot")
-    undecided = stage(placed.join(several, "sig").select("*", slot), "jaccard-undecided")
+    undecided = stage(place_(roots).select("*", slot), "jaccard-undecided")
     left = base.select(F.col("h1").alias("node"), F.explode("lefts").alias("v")).select("node", F.col("v").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).alias("slot"), F.shiftright("v", SLOT_BITS).alias("left"))
     left = left.union(left.join(clash, "node").select("other", "slot", "left")).groupBy("node", "slot").agg(F.max("left").alias("left"))
     cold = undecided.groupBy("node", "slot").agg(F.sum(F.col("hot").cast("long")).alias("hots")).join(left, ["node", "slot"], "left")
