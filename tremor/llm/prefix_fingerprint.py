@@ -34,6 +34,8 @@ from .common import partitions, slices, table
 PRIMES = (2147483629, 2147483587)
 BASES = (1000003, 69069069)
 GROWTH = 1.125
+#: Cuts between blocks that are looked through at once.
+STEP = 64
 # Content-defined spans: code points that decide on a cut, one cut in EVERY, and the longest span.
 WINDOW, EVERY, LONGEST = 8, 32, 255
 
@@ -47,29 +49,22 @@ def _grid(most: int) -> list[int]:
 
 
 GRID = _grid(1 << 40)
+GRID_ARRAY = np.array(GRID)
 
 
 class Powers:
-    """Powers of the bases, kept and grown as longer texts come."""
+    """Powers of the bases and of their inverses, kept and grown as longer texts come."""
 
     def __init__(self) -> None:
-        self.have = [np.ones(1, np.uint64) for _ in PRIMES]
-        self.down = np.ones(1, np.uint64)
-
-    def inverse(self, n: int) -> np.ndarray:
-        """Powers of the first base's inverse."""
-        p = PRIMES[0]
-        while len(self.down) < n:
-            step = np.uint64(pow(BASES[0], -len(self.down), p))
-            self.down = np.concatenate([self.down, self.down * step % np.uint64(p)])
-        return self.down
-
-    def upto(self, n: int) -> list[np.ndarray]:
+        self.up = [np.ones(1, np.uint64) for _ in PRIMES]
+        self.down = [np.ones(1, np.uint64) for _ in PRIMES]
+
+    def upto(self, n: int) -> None:
         for k, (p, b) in enumerate(zip(PRIMES, BASES, strict=True)):
-            while len(self.have[k]) < n:
-                step = np.uint64(pow(b, len(self.have[k]), p))
-                self.have[k] = np.concatenate([self.have[k], self.have[k] * step % np.uint64(p)])
-        return self.have
+            while len(self.up[k]) < n:
+                m = len(self.up[k])
+                self.up[k] = np.concatenate([self.up[k], self.up[k] * np.uint64(pow(b, m, p)) % np.uint64(p)])
+                self.down[k] = np.concatenate([self.down[k], self.down[k] * np.uint64(pow(b, -m, p)) % np.uint64(p)])
 
 
 POWERS = Powers()
@@ -81,7 +76,8 @@ class Prefixes:
     def __init__(self, text: str, powers: Powers = POWERS):
         self.n = len(text)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        self.powers = powers.upto(self.n + 1)
+        powers.upto(self.n + 1)
+        self.powers, self.down = powers.up, powers.down
         self.h = []
         for p, w in zip(PRIMES, self.powers, strict=True):
             sums = np.zeros(self.n + 1, np.uint64)
@@ -98,6 +94,16 @@ class Prefixes:
             out = out << 31 | (int(h[j]) - int(h[i])) * pow(b, -i, p) % p
         return out
 
+    def spans(self, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+        """The part of span() modulo the k-th prime, for many spans at once."""
+        p = np.uint64(PRIMES[k])
+        return (self.h[k][ends] + p - self.h[k][starts]) % p * self.down[k][starts] % p
+
+    def windows(self, width: int) -> np.ndarray:
+        """spans() modulo the first prime of all windows of a width, by their starts."""
+        p, h = np.uint64(PRIMES[0]), self.h[0]
+        return (h[width:] + p - h[:-width]) % p * self.down[0][: max(0, self.n + 1 - width)] % p
+
     def same(self, i: int, other: Prefixes, j: int, n: int) -> bool:
         """Whether text[i:i+n] equals other's [j:j+n]; the later start is the common origin."""
         for p, w, a, b in zip(PRIMES, self.powers if self.n >= other.n else other.powers, self.h, other.h, strict=True):
@@ -121,14 +127,12 @@ class Prefixes:
 
 def _hashes(x: Prefixes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """First part of span() for many spans at once."""
-    p = np.uint64(PRIMES[0])
-    return (x.h[0][ends] + p - x.h[0][starts]) % p * POWERS.inverse(x.n + 1)[starts] % p
+    return x.spans(starts, ends, 0)
 
 
 def _cuts(x: Prefixes) -> np.ndarray:
     """Starts of the content-defined spans, and the text's end."""
-    at = np.arange(WINDOW, x.n)
-    cuts = at[_hashes(x, at - WINDOW, at) % np.uint64(EVERY) == 0] if len(at) else at
+    cuts = np.flatnonzero(x.windows(WINDOW)[:-1] & np.uint64(EVERY - 1) == 0) + WINDOW if x.n > WINDOW else np.empty(0, np.int64)
     cuts = np.concatenate([[0], cuts, [x.n]]).astype(np.int64)
     if (more := (np.diff(cuts) - 1) // LONGEST).any():  # long spans in pieces
         first = np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
@@ -136,6 +140,11 @@ def _cuts(x: Prefixes) -> np.ndarray:
     return cuts
 
 
+def _hex24(values: np.ndarray) -> str:
+    """The low 24 bits of each value as 6 hex digits."""
+    return np.ascontiguousarray((values & np.uint64((1 << 24) - 1)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]).tobytes().hex()
+
+
 def fingerprint(text: str) -> str:
     """``n:whole:prefixes:suffixes:spans``.
 
@@ -143,13 +152,13 @@ def fingerprint(text: str) -> str:
     content-defined span in order: 6 of its hash, 2 of its length.
     """
     x = Prefixes(text)
-    lengths = GRID[: bisect_right(GRID, x.n)]
-    cut = (1 << 24) - 1
-    heads = "".join(f"{x.prefix(g) & cut:06x}" for g in lengths)
-    tails = "".join(f"{x.span(x.n - g, x.n) & cut:06x}" for g in lengths)
+    lengths = GRID_ARRAY[: bisect_right(GRID, x.n)]
+    heads = _hex24(x.h[1][lengths])
+    tails = _hex24(x.spans(x.n - lengths, np.full(len(lengths), x.n), 1))
     cuts = _cuts(x)
     starts, ends = (cuts[:-1], cuts[1:]) if x.n else (cuts[:0], cuts[:0])
-    spans = ((_hashes(x, starts, ends) & np.uint64(cut)) << np.uint64(8) | (ends - starts).astype(np.uint64)).astype(">u4").tobytes().hex()
+    cut = np.uint64((1 << 24) - 1)
+    spans = ((_hashes(x, starts, ends) & cut) << np.uint64(8) | (ends - starts).astype(np.uint64)).astype(">u4").tobytes().hex()
     return f"{x.n}:{x.prefix(x.n):016x}:{heads}:{tails}:{spans}"
 
 
@@ -220,31 +229,42 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     texts gives every document its successor.
     """
     spark = docs.sparkSession
-    n = partitions(spark) * 2
+    n = partitions(spark)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    cuts = sorted(set(cuts or []))
+    # the cuts in rows of STEP: a row is found by its first cut, the place in it by counting
+    coarse, rows_of = [*cuts[::STEP]], [cuts[i : i + STEP] for i in range(0, len(cuts), STEP)]
     block = F.lit(0)
-    for i in range(0, len(cuts), 64):  # sums of comparisons, in chunks that stay shallow
-        block = block + F.size(F.filter(F.array(*map(F.lit, cuts[i : i + 64])), lambda c: c <= F.col("doc_id")))
+    if cuts:
+        row = F.size(F.filter(F.lit(coarse), lambda c: c <= F.col("doc_id")))
+        place = F.size(F.filter(F.element_at(F.lit(rows_of), row), lambda c: c <= F.col("doc_id")))
+        block = F.when(row > 0, (row - 1) * STEP + place).otherwise(0)
     block = F.when(F.col("doc_id").isNull(), 0).otherwise(block)
+    named = _labels(spark, n, len(cuts) + 1)
+    starts = ids.withColumn("block", block).groupBy("block").agg(F.when(F.count("doc_id") == F.count(F.lit(1)), F.min("doc_id")).alias("first"))
+    starts = sorted((r[0], r[1]) for r in starts.collect())  # one row a block
+    first, previous = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    for i, (b, least) in enumerate(starts):
+        first[b], previous[b] = least, named[starts[i - 1][0]]  # the first block follows the last one
+    at = F.col("block") + 1
+    literal = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", block)
-    starts = sorted((r[0], r[1]) for r in ids.withColumn("block", block).groupBy("block").agg(F.when(F.count("doc_id") == F.count(F.lit(1)), F.min("doc_id")).alias("first")).collect())
-    before = {starts[i][0]: starts[i - 1][0] for i in range(len(starts))}
-    first = F.lit(False)
-    previous = F.lit(-1)
-    if starts:
-        pairs = [(b, f) for b, f in starts]
-        at = F.map_from_arrays(F.array(*[F.lit(b) for b, _ in pairs]), F.array(*[F.lit(f).cast("long") for _, f in pairs]))
-        first = F.col("doc_id").eqNullSafe(at[F.col("block")])
-        previous = F.map_from_arrays(F.array(*[F.lit(b) for b in before]), F.array(*[F.lit(b) for b in before.values()]))[F.col("block")]
-    own = F.struct(F.col("block").alias("block"), F.lit(0).alias("tail"))
-    copy = F.struct(previous.alias("block"), F.lit(1).alias("tail"))
-    dealt = rows.withColumn("place", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own)))).select("place.block", "place.tail", "doc_id", "text")
+    own = F.struct(F.element_at(literal(named), at).alias("block"), F.lit(0).alias("tail"))
+    copy = F.struct(F.element_at(literal(previous), at).alias("block"), F.lit(1).alias("tail"))
+    places = F.when(F.col("doc_id").eqNullSafe(F.element_at(literal(first), at)), F.array(own, copy)).otherwise(F.array(own))
+    dealt = rows.withColumn("place", F.explode(places)).select("place.block", "place.tail", "doc_id", "text")
     dealt = dealt.repartition(n, "block").sortWithinPartitions("block", "tail", F.col("doc_id").asc_nulls_first(), "text")
     return dealt.mapInArrow(_run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def _labels(spark: SparkSession, n: int, blocks: int) -> list[int]:
+    """Names for blocks that hash to different ones of n partitions, as far as there are enough."""
+    found = spark.range(32 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).select("id").collect()
+    names = sorted(r[0] for r in found)
+    return [names[i] if i < len(names) else 32 * n + i for i in range(blocks)]
+
+
 def op6_prefix_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
