@@ -5,8 +5,10 @@ should get on average. The whole part is given to all; the fractional parts are
 by pairing: of two documents, words move at random from one to the other until one
 fraction is 0 or 1, which keeps the source's words and each document's expectation. Blocks
 of about BLOCK documents are folded side by side; every block leaves one fraction, and
-these are folded again, BLOCK to one, up to a single one per source. So a source's words
-differ from its target by less than one document.
+these are folded again, BLOCK to one, up to a single one per source, which is rounded as its
+fraction says. What a source then lacks or has too much, less than its largest document, is
+made up by turning the rounding of a few of its documents, from large to small, chosen by
+hash among CHOICE of each order of size; so it ends near its smallest ones.
 
 Null texts have size 0; null sources are one source, the last in order; sizes of 0 take
 nothing. Rows that agree in id, size and source are one item with a count while rounding,
@@ -29,6 +31,8 @@ SHARE = 1.5
 MOST = 2.0
 
 BLOCK = 64
+#: Documents of a source, an order of size and a direction whose rounding may be turned.
+CHOICE = 8
 EPS = 1e-9
 
 
@@ -72,7 +76,7 @@ def _pivot(acc: Column, x: Column, seed: int) -> Column:
         return (p < EPS) | (p > 1 - EPS)
 
     def out(item: Column, p: Column) -> Column:
-        return F.array(F.struct(item["doc_id"].alias("doc_id"), item["size"].alias("size"), item["rows"].alias("rows"), (item["base"] + F.when(p > 0.5, 1).otherwise(0)).alias("copies")))
+        return F.array(F.struct(item["doc_id"].alias("doc_id"), item["size"].alias("size"), item["rows"].alias("rows"), (item["base"] + F.when(p > 0.5, 1).otherwise(0)).alias("copies"), item["base"].alias("base")))
 
     def left(item: Column, p: Column) -> Column:
         return item.withField("p", p)
@@ -86,7 +90,7 @@ def _pivot(acc: Column, x: Column, seed: int) -> Column:
 def _fold(items: DataFrame, seed: int) -> DataFrame:
     """Per (src, block): the decided items and the one that stays open."""
     item = F.struct(F.xxhash64("doc_id", "size", F.lit(seed)).alias("u"), *(F.col(c) for c in ("doc_id", "size", "rows", "base", "p")))
-    start = F.expr("named_struct('done', cast(array() as array<struct<doc_id:bigint,size:bigint,rows:bigint,copies:bigint>>), 'cur', cast(null as struct<doc_id:bigint,size:bigint,rows:bigint,base:bigint,p:double>))")
+    start = F.expr("named_struct('done', cast(array() as array<struct<doc_id:bigint,size:bigint,rows:bigint,copies:bigint,base:bigint>>), 'cur', cast(null as struct<doc_id:bigint,size:bigint,rows:bigint,base:bigint,p:double>))")
     ordered = F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("u"))
     return (
         items.groupBy("src", "block")
@@ -112,7 +116,7 @@ def mix_items(sizes: DataFrame, seed: int = 0, **how) -> DataFrame:
     counts = stage(items.where("p > 0").groupBy("src").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "mix-blocks")
     most = items.where("p > 0").groupBy("src").count().agg(F.max("count")).first()[0] or 0
 
-    fixed = items.where("p = 0").select("src", "doc_id", "size", "rows", F.col("base").alias("copies"))
+    fixed = items.where("p = 0").select("src", "doc_id", "size", "rows", F.col("base").alias("copies"), F.lit(None).cast("long").alias("base"))
     parts = [fixed]
     level = (
         items.where("p > 0")
@@ -126,11 +130,43 @@ def mix_items(sizes: DataFrame, seed: int = 0, **how) -> DataFrame:
         open_items = folded.where("cur is not null").select("src", "block", "blocks", "cur.*")
         level = open_items.withColumn("blocks", F.ceil(F.col("blocks") / BLOCK)).withColumn("block", F.floor(F.col("block") / BLOCK))
     u = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + depth)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    parts.append(open_items.select("src", "doc_id", "size", "rows", (F.col("base") + F.when(u < F.col("p"), 1).otherwise(0)).alias("copies")))
+    parts.append(open_items.select("src", "doc_id", "size", "rows", (F.col("base") + F.when(u < F.col("p"), 1).otherwise(0)).alias("copies"), "base"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.join(targets, "src").drop("src")
+    turned = stage(_turned(out, targets, seed), "mix-turned")
+    return _apply(out, turned).join(targets, "src").drop("src", "base")
+
+
+def _turned(out: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """(src, key, by): items of single rows whose copies change by one so that a source comes nearer its target."""
+    taken = out.groupBy("src").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+    gap = targets.join(taken, "src").select("src", (F.col("target") - F.col("taken")).alias("gap"))
+    open_ = out.where("base is not null and rows = 1 and size > 0").select("src", _item_key().alias("key"), "size", (F.col("base") + 1 - F.col("copies")).alias("up"))
+    near = Window.partitionBy("src", "up", F.floor(F.log2("size"))).orderBy(F.xxhash64("key", F.lit(seed + 991)), "key")
+    few = open_.withColumn("place", F.row_number().over(near)).where(F.col("place") <= CHOICE)
+    choices = F.sort_array(F.collect_list(F.struct("size", "key")), asc=False)
+    few = few.join(gap, "src").where((F.col("up") == (F.col("gap") > 0).cast("long")) & (F.col("size") < F.abs("gap") + 0.5))
+    few = few.groupBy("src").agg(choices.alias("choices"), F.first("gap").alias("gap"))  # CHOICE for each order of size at most
+    start = F.struct(F.abs("gap").alias("left"), F.expr("cast(array() as array<bigint>)").alias("keys"))
+
+    def take(acc: Column, x: Column) -> Column:
+        return F.when(x["size"] < acc["left"] + 0.5, F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["keys"], F.array(x["key"])).alias("keys"))).otherwise(acc)
+
+    picked = few.select("src", F.signum("gap").cast("long").alias("by"), F.aggregate("choices", start, take)["keys"].alias("keys"))
+    return picked.select("src", F.explode("keys").alias("key"), "by")
+
+
+def _item_key() -> Column:
+    return F.xxhash64("doc_id", "size")
+
+
+def _apply(out: DataFrame, turned: DataFrame) -> DataFrame:
+    """The items with the turned ones' copies changed."""
+    keyed = out.withColumn("key", _item_key()).join(turned, ["src", "key"], "left")
+    mine = F.when(F.col("by").isNotNull() & F.col("base").isNotNull() & (F.col("rows") == 1), F.col("by")).otherwise(F.lit(0))
+    fits = (F.col("copies") + mine).between(F.col("base"), F.col("base") + 1)
+    return keyed.withColumn("copies", F.col("copies") + F.when(fits, mine).otherwise(F.lit(0))).drop("key", "by")
 
 
 def _copies(place: Column, copies: str = "copies", rows: str = "rows") -> Column:
