@@ -9,8 +9,9 @@ and each is at last downsized to the least permitted length that holds its conte
 rooms that stayed empty cost nothing.
 
 Null and empty texts have no words and get no piece. Repeated rows are separate documents
-with pieces of their own; null ids are allowed; other columns are not read. An empty table
-gives no rows.
+with pieces of their own, which a number among equal rows tells apart, so the result does
+not depend on how the rows lie in files; null ids are allowed; other columns are not read.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -103,13 +104,15 @@ def pack_documents(docs: DataFrame, sizes: tuple[int, ...] = SIZES, shard_rows:
     """One row per piece: bin_id, bin_size, bin_used, doc_id, piece, start, length, offset (in words)."""
     most = sizes[-1]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("n"), F.xxhash64("text").alias("t")).where("n > 0")
-    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / most) - 1).cast("int"))))
+    # equal rows are one row with a count up to here; numbered, their copies don't share a shard
+    rows = rows.groupBy("doc_id", "n", "t").agg(F.count(F.lit(1)).alias("copies"))
+    pieces = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / most) - 1).cast("int"))))
     pieces = pieces.withColumn("start", F.col("piece").cast("long") * most).withColumn("length", F.least(F.col("n") - F.col("start"), F.lit(most)).cast("int"))
-    # equal rows get the places of a partition's rows, so that copies don't share a shard
-    pieces = stage(pieces.withColumn("spread", F.xxhash64("doc_id", "t", "piece", F.monotonically_increasing_id())), "pack-pieces")
+    pieces = stage(pieces.withColumn("spread", F.xxhash64("doc_id", "t", "piece", "copy")).drop("copies"), "pack-pieces")
     shards = max(1, math.ceil(pieces.count() / shard_rows))
-    dealt = pieces.select(F.pmod("spread", F.lit(shards)).alias("shard"), F.col("length").alias("length"), "doc_id", "piece", "start")
-    dealt = dealt.repartition(min(shards, 1 << 16), "shard").sortWithinPartitions("shard", F.col("length").desc(), "doc_id", "piece")
+    dealt = pieces.select(F.pmod("spread", F.lit(shards)).alias("shard"), F.col("length").alias("length"), "doc_id", "piece", "start", "spread")
+    dealt = dealt.repartition(min(shards, 1 << 16), "shard").sortWithinPartitions("shard", F.col("length").desc(), "doc_id", "piece", "spread").drop("spread")
     return dealt.mapInArrow(_pack_shards(sizes), "bin_id long, bin_size int, bin_used long, doc_id long, piece int, start long, length int, offset int")
 
 
