@@ -9,9 +9,14 @@ The best k rows are then selected from the most significant slice downward: rows
 are ahead are in, rows that tie go on, and what still ties at the last slice is resolved
 by the smaller id. Blocks are independent; their best k are merged per query.
 
+Index blocks stay where they are built; only the queries travel, to every block, as an exact
+search over all rows needs. Where there are fewer blocks than partitions, a block is copied
+so that each copy answers a part of the queries.
+
 Rows whose vector is null, or holds a null or non-finite component, take no part. Shorter
 vectors count as padded with zeros. Repeated ids are separate rows: a query skips every row
-with its own id, and equal (score, id) pairs are equal results. Fewer than k candidates
+with its own id, each query row has a ranking of its own, and equal (score, id) pairs are
+equal results. Fewer than k candidates
 give fewer ranks; an empty table gives no rows. Other columns are not read. Scores must
 fit in 62 bits.
 """
@@ -26,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import partitions, stage, table, unstage
 
-#: Rows of an index block and queries of a query block: both bound a task's memory.
+#: Rows of an index block, which bound a task's memory, and queries that a copy of one answers.
 BLOCK_ROWS = 16384
-BLOCK_QUERIES = 256
+BLOCK_QUERIES = 1 << 16
 # Fixed values of the query.
 SCALE = 64.0
 TOP = 20
@@ -49,10 +54,6 @@ def _rows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), dense
 
 
-def _pad(m: np.ndarray, width: int) -> np.ndarray:
-    return np.pad(m, ((0, 0), (0, width - m.shape[1]))) if m.shape[1] < width else m
-
-
 def build_slices(matrix: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
     """(slices as packed words, bits per dimension, least value per dimension) of a block."""
     n = len(matrix)
@@ -142,23 +143,21 @@ def _value(score: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack(kind: str):
-    """Rows of a group as one row: ids and the matrix, for queries; with slices, for blocks."""
-
-    def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, part in _by_key(groups):
-            ids, m = _rows(part)
-            order = np.argsort(ids, kind="stable")
-            ids, m = ids[order], m[order]
-            cols = {"k": pa.array([key], pa.int64()), "n": pa.array([len(ids)], pa.int32()), "dims": pa.array([m.shape[1]], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary())}
-            if kind == "block":
-                slices, bits, least = build_slices(m)
-                cols |= {"bits": pa.array([bits], pa.list_(pa.int32())), "least": pa.array([least.tolist()], pa.list_(pa.int64())), "data": pa.array([slices.tobytes()], pa.binary())}
-            else:
-                cols |= {"data": pa.array([m.tobytes()], pa.binary())}
-            yield pa.RecordBatch.from_pydict(cols)
-
-    return run
+def _pack(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a group as one index block: ids in order, slices, bits and least values."""
+    for key, part in _by_key(groups):
+        ids, m = _rows(part)
+        order = np.argsort(ids, kind="stable")
+        slices, bits, least = build_slices(m[order])
+        yield pa.RecordBatch.from_pydict(
+            {
+                "k": pa.array([key], pa.int64()),
+                "ids": pa.array([ids[order].tobytes()], pa.binary()),
+                "bits": pa.array([bits], pa.list_(pa.int32())),
+                "least": pa.array([least.tolist()], pa.list_(pa.int64())),
+                "data": pa.array([slices.tobytes()], pa.binary()),
+            }
+        )
 
 
 def _by_key(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -183,32 +182,44 @@ def _one(held: list[pa.Table]) -> pa.RecordBatch:
     return pa.concat_tables(held).select([1, 2]).combine_chunks().to_batches()[0]
 
 
+class Block:
+    """An index block, to be searched by one query after the other."""
+
+    def __init__(self, ids: bytes, bits: list[int], least: list[int], data: bytes):
+        self.ids, self.bits, self.least = np.frombuffer(ids, np.int64), bits, np.array(least, np.int64)
+        words = -(-len(self.ids) // 64)
+        self.slices = np.frombuffer(data, np.uint64).reshape(sum(bits), words) if sum(bits) else np.zeros((0, words), np.uint64)
+        self.every = np.packbits(np.arange(words * 64) < len(self.ids), bitorder="little").view(np.uint64)
+
+    def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows other than those with the query's own id."""
+        width = max(len(self.bits), len(query))
+        query, least = np.pad(query, (0, width - len(query))), np.pad(self.least, (0, width - len(self.least)))
+        score, base = score_slices(self.slices, self.bits + [0] * (width - len(self.bits)), least, query)
+        valid = self.every.copy()
+        for p in range(np.searchsorted(self.ids, own), np.searchsorted(self.ids, own, side="right")):
+            valid[p >> 6] &= ~np.uint64(1 << (p & 63))
+        best = select_top(score, valid, k)
+        return self.ids[best], _value(score, best) + base
+
+
 def _search(k: int):
+    """Rows by block: the index block first, its ``q`` is null, then the queries that it answers."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Block | None = None
         for part in parts:
+            out = []
+            qs, ids = part.column(0), part.column(1).to_pylist()
+            values = part.column(2)
             for r in range(part.num_rows):
-                row = {name: part.column(i)[r].as_py() for i, name in enumerate(part.schema.names)}
-                ids = np.frombuffer(row["ids"], np.int64)
-                slices = np.frombuffer(row["data"], np.uint64).reshape(sum(row["bits"]), -1)
-                least, bits = np.array(row["least"], np.int64), row["bits"]
-                qids = np.frombuffer(row["q_ids"], np.int64)
-                queries = np.frombuffer(row["q_data"], np.int64).reshape(len(qids), row["q_dims"])
-                width = max(len(bits), queries.shape[1])
-                queries, bits = _pad(queries, width), bits + [0] * (width - len(bits))
-                least = np.pad(least, (0, width - len(least)))
-                words = -(-len(ids) // 64)
-                every = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
-                slices = slices.reshape(-1, words) if slices.size else np.zeros((0, words), np.uint64)
-                out = []
-                for qid, q in zip(qids.tolist(), queries, strict=True):
-                    score, base = score_slices(slices, bits, least, q)
-                    valid = every.copy()
-                    for p in range(np.searchsorted(ids, qid), np.searchsorted(ids, qid, side="right")):
-                        valid[p >> 6] &= ~np.uint64(1 << (p & 63))
-                    best = select_top(score, valid, k)
-                    out.append((np.full(len(best), qid), ids[best], _value(score, best) + base))
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64())})
+                if not qs[r].is_valid:
+                    block = Block(*(part.column(i)[r].as_py() for i in range(3, 7)))
+                elif block is not None:
+                    found, score = block.top(ids[r], values[r].values.to_numpy(), k)
+                    out.append((np.full(len(found), qs[r].as_py()), np.full(len(found), ids[r]), found, score))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("q", "query_id", "vec_id", "score"), cols, strict=True)})
 
     return run
 
@@ -222,23 +233,25 @@ def quantise(vector: Column, scale: float = SCALE) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """Both sides have (id long, v array<long>). One row per query and rank: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    vectors, queries = stage(vectors, "topk-vectors"), stage(queries, "topk-queries")
-    n_blocks = max(1, -(-vectors.count() // block_rows))
-    n_queries = max(1, -(-queries.count() // block_queries))
-
-    def packed(df: DataFrame, n: int, kind: str, schema: str) -> DataFrame:
-        keyed = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("k"), "id", "v")
-        return keyed.repartition(min(n, 4096), "k").sortWithinPartitions("k").mapInArrow(_pack(kind), schema)
-
-    index = packed(vectors, n_blocks, "block", "k long, n int, dims int, ids binary, bits array<int>, least array<long>, data binary")
-    asked = packed(queries, n_queries, "query", "k long, n int, dims int, ids binary, data binary")
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("k"), F.col("k").alias("qk"))
-    # Each pair of blocks is a row; salting the index by query block spreads the pairs evenly.
-    index = index.withColumn("qk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
-    pairs = index.join(asked, ["k", "qk"]).select("ids", "bits", "least", "data", "q_ids", "q_dims", "q_data", F.xxhash64("k", "qk").alias("spread"))
-    pairs = pairs.repartition(min(n_blocks * n_queries, 4096), "spread").drop("spread")
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    vectors = stage(vectors, "topk-vectors")
+    asked = stage(queries.withColumn("q", F.monotonically_increasing_id()), "topk-queries")
+    n_blocks, n_queries = max(1, -(-vectors.count() // block_rows)), asked.count()
+    copies = max(1, min(n_queries, max(-(-partitions(spark) // n_blocks), -(-n_queries // block_queries))))
+
+    def upto(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    keyed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("k"), "id", "v")
+    index = keyed.repartition(min(n_blocks, 4096), "k").sortWithinPartitions("k").mapInArrow(_pack, "k long, ids binary, bits array<int>, least array<long>, data binary")
+    index = stage(index, "topk-index", 1 + n_blocks * block_rows)
+    none = F.lit(None)
+    blocks = index.select("k", upto(copies).alias("copy"), none.cast("long").alias("q"), none.cast("long").alias("id"), none.cast("array<long>").alias("v"), "ids", "bits", "least", "data")
+    sent = asked.select(upto(n_blocks).alias("k"), F.pmod(F.xxhash64("q"), F.lit(copies)).alias("copy"), "q", "id", "v", *(none.cast(t).alias(c) for c, t in (("ids", "binary"), ("bits", "array<int>"), ("least", "array<long>"), ("data", "binary"))))
+    dealt = blocks.unionByName(sent).repartition(min(n_blocks * copies, 1 << 16), "k", "copy").sortWithinPartitions("k", "copy", F.col("q").asc_nulls_first())
+    found = dealt.select("q", "id", "v", "ids", "bits", "least", "data").mapInArrow(_search(k), "q long, query_id long, vec_id long, score long")
+    found = stage(found, "topk-found", n_queries * n_blocks * k)
+    unstage(vectors, asked, index)
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
