@@ -8,8 +8,8 @@ brute force tries all character classes of the value at each place. A value that
 ``guess`` unless base spans cover it entirely; it may overlap them.
 
 Null and empty texts have no spans. Every row is scanned by itself, so repeated rows get
-equal results and columns beyond the two that are read don't matter. The program looks
-back at most MAX_PIECE characters, so its time is linear in a value's length.
+equal results and columns beyond the two that are read don't matter. Runs, walks and repeated
+blocks count at their full length, each found once, so time is linear in a value's length.
 """
 
 from __future__ import annotations
@@ -46,8 +46,8 @@ COMMON = (
     "cheese coffee orange purple yellow silver golden tiger eagle lion the and for you this that with from have not"
 ).split()
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-#: Longest word, walk, date or sequence that is looked for.
-MAX_PIECE = 32
+#: Characters by which a repeated block is found.
+SEED = 4
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 MIN_LOG2 = 40.0
 
@@ -83,15 +83,33 @@ def _pieces(value: str) -> list[list[tuple[int, float]]]:
         i = 0
         while i < n - 1:
             j = i + 1
-            while j < n and j - i < MAX_PIECE and _follows(low[j - 1], low[j], step):
+            while j < n and _follows(low[j - 1], low[j], step):
                 j += 1
             if j - i >= 3:
                 ends[j].append((i, cost + math.log2(_alphabet(value[i])) + math.log2(j - i)))
             i = max(j - 1, i + 1)
-    for k in range(2, 9):  # a block that is repeated at once costs its first copy, known by then
-        for i in range(n - 2 * k + 1):
-            if value[i : i + k] == value[i + k : i + 2 * k]:
-                ends[i + 2 * k].append((i + k, 2.0))
+    for k in range(2, SEED):  # short blocks that are repeated at once cost their first copy, known by then
+        i = 0
+        while i + 2 * k <= n:
+            j = i + k
+            while j < n and value[j] == value[j - k]:
+                j += 1
+            if j >= i + 2 * k:
+                ends[j].append((i + k, 2.0 + math.log2(j - i - k)))
+            i = max(j - k, i) + 1
+    last: dict[str, int] = {}
+    i, known = 0, 0
+    while i + SEED <= n:  # longer ones, wherever their first copy stands
+        at = last.get(value[i : i + SEED], -1)
+        j = i
+        if at >= 0:
+            while j < n and value[j] == value[at + j - i]:
+                j += 1
+            ends[j].append((i, 2.0 + math.log2(i) + math.log2(j - i)))
+        after = max(i + 1, j - SEED + 1)
+        for known in range(max(known, i), min(after, n - SEED + 1)):
+            last[value[known : known + SEED]] = known
+        i = after
     return ends
 
 
@@ -161,14 +179,15 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_l
             yield pa.RecordBatch.from_pydict(
                 {
                     key: part.column(0),
-                    **{f"n_{KINDS[k]}": pa.array([sum(s[2] == k for s in r) for r in rows], pa.int64()) for k in range(4)},
+                    **{f"n_{KINDS[k]}": pa.array([sum(s[2] == k for s in r) for r in rows], pa.int64()) for k in range(3)},
                     "base_sha256": pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()),
                     "spans": pa.array([_joined(r) for r in rows], pa.string()),
+                    "n_guess": pa.array([sum(s[2] == 3 for s in r) for r in rows], pa.int64()),
                 }
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", count: str = "n_chars", mark: str = "[SECRET]", min_log2: float = MIN_LOG2) -> DataFrame:
