@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +40,11 @@ BATCH = 32
 REJECT = 0.005
 
 
-@lru_cache
-def letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
+def letters(cache: list[np.ndarray] = []) -> np.ndarray:  # noqa: B006
+    """Which code points are letters, built once a process."""
+    if not cache:
+        cache.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+    return cache[0]
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,11 +172,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = "doc_id long, lang_pred string, score double, rejected boolean"
     if model is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    small = Model(model.labels, model.scores.astype(np.float32), model.bias, model.temperature, model.reject_below)
-    shared = docs.sparkSession.sparkContext.broadcast(small)  # BUCKETS x labels, whatever the table's size
+    # plain values, as a broadcast names classes by module; BUCKETS x labels, whatever the table's size
+    shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.scores.astype(np.float32), model.bias, model.temperature, model.reject_below))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value)
         names = np.array([*m.labels, "und"], object)
         for part in parts:
             data, offsets = buffers(pc.utf8_lower(part.column(1)))

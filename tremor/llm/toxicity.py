@@ -3,16 +3,18 @@
 Fit: on at most ``train_rows`` labelled documents, those with the least hashes of their
 ids. The documents of each class that hold a word or word beginning are counted (once each,
 as repeated lines are no further evidence); their log-odds with an informative Dirichlet
-prior give a unit's score and, by its variance, its z-value. Units with a score of at least
-LEAST and a z-value of at least Z in MIN_DOCS documents are kept (at most MAX_UNITS, which the
-bounded sample implies is no more than a memory limit).
-
-Score: a token has the score of its most certain unit, any other token DRIFT. A linear
-scan finds all maximal scoring segments of a document. Under random clean tokens a
-segment's score follows an extreme-value law, so its surprise is lambda * score
-- ln(K * tokens), with lambda solved from the clean tokens' scores. The best surprise, the
-sum over segments, the length and whether tokens of high score repeat go through a logistic fit on sample rows that were not
-counted.
+prior give a unit's score and, by its variance, its z-value. Every unit in MIN_DOCS counted
+documents has a score; as the sample is bounded, so is their number.
+
+Score: a token has the log-odds of its most certain unit, if that is at least LEAST with a
+z-value of at least Z, or tells of a clean text with a z-value of at least CLEAN_Z; any other
+token DRIFT. A linear scan finds all maximal scoring segments of a document. Under random
+clean tokens the best segment's score follows an extreme-value law, so a segment's surprise
+is lambda * score - ln(K * tokens): lambda is solved from the clean tokens' scores and K is
+the likeliest one for the best segments of sample documents that are clean and were not
+counted. A segment is significant if its surprise is above 0. The best surprise, the sum of
+the significant ones, their number, the tokens of high score in them and the length go
+through a logistic fit on the sample rows that were not counted.
 
 Null and empty texts have no segment and get the base rate's score. Without labels of both
 classes the score is that rate (0 without any label). Repeated rows are scored alike, label
@@ -42,11 +44,12 @@ TRAIN_ROWS = 16000
 COUNTED = 7
 Z = 3.8
 LEAST = 1.0
-#: Score from which a token counts as a repeat.
+#: z-value from which a unit tells of clean texts.
+CLEAN_Z = 3.8
+#: Score from which a token of a significant segment counts as strong.
 STRONG = 1.5
-FEATURES = ("best", "total", "size", "strong", "twice")
+FEATURES = ("best", "total", "size", "strong", "count")
 MIN_DOCS = 3
-MAX_UNITS = 20000
 DRIFT = -0.1
 PRIOR = 5.0
 #: Marks of the numbers of documents and tokens among the units.
@@ -116,9 +119,18 @@ class Model:
         tokens = TOKEN.findall(text.lower()) if text else []
         hits = [(i, s) for i, s in enumerate(map(self.token, tokens)) if s != DRIFT]
         known, n = math.log(self.k * len(tokens) + 1), math.log1p(len(tokens))
-        found = [self.rate * s for _, _, s in segments(hits)]
-        strong = min(3, sum(s >= STRONG for _, s in hits))
-        return max(found, default=0.0) - known, sum(found), n, float(strong), float(strong >= 2)
+        found = [(self.rate * s - known, a, b) for a, b, s in segments(hits)]
+        sure = [x for x in found if x[0] > 0]
+        strong, at = 0, 0
+        for i, s in hits:  # both are in order of place
+            while at < len(sure) and sure[at][2] < i:
+                at += 1
+            strong += s >= STRONG and at < len(sure) and sure[at][1] <= i
+        return max((x[0] for x in found), default=-known), sum(x[0] for x in sure), n, float(min(3, strong)), float(min(3, len(sure)))
+
+    def state(self) -> dict:
+        """Plain values for a broadcast, which names classes by module."""
+        return {k: v for k, v in vars(self).items() if k != "known"}
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -142,16 +154,16 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"unit": pa.array(u), "label": pa.array(label, pa.int32()), "d": pa.array(n, pa.int64())})
 
 
-def _law(model: Model, scores: np.ndarray, times: np.ndarray) -> None:
+def _rate(scores: np.ndarray, times: np.ndarray) -> float | None:
     """lambda with mean exp(lambda * score) = 1 over clean tokens."""
     low, high = 1e-3, 10.0
     share = times / times.sum()
     if share @ scores >= 0 or scores.max() <= 0:
-        return
+        return None
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if share @ np.exp(np.minimum(mid * scores, 500)) < 1 else (low, mid)
-    model.rate = low
+    return low
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     counted = sample.where(F.col("part") < COUNTED)
     sums = counted.select("text", "label").mapInArrow(_count, "unit string, label int, d long")
     sums = sums.groupBy("unit").agg(*(F.sum(F.when(F.col("label") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in (0, 1)))
-    sums = stage(sums.where((F.col("d1") >= MIN_DOCS) | F.col("unit").isin(ALL, TOKENS)), "toxic-units")
+    sums = stage(sums.where((F.col("d0") + F.col("d1") >= MIN_DOCS) | F.col("unit").isin(ALL, TOKENS)), "toxic-units")
     marks = {r.unit: r for r in sums.where(F.col("unit").isin(ALL, TOKENS)).collect()}
     n0, n1 = (marks[ALL].d0, marks[ALL].d1) if ALL in marks else (0, 0)
     if not n0 or not n1:
@@ -189,14 +201,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     prior = F.lit(0.5) + PRIOR * (F.col("d0") + F.col("d1")) / float(n0 + n1)
     odds = F.log((F.col("d1") + prior) / (n1 + PRIOR + 1)) - F.log((F.col("d0") + prior) / (n0 + PRIOR + 1))
     z = odds / F.sqrt(1 / (F.col("d1") + prior) + 1 / (F.col("d0") + prior))
-    kept = sums.where(~F.col("unit").isin(ALL, TOKENS)).select("unit", odds.alias("odds"), z.alias("z"), "d0", "d1").where((F.col("z") >= Z) & (F.col("odds") >= LEAST))
-    rows = kept.orderBy(F.col("z").desc(), "unit").limit(MAX_UNITS).collect()
-    model.scores = {r.unit: (r.odds, r.z) for r in rows}
+    toxic = (F.col("z") >= Z) & (F.col("odds") >= LEAST) & (F.col("d1") >= MIN_DOCS)
+    kept = sums.where(~F.col("unit").isin(ALL, TOKENS)).select("unit", odds.alias("odds"), z.alias("z"), "d0", "d1").where(toxic | (F.col("z") <= -CLEAN_Z))
+    rows = kept.orderBy("unit").collect()  # units of a bounded sample
+    model.scores = {r.unit: (r.odds if r.odds > 0 else min(r.odds, DRIFT), abs(r.z)) for r in rows}
     words = [r for r in rows if r.unit.endswith(" ")] or rows
     if words:  # clean tokens: each kept word as often as clean documents hold it, DRIFT for the rest
-        odds_of, times = np.array([r.odds for r in words]), np.array([r.d0 + 0.1 for r in words])
-        _law(model, np.append(odds_of, DRIFT), np.append(times, max(1.0, marks[TOKENS].d0 - times.sum())))
-    feats = np.array([tuple(r) for r in featurise(sample.where(F.col("part") >= COUNTED).select("text", "label"), model, "label int").collect()], float)
+        odds_of, times = np.array([model.scores[r.unit][0] for r in words]), np.array([r.d0 + 0.1 for r in words])
+        model.rate = _rate(np.append(odds_of, DRIFT), np.append(times, max(1.0, marks[TOKENS].d0 - times.sum()))) or model.rate
+    rest = sample.where(F.col("part") >= COUNTED).select("text", "label")
+    best = featurise(rest.where("label = 0"), model, "label int").select("best", "size").collect()  # at most train_rows numbers
+    if best:  # with surprises s for K = k: K * n * exp(-lambda * x) = exp(-s) * K / k has the mean 1
+        over = np.array([math.exp(min(50.0, -r.best)) for r in best])
+        model.k *= 1 / max(over.mean(), 1e-9)
+    feats = np.array([tuple(r) for r in featurise(rest, model, "label int").collect()], float)
     if len(feats) and 0 < feats[:, -1].sum() < len(feats):
         model.weights, model.mean, model.scale = _logistic(feats[:, :-1], feats[:, -1])
     return model
@@ -204,10 +222,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 
 def featurise(docs: DataFrame, model: Model, keep: str) -> DataFrame:
     """The features of the text in the first column, then the second column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_UNITS units
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())  # units of a bounded sample
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(**shared.value)
         for part in (x for whole in parts for x in slices(whole)):
             rows = [m.features(t) for t in part.column(0).to_pylist()]
             cols = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
@@ -218,10 +236,10 @@ def featurise(docs: DataFrame, model: Model, keep: str) -> DataFrame:
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted and the passages (token places and scores) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(**shared.value)
         for part in (x for whole in parts for x in slices(whole)):
             texts = part.column(1).to_pylist()
             p = m.probability(np.array([m.features(t) for t in texts]).reshape(-1, len(FEATURES)))
@@ -232,10 +250,10 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxic_passages(docs: DataFrame, model: Model, surprise: float = 3.0) -> DataFrame:
     """One row per significant segment: doc_id, first and last token, score and surprise."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(**shared.value)
         for part in (x for whole in parts for x in slices(whole)):
             rows = []
             for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -251,11 +269,11 @@ def toxic_passages(docs: DataFrame, model: Model, surprise: float = 3.0) -> Data
 def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows whose predicted label is not 1, with all their columns."""
     model = fit(docs, labels, **how)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
     place = docs.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(**shared.value)
         for part in (x for whole in parts for x in slices(whole)):
             p = m.probability(np.array([m.features(t) for t in part.column(place).to_pylist()]).reshape(-1, len(FEATURES)))
             yield part.filter(pa.array(p < 0.5))
