@@ -117,6 +117,23 @@ def test_components_match_brute_force(docs, n, num):
     assert sorted(key(r) for r in got) == want
 
 
+@pytest.mark.parametrize(("hot", "star", "heads"), [(1, 1, 2), (3, 4, 8), (1, 1000, 1)])
+def test_components_do_not_depend_on_what_is_hot(docs, monkeypatch, hot, star, heads):
+    for name, value in (("HOT", hot), ("STAR", star), ("HEADS", heads)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    test_components_match_brute_force(docs, 3, 60)
+
+
+def test_word_hashes_tell_alternating_words_apart():
+    """Words on which sums modulo powers of two fail: a 0-1 sequence by bit counts, and its complement."""
+    for n in (7, 8, 9, 16, 1024, 2048):
+        a = "".join("xy"[bin(i).count("1") & 1] for i in range(n)).encode()
+        b = a.translate(bytes.maketrans(b"xy", b"yx"))
+        data = np.frombuffer(a + b + a + b"x", np.uint8)
+        h = common.word_hashes(data, np.array([0, n, 2 * n, 2 * n]), np.array([n, 2 * n, 3 * n, 3 * n + 1]))
+        assert h[0] == h[2] and len(set(h.tolist())) == 3
+
+
 def test_every_linked_pair_shares_a_signature():
     rng = np.random.default_rng(4)
     for size in [1, 5, 6, 7, 11, 12, 13, 20, 40, 57, 58, 90, 200, 300, 700]:
@@ -234,6 +251,7 @@ def test_mix_meets_its_targets(spark):
         assert 0 <= r.copies <= 2 * r.rows and abs(r.target - want[r.source]) < 1e-6 and r.source_size == sizes[r.source]
         taken[r.source] += r.copies * r.size
     assert all(abs(taken[s] - want[s]) <= 30 for s in want)
+    assert all(abs(taken[s] - want[s]) <= 3 for s in ("a", "b"))
     again = mixing.mix_items(mixing._sizes(df.repartition(7))).collect()
     assert sorted((r.doc_id, r.copies) for r in out) == sorted((r.doc_id, r.copies) for r in again)
     mixed = mixing.mix_documents(df.withColumn("rows", F.lit("x")).withColumn("copies", F.lit("y")))
@@ -325,6 +343,11 @@ def test_secrets(spark):
     assert [(r.text, r.n_chars) for r in clean] == [("a [SECRET] z", 12), (None, None)]
 
 
+def test_long_patterns_stay_cheap():
+    cost = secret_scan.guess_cost
+    assert cost("a" * 100) < cost("a" * 32) + 3 and cost("abc" * 40) < 25 and cost("Kx7Qz9Lp" * 9) < cost("Kx7Qz9Lp") + 12
+
+
 def test_values_are_judged_beyond_their_base_spans(spark):
     text = "a password=Tr0ub4dor$Gh!9xQ#w2 z"
     assert secret_scan._joined(secret_scan.find_spans(text)) == "assign:2:20,guess:11:30"
@@ -376,6 +399,40 @@ def test_packing_loses_nothing(docs):
             at += r.length
 
 
+def test_packing_does_not_depend_on_the_layout(docs):
+    rows = [sorted(map(tuple, sequence_packing.pack_documents(docs.repartition(n), (64, 128, 512), shard_rows=20).collect()), key=str) for n in (1, 7)]
+    assert rows[0] == rows[1]
+
+
+def test_packing_is_the_plain_best_fit():
+    """Each piece goes where least room is left; bins are opened and downsized as documented."""
+    rng = random.Random(11)
+    for _ in range(60):
+        lengths = sorted((rng.randrange(1, 513) for _ in range(rng.randrange(1, 60))), reverse=True)
+        where, offset, final = sequence_packing.pack(lengths, (64, 128, 512))
+        bins, room = {}, {}
+        for i, (n, b) in enumerate(zip(lengths, where, strict=True)):
+            fits = [x for x in room if room[x] >= n]
+            if b in room:  # an open bin: none leaves less room
+                assert room[b] == min(room[x] for x in fits)
+            else:  # a new bin: only where no open one has room, in the size of least cost
+                assert not fits
+                free = max(0, sum(lengths[i + 1 :]) - sum(room.values()))
+                cost = {s: ((s - n) - min(s - n, free) + sequence_packing.BIN_COST) / s for s in (64, 128, 512) if s >= n}
+                room[b] = min(cost, key=cost.get)
+                bins[b] = 0
+            assert offset[i] == bins[b]
+            bins[b] += n
+            room[b] -= n
+        assert final == [min(s for s in (64, 128, 512) if s >= bins[b]) for b in range(len(final))]
+
+
+def test_queries_with_one_id_have_rankings_of_their_own(spark):
+    v = spark.createDataFrame([(20, [1, 0]), (20, [0, 1]), (1, [5, 0]), (2, [0, 7]), (3, [1, 1])], "id long, v array<long>")
+    got = sorted(tuple(r) for r in topk_index.top_k(v, v.where("id = 20"), 2).collect())
+    assert got == [(20, 1, 1, 5), (20, 1, 2, 7), (20, 2, 3, 1), (20, 2, 3, 1)]
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=8), 2)]) for i in range(400)] + [(400 + i, [0.5] * 8) for i in range(60)]
