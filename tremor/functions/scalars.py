@@ -20,8 +20,11 @@ ERROR_RULES = (("Failed to set up repository", "Repository Setup"), ("Execution
 
 
 def profile(name: str | None) -> dict[str, float]:
-    """Weights of a profile; unknown names mean balanced."""
-    return PROFILES.get((name or "balanced").strip().lower(), PROFILES["balanced"])
+    """Weights of a profile; none means balanced, unknown names raise."""
+    key = (name or "balanced").strip().lower()
+    if key not in PROFILES:
+        raise ValueError(f"unknown strategy {name!r}; known: {', '.join(PROFILES)}")
+    return PROFILES[key]
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:

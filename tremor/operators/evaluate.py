@@ -85,10 +85,14 @@ def variant_rollup(runs: DataFrame) -> DataFrame:
 
 
 def reconstruct_rollup(instances: DataFrame) -> DataFrame:
-    """Three-valued resolved: counts, ids of incomplete instances, rate over all."""
+    """Three-valued resolved: counts and the rate over all; incomplete_instances has the ids."""
     r = F.col("resolved")
-    incomplete = F.array_join(F.array_sort(F.collect_list(F.when(r.isNull(), F.col("instance_id")))), ",")
-    return instances.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(r, F.lit(False))).alias("resolved"), F.count_if(F.coalesce(~r, F.lit(False))).alias("unresolved"), F.count_if(r.isNull()).alias("incomplete"), incomplete.alias("incomplete_ids"), F.try_divide(F.count_if(F.coalesce(r, F.lit(False))), F.count(F.lit(1))).alias("resolved_rate"))
+    return instances.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(r, F.lit(False))).alias("resolved"), F.count_if(F.coalesce(~r, F.lit(False))).alias("unresolved"), F.count_if(r.isNull()).alias("incomplete"), F.try_divide(F.count_if(F.coalesce(r, F.lit(False))), F.count(F.lit(1))).alias("resolved_rate"))
+
+
+def incomplete_instances(instances: DataFrame) -> DataFrame:
+    """Ids without an outcome, a row each."""
+    return instances.where("resolved is null").select("instance_id").distinct()
 
 
 def score_stats(log: DataFrame) -> DataFrame:

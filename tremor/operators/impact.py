@@ -114,10 +114,18 @@ def tier_counts(impacted: DataFrame) -> DataFrame:
 
 def coverage_diff(coverage: DataFrame, changed: DataFrame, threshold: float = 0.05, files: int = 5) -> DataFrame:
     """(test_id, score, coverage_hits, matched_files): tests whose coverage (test, file_path, ratio) meets changed files."""
-    hit = coverage.join(changed.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("r"), "file_path"))), 1, files)
-    out = hit.groupBy(F.col("test").alias("test_id")).agg(F.max("ratio").alias("score"), F.count(F.lit(1)).alias("coverage_hits"), F.transform(best, lambda x: x["file_path"]).alias("matched_files"))
-    return out.where(F.col("score") >= threshold)
+    hit = coverage.join(changed.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(F.col("test").alias("test_id"), "file_path", "ratio")
+    totals = hit.groupBy("test_id").agg(F.max("ratio").alias("score"), F.count(F.lit(1)).alias("coverage_hits")).where(F.col("score") >= threshold)
+    # only the first files of a test are gathered; Spark cuts each partition's before the shuffle
+    first = capped(hit, "test_id", [F.col("ratio").desc(), F.col("file_path")], files)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("r"), "file_path")))
+    names = first.groupBy("test_id").agg(F.transform(listed, lambda x: x["file_path"]).alias("matched_files"))
+    return totals.join(names, "test_id").select("test_id", "score", "coverage_hits", "matched_files")
+
+
+def coverage_diff_top(found: DataFrame, k: int = 200) -> DataFrame:
+    """The first k rows of coverage_diff by score, hits, then id."""
+    return found.orderBy(F.col("score").desc(), F.col("coverage_hits").desc(), "test_id").limit(k)
 
 
 def hybrid_merge(graph: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Last write wins per key; columns that only one side has stay."""
+    """Last write wins per key, the greatest row hash of several; columns that only one side has stay."""
     both = old.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
     rest = [c for c in both.columns if c not in (key, "_seq")]
-    latest = both.groupBy(key).agg(F.max_by(F.struct(*rest), "_seq").alias("row"))
+    latest = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("_seq", F.xxhash64(*rest))).alias("row"))
     return latest.select(key, *(F.col(f"row.{c}").alias(c) for c in rest))
 
 
@@ -67,13 +67,14 @@ def without_nodes(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_anti").join(ids.select(F.col("id").alias("dst")), "dst", "left_anti")
 
 
-def update_suffix_matches(log: DataFrame, updates: DataFrame, name: str = "prediction_file") -> DataFrame:
-    """Log rows whose file name equals an update's by its last part take the update's non-null values.
+def update_suffix_matches(log: DataFrame, updates: DataFrame, order: str, name: str = "prediction_file") -> DataFrame:
+    """Log rows whose file name equals an update's by its last part take the update's last non-null values.
 
-    An update's columns are the log's by name, besides ``name``.
+    An update's columns are the log's by name, besides ``name`` and ``order``, by which the
+    last one of a file counts; of equal ones the greatest value.
     """
     last: Column = F.element_at(F.split(F.col(name), "/"), -1)
-    cols = [c for c in updates.columns if c != name]
-    u = updates.withColumn("_last", last).groupBy("_last").agg(*(F.last(c, ignorenulls=True).alias(f"_{c}") for c in cols))
+    cols = [c for c in updates.columns if c not in (name, order)]
+    u = updates.withColumn("_last", last).groupBy("_last").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(f"_{c}") for c in cols))
     joined = log.withColumn("_last", last).join(u, "_last", "left")
     return joined.select(*(F.coalesce(f"_{c}", c).alias(c) if c in cols else F.col(c) for c in log.columns))

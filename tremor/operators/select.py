@@ -7,12 +7,18 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import paths_in_text
+
+#: Ranges into which a key is cut for a global rank.
+RANGES = 256
+# Fixed value: seed files of a problem.
+MOST_SEEDS = 8
+
 
 def spread_sample(rows: DataFrame, key: str, k: int) -> DataFrame:
     """k rows at even steps of the sorted distinct keys, all where there are no more.
 
-    Ranks come from one range partitioning: rows before a partition plus the place in it,
-    so the order is global without a single task. The i-th pick is row floor(i * n / k).
+    Ranks are global without a single task (``with_rank``). The i-th pick is row floor(i * n / k).
     """
     ordered = with_rank(rows.select(key).distinct(), key)
     n = ordered.agg(F.count(F.lit(1)).alias("n"))
@@ -23,13 +29,20 @@ def spread_sample(rows: DataFrame, key: str, k: int) -> DataFrame:
     return ordered.join(F.broadcast(n)).where(picked).select(key)  # n is one row
 
 
-def with_rank(rows: DataFrame, key: str) -> DataFrame:
-    """place: 0-based rank of each row by key, over all partitions."""
-    parts = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+def with_rank(rows: DataFrame, key: str, ranges: int = RANGES) -> DataFrame:
+    """place: 0-based rank of each row by key, over all partitions.
+
+    The key's domain is cut at about ``ranges`` keys, those with the least hashes, so a
+    row's range depends on its key alone, however often and wherever the plan runs.
+    """
+    cuts = sorted(r[0] for r in rows.where(F.col(key).isNotNull()).select(key, F.xxhash64(key).alias("_u")).distinct().orderBy("_u", key).limit(ranges).collect())
+    cut = F.lit(cuts) if cuts else F.array().cast(f"array<{rows.schema[key].dataType.simpleString()}>")
+    # nulls sort first
+    parts = rows.withColumn("_part", F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(cut, lambda c: c <= F.col(key)))))
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))  # at most ranges + 2 rows
     before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("_part").orderBy(key)
-    return parts.withColumn("_in", F.row_number().over(inside)).join(before.select("_part", "_before"), "_part").withColumn("place", F.col("_before") + F.col("_in") - 1).drop("_part", "_in", "_before")
+    return parts.withColumn("_in", F.row_number().over(inside)).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("place", F.col("_before") + F.col("_in") - 1).drop("_part", "_in", "_before")
 
 
 def head_sample(rows: DataFrame, key: str, k: int) -> DataFrame:
@@ -66,3 +79,51 @@ def focus_files(files: DataFrame, pinned: list[str]) -> DataFrame:
     name = F.element_at(F.split(p, "/"), -1)
     kind = F.when(F.rlike(p, F.lit(r"(^|/)(docs?|examples?)/")) | name.isin("setup.py", "conftest.py"), 3).when(F.rlike(p, F.lit(r"(^|/)tests?/|(^|/)test_|_test\.py$")), 2).when(name == "__init__.py", 1).otherwise(0)
     return files.select("path", p.isin(*pinned).alias("pinned") if pinned else F.lit(False).alias("pinned"), kind.alias("kind"), depth.alias("depth"), "pos").orderBy(F.col("pinned").desc(), "kind", "depth", "pos")
+
+
+def between_dates(rows: DataFrame, at: str, first: str, last: str) -> DataFrame:
+    """Rows whose date lies in the closed range; both as YYYY-MM-DD."""
+    return rows.where(F.to_date(at).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+
+def best_with_ties(rows: DataFrame, group: str, score: str) -> DataFrame:
+    """All rows of each group that have its greatest score; the maximum is a partial aggregation."""
+    best = rows.groupBy(group).agg(F.max(score).alias(score))
+    return rows.join(best, [group, score])
+
+
+def source_candidates(test_file: Column) -> Column:
+    """Files that a test file's path is likely about: beside the tests folder, then beside itself."""
+    name = F.element_at(F.split(test_file, "/"), -1)
+    parent = F.regexp_extract(test_file, r"^(.*)/[^/]*$", 1)
+    above = F.when(F.contains(test_file, F.lit("/tests/")), F.element_at(F.split(test_file, "/tests/"), 1))
+
+    def beside(folder: Column) -> list[Column]:
+        return [
+            F.when(name.startswith("test_") & (F.length(folder) > 0), F.concat(folder, F.lit("/"), F.substr(name, F.lit(6)))),
+            F.when(name.endswith("_test.py") & (F.length(folder) > 0), F.concat(folder, F.lit("/"), F.regexp_replace(name, r"_test\.py$", ".py"))),
+        ]
+
+    return F.array_distinct(F.filter(F.array(*beside(above), *beside(parent)), lambda x: x.isNotNull()))
+
+
+def seed_files(problems: DataFrame, files: DataFrame, imports: DataFrame | None = None, most: int = MOST_SEEDS) -> DataFrame:
+    """(instance_id, path, pos): the first ``most`` existing files that a problem names or that its tests are about.
+
+    problems: (instance_id, text, tests array of node ids); files: (path); imports: (test_file,
+    path), what a test file imports, if known. Order: paths in the text, then for each test
+    its source candidates, its imports and the test file.
+    """
+    strip = lambda c: F.regexp_replace(F.trim(c), r"^[./]+", "")
+    named = problems.select("instance_id", F.posexplode(paths_in_text(F.coalesce("text", F.lit("")))).alias("a", "path")).select("instance_id", F.lit(-1).alias("test"), F.lit(0).alias("kind"), "a", "path")
+    tests = problems.select("instance_id", F.posexplode("tests").alias("test", "node")).select("instance_id", "test", F.trim(F.element_at(F.split("node", "::"), 1)).alias("file")).where(F.col("file").endswith(".py"))
+    about = tests.select("instance_id", "test", F.posexplode(source_candidates(F.col("file"))).alias("a", "path")).select("instance_id", "test", F.lit(0).alias("kind"), "a", "path")
+    own = tests.select("instance_id", "test", F.lit(2).alias("kind"), F.lit(0).alias("a"), F.col("file").alias("path"))
+    rows = named.union(about).union(own)
+    if imports is not None:
+        got = tests.join(imports.select(F.col("test_file").alias("file"), F.col("path")), "file")
+        rows = rows.union(got.select("instance_id", "test", F.lit(1).alias("kind"), F.lit(0).alias("a"), "path"))
+    found = rows.withColumn("path", strip("path")).join(files.select("path").distinct(), "path", "left_semi")
+    first = found.groupBy("instance_id", "path").agg(F.min(F.struct("test", "kind", "a", "path")).alias("at"))
+    w = Window.partitionBy("instance_id").orderBy("at")
+    return first.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most).select("instance_id", "path", "pos")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,31 +48,40 @@ class Tables:
 
     @cached_property
     def test_links(self) -> DataFrame:
-        rows = self.lines.where("l_linenumber = 1")
-        return rows.groupBy(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.max(1 - F.col("l_discount")).alias("link_confidence"))
+        return self.lines.groupBy(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.max(1 - F.col("l_discount")).alias("link_confidence"))
 
-    def _steps(self, key: str) -> DataFrame:
-        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-        rows = self.read("lineitem").where("l_orderkey % 40 = 0").select(F.col(key).alias("src"), F.lead(key).over(w).alias("dst"), "l_returnflag")
-        return rows.where("dst is not null and src <> dst")
+    @cached_property
+    def first_links(self) -> DataFrame:
+        """(src, dst): each test's part on the first line of its first order."""
+        line = F.struct("l_orderkey", "l_linenumber", "l_partkey")
+        return self.lines.groupBy(F.col("o_custkey").alias("src")).agg(F.min(line).alias("m")).select("src", F.col("m.l_partkey").alias("dst"))
+
+    @cached_property
+    def first_steps(self) -> DataFrame:
+        """Each order's step from its first line to its second: every order, one edge each."""
+        line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+        # the lines of an order are few by nature
+        two = self.read("lineitem").groupBy("l_orderkey").agg(F.slice(F.array_sort(F.collect_list(line)), 1, 2).alias("x")).where(F.size("x") == 2)
+        a, b = F.col("x")[0], F.col("x")[1]
+        return two.select("l_orderkey", a["l_partkey"].alias("part"), b["l_partkey"].alias("next_part"), a["l_suppkey"].alias("supp"), b["l_suppkey"].alias("next_supp"), a["l_returnflag"].alias("flag"))
 
     @cached_property
     def calls(self) -> DataFrame:
-        conf = F.when(F.col("l_returnflag") == "A", 0.98).when(F.col("l_returnflag") == "N", 0.9).otherwise(0.7)
-        return self._steps("l_partkey").groupBy("src", "dst").agg(F.max(conf).alias("resolution_confidence"))
+        conf = F.when(F.col("flag") == "A", 0.98).when(F.col("flag") == "N", 0.9).otherwise(0.7)
+        return self.first_steps.where("part <> next_part").groupBy(F.col("part").alias("src"), F.col("next_part").alias("dst")).agg(F.max(conf).alias("resolution_confidence"))
 
     @cached_property
     def imports(self) -> DataFrame:
-        steps = self._steps("l_suppkey").select("src", "dst").distinct()
+        steps = self.first_steps.where("supp <> next_supp").select(F.col("supp").alias("src"), F.col("next_supp").alias("dst")).distinct()
         a, b = self.files.select(F.col("fid").alias("src"), F.col("path").alias("a")), self.files.select(F.col("fid").alias("dst"), F.col("path").alias("b"))
         return steps.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     @cached_property
     def test_imports(self) -> DataFrame:
-        """Test files import the files of what their first lines name."""
+        """Test files import the files of what their tests' first lines name."""
         t = self.tests.select(F.col("id").alias("src"), F.col("file_path").alias("test_file"))
         f = self.functions.select(F.col("id").alias("dst"), F.col("file_path").alias("path"))
-        return self.test_links.where("src % 3 = 0").join(t, "src").join(f, "dst").select(F.col("test_file").alias("src"), F.col("path").alias("dst")).distinct()
+        return self.first_links.join(t, "src").join(f, "dst").select(F.col("test_file").alias("src"), F.col("path").alias("dst")).distinct()
 
     @cached_property
     def coverage(self) -> DataFrame:
@@ -112,14 +121,18 @@ class Tables:
         f = f.withColumn("module_name", module).withColumn("class_name", F.when(F.col("id") % 3 == 0, F.concat(F.lit("C"), F.col("id") % 11)))
         return f.withColumn("qualified_name", F.concat_ws(".", "module_name", "class_name", "name"))
 
+    @cached_property
+    def symbol_classes(self) -> DataFrame:
+        """The classes of the symbols, one per file and name."""
+        return self.symbols.where("class_name is not null").groupBy(F.col("class_name").alias("name"), "file_path").agg(F.min("id").alias("id"))
+
     @cached_property
     def call_refs(self) -> DataFrame:
         """Calls by text (caller, called, seq, caller_module, caller_class): bare, dotted, by class or on self."""
-        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-        rows = self.read("lineitem").where("l_orderkey % 40 = 0").select("l_orderkey", F.col("l_partkey").alias("caller"), F.lead("l_partkey").over(w).alias("callee"), "l_linenumber").where("callee is not null")
+        rows = self.first_steps.select("l_orderkey", F.col("part").alias("caller"), F.col("next_part").alias("callee"))
         a = self.symbols.select(F.col("id").alias("caller"), F.col("module_name").alias("caller_module"), F.col("class_name").alias("caller_class"))
         b = self.symbols.select(F.col("id").alias("callee"), "name", "class_name", "qualified_name")
-        k = F.floor(F.col("l_orderkey") / 40) % 4
+        k = F.col("l_orderkey") % 4
         called = F.when(k == 0, F.col("name")).when(k == 1, F.col("qualified_name")).when(k == 2, F.concat(F.lit("self."), "name")).otherwise(F.concat_ws(".", F.coalesce("class_name", F.lit("mod")), "name"))
         return rows.join(a, "caller").join(b, "callee").select("caller", called.alias("called"), (F.col("l_orderkey") * 1000 + F.col("callee")).alias("seq"), "caller_module", "caller_class").distinct()
 
@@ -145,14 +158,15 @@ _VIEWS = {
         FROM part JOIN files ON files.fid = p_partkey % (SELECT count(*) FROM supplier)""",
     "tests": "SELECT c_custkey AS id, 'test_c' || c_custkey AS name, 'tests/n' || c_nationkey || '/test_c' || (c_custkey % 20) || '.py' AS file_path FROM customer",
     "lines": "SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
-    "test_links": "SELECT o_custkey AS src, l_partkey AS dst, max(1 - l_discount) AS link_confidence FROM lines WHERE l_linenumber = 1 GROUP BY ALL",
-    "steps": """SELECT l_partkey, lead(l_partkey) OVER w AS next_part, l_suppkey, lead(l_suppkey) OVER w AS next_supp, l_returnflag
-        FROM lineitem WHERE l_orderkey % 40 = 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)""",
-    "calls": """SELECT l_partkey AS src, next_part AS dst, max(CASE l_returnflag WHEN 'A' THEN 0.98::DOUBLE WHEN 'N' THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END) AS resolution_confidence
-        FROM steps WHERE next_part IS NOT NULL AND l_partkey <> next_part GROUP BY ALL""",
-    "imports": """SELECT DISTINCT a.path AS src, b.path AS dst FROM steps JOIN files a ON a.fid = l_suppkey JOIN files b ON b.fid = next_supp
-        WHERE next_supp IS NOT NULL AND l_suppkey <> next_supp""",
-    "test_imports": """SELECT DISTINCT t.file_path AS src, f.file_path AS dst FROM test_links l JOIN tests t ON t.id = l.src JOIN functions f ON f.id = l.dst WHERE l.src % 3 = 0""",
+    "test_links": "SELECT o_custkey AS src, l_partkey AS dst, max(1 - l_discount) AS link_confidence FROM lines GROUP BY ALL",
+    "first_links": """SELECT src, dst FROM (SELECT o_custkey AS src, l_partkey AS dst, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS n FROM lines) WHERE n = 1""",
+    "steps": """SELECT l_orderkey, l_partkey AS part, next_part, l_suppkey AS supp, next_supp, l_returnflag AS flag FROM (
+        SELECT *, lead(l_partkey) OVER w AS next_part, lead(l_suppkey) OVER w AS next_supp, row_number() OVER w AS n
+        FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag)) WHERE n = 1 AND next_part IS NOT NULL""",
+    "calls": """SELECT part AS src, next_part AS dst, max(CASE flag WHEN 'A' THEN 0.98::DOUBLE WHEN 'N' THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END) AS resolution_confidence
+        FROM steps WHERE part <> next_part GROUP BY ALL""",
+    "imports": """SELECT DISTINCT a.path AS src, b.path AS dst FROM steps JOIN files a ON a.fid = supp JOIN files b ON b.fid = next_supp WHERE supp <> next_supp""",
+    "test_imports": """SELECT DISTINCT t.file_path AS src, f.file_path AS dst FROM first_links l JOIN tests t ON t.id = l.src JOIN functions f ON f.id = l.dst""",
     "quantities": "SELECT o_custkey AS test, l_suppkey AS fid, sum(CAST(l_quantity AS BIGINT)) AS q FROM lines GROUP BY ALL",
     "coverage": """SELECT q.test, path AS file_path, q.q::DOUBLE / t.total::DOUBLE AS ratio FROM quantities q
         JOIN (SELECT test, sum(q) AS total FROM quantities GROUP BY ALL) t ON t.test = q.test JOIN files ON files.fid = q.fid""",
@@ -181,9 +195,10 @@ _VIEWS = {
     "symbols": """SELECT * , module_name || '.' || coalesce(class_name || '.', '') || name AS qualified_name FROM (
         SELECT id, name || '_' || (id % 7) AS name, file_path, start_line, end_line, replace(regexp_replace(file_path, '\\.py$', ''), '/', '.') AS module_name,
         CASE WHEN id % 3 = 0 THEN 'C' || (id % 11) END AS class_name FROM functions)""",
-    "call_refs": """SELECT DISTINCT caller, CASE (l_orderkey // 40) % 4 WHEN 0 THEN b.name WHEN 1 THEN b.qualified_name WHEN 2 THEN 'self.' || b.name ELSE coalesce(b.class_name, 'mod') || '.' || b.name END AS called,
+    "symbol_classes": "SELECT class_name AS name, file_path, min(id) AS id FROM symbols WHERE class_name IS NOT NULL GROUP BY ALL",
+    "call_refs": """SELECT DISTINCT caller, CASE l_orderkey % 4 WHEN 0 THEN b.name WHEN 1 THEN b.qualified_name WHEN 2 THEN 'self.' || b.name ELSE coalesce(b.class_name, 'mod') || '.' || b.name END AS called,
         l_orderkey * 1000 + callee AS seq, a.module_name AS caller_module, a.class_name AS caller_class
-        FROM (SELECT l_orderkey, l_partkey AS caller, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS callee FROM lineitem WHERE l_orderkey % 40 = 0) r
+        FROM (SELECT l_orderkey, part AS caller, next_part AS callee FROM steps) r
         JOIN symbols a ON a.id = caller JOIN symbols b ON b.id = callee""",
     "classes": """SELECT c_custkey AS id, lower(c_mktsegment) || '_' || (c_custkey % 40) AS name, 'm' || (c_nationkey % 5) AS module_name,
         CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'm' || (c_custkey % 5) || '.' END || lower(c_mktsegment) || '_' || (c_custkey % 37) AS base FROM customer JOIN nation ON c_nationkey = n_nationkey""",
@@ -205,5 +220,8 @@ def ctes(sql: str) -> str:
     need(sql)
     if not order:
         return sql
-    head = ",\n".join(f"{n} AS ({_VIEWS[n]})" for n in order)
+    # a view that stands in several places is computed once
+    whole = sql + " ".join(_VIEWS[n] for n in order)
+    often = {n for n in order if len(re.findall(rf"\b(?:FROM|JOIN)\s+{n}\b", whole)) > 1}
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in often else ''}({_VIEWS[n]})" for n in order)
     return f"WITH {head}" + (f",\n{sql.lstrip()[5:]}" if sql.lstrip().startswith("WITH ") else f"\n{sql}")

@@ -72,10 +72,25 @@ def update_graph(graph: Graph, files: DataFrame, root: str = "") -> Graph:
 
 
 def impacted_tests(graph: Graph, paths: list[str], root: str = "", strategy: str = "balanced", most: int = 50, changed_lines: DataFrame | None = None) -> DataFrame:
-    """The ranked tests for changed paths."""
+    """The ranked tests for changed paths.
+
+    ``strategy`` is a profile of weights, ``coverage_diff`` (tests whose covered files meet the
+    changed ones, the first 200) or ``hybrid`` (the balanced profile merged with it, the first
+    300); other names raise.
+    """
     nodes, edges = graph
     spark = nodes["file"].sparkSession
     given = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "given string")
     changed = given.select(normalise_paths(F.col("given"), root).alias("path")).where("path is not null").distinct()
+    if strategy in ("coverage_diff", "hybrid"):
+        coverage = edges["depends_on"].select(F.col("src").alias("test"), F.col("dst").alias("file_path"), F.col("coverage_pct").alias("ratio"))
+        names = nodes["test"].select(F.col("id").alias("test_id"), F.col("name").alias("test_name"), F.col("file_path").alias("test_file"))
+        covered = impact.coverage_diff_top(impact.coverage_diff(coverage, changed)).join(names, "test_id", "left")
+        if strategy == "coverage_diff":
+            return impact.coverage_diff_top(covered)
     g = {"function": nodes["function"], "test": nodes["test"], "tests": edges["tests"], "calls": edges["calls"], "imports": edges["imports"], "depends_on": edges["depends_on"]}
+    if strategy == "hybrid":
+        found = impact.impacted_tests(g, changed, "balanced", changed_lines).join(names, "test_id", "left").withColumn("path", F.array("source"))
+        as_text = lambda df: df.withColumn("test_id", F.col("test_id").cast("string"))
+        return impact.hybrid_top(impact.hybrid_merge(as_text(found), as_text(covered)))
     return impact.tiered_top(impact.impacted_tests(g, changed, strategy, changed_lines), most)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scalars import scaled
-from ..operators import agent, evaluate
+from ..operators import agent, evaluate, select
 from ..sources import logs
 from .binding import Tables, ctes
 
@@ -35,13 +35,13 @@ def _tests(t: Tables) -> tuple[DataFrame, DataFrame]:
     e = t.read("events")
     test = F.concat(F.lit("t"), F.col("event_id") % 12)
     instance = F.col("user_id").alias("instance_id")
-    expected = e.where("event_id % 2 = 0").select(instance, F.when(F.col("event_id") % 12 < 4, "F2P").otherwise("P2P").alias("kind"), test.alias("test")).distinct()
+    expected = e.select(instance, F.when(F.col("event_id") % 12 < 4, "F2P").otherwise("P2P").alias("kind"), test.alias("test")).distinct()
     status = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type").isin("view", "click"), "PASSED").otherwise("SKIPPED")
-    return expected, e.where("event_id % 5 < 2").select(instance, test.alias("test"), status.alias("status"))
+    return expected, e.select(instance, test.alias("test"), status.alias("status"))
 
 
-_MEMBERSHIP = """expected AS (SELECT DISTINCT user_id AS instance_id, CASE WHEN event_id % 12 < 4 THEN 'F2P' ELSE 'P2P' END AS kind, 't' || (event_id % 12) AS test FROM events WHERE event_id % 2 = 0),
-results AS (SELECT user_id AS instance_id, 't' || (event_id % 12) AS test, bool_or(event_type IN ('view', 'click')) AS passed, bool_or(event_type = 'error') AS failed FROM events WHERE event_id % 5 < 2 GROUP BY ALL),
+_MEMBERSHIP = """expected AS (SELECT DISTINCT user_id AS instance_id, CASE WHEN event_id % 12 < 4 THEN 'F2P' ELSE 'P2P' END AS kind, 't' || (event_id % 12) AS test FROM events),
+results AS (SELECT user_id AS instance_id, 't' || (event_id % 12) AS test, bool_or(event_type IN ('view', 'click')) AS passed, bool_or(event_type = 'error') AS failed FROM events GROUP BY ALL),
 m AS (SELECT e.instance_id, count(*) FILTER (kind = 'F2P') AS f2p_total, count(*) FILTER (kind = 'F2P' AND passed) AS f2p_passed, count(*) FILTER (kind = 'F2P' AND failed) AS f2p_failed,
   count(*) FILTER (kind = 'P2P') AS p2p_total, count(*) FILTER (kind = 'P2P' AND passed) AS p2p_passed, count(*) FILTER (kind = 'P2P' AND failed) AS p2p_failed
   FROM expected e LEFT JOIN results r ON r.instance_id = e.instance_id AND r.test = e.test GROUP BY ALL),
@@ -68,26 +68,28 @@ def regression_summary(t: Tables) -> DataFrame:
     )
 
 
-_MODE = "SELECT user_id AS instance_id, bool_or(event_type = 'purchase' AND value > 50) AS resolved, bool_or(event_type = 'click') AS generated FROM events WHERE user_id % {} <> 0 AND event_id % 10 = {} GROUP BY ALL"
+_MODE = "SELECT user_id AS instance_id, bool_or(event_type = 'purchase' AND value > 50) AS resolved, bool_or(event_type = 'click') AS generated FROM events WHERE {} GROUP BY ALL"
+# Every event belongs to one of two modes: whether its number and its user's agree in the last bit.
+_A, _B = "(event_id + user_id) % 2 = 0", "(event_id + user_id) % 2 = 1"
 
 
-def _mode(t: Tables, skip: int, rest: int) -> DataFrame:
-    e = t.read("events").where((F.col("user_id") % skip != 0) & (F.col("event_id") % 10 == rest))
+def _mode(t: Tables, which: str) -> DataFrame:
+    e = t.read("events").where(which)
     return e.groupBy(F.col("user_id").alias("instance_id")).agg(F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 50)).alias("resolved"), F.bool_or(F.col("event_type") == "click").alias("generated"))
 
 
-@query(f"""WITH a AS ({_MODE.format(3, 1)}), b AS ({_MODE.format(5, 2)})
+@query(f"""WITH a AS ({_MODE.format(_A)}), b AS ({_MODE.format(_B)})
 SELECT coalesce(a.instance_id, b.instance_id) AS instance_id, a.resolved AS a_resolved, b.resolved AS b_resolved, a.generated AS a_generated, b.generated AS b_generated,
 CASE WHEN a.instance_id IS NULL THEN 'only_b' WHEN b.instance_id IS NULL THEN 'only_a' WHEN NOT a.resolved AND b.resolved THEN 'gained' WHEN a.resolved AND NOT b.resolved THEN 'lost' ELSE 'same' END AS change
 FROM a FULL JOIN b ON b.instance_id = a.instance_id""")
 def two_mode_delta(t: Tables) -> DataFrame:
-    return evaluate.two_mode_delta(_mode(t, 3, 1), _mode(t, 5, 2))
+    return evaluate.two_mode_delta(_mode(t, _A), _mode(t, _B))
 
 
-@query(f"""WITH x AS (SELECT 'a' AS mode, * FROM ({_MODE.format(3, 1)}) UNION ALL SELECT 'b', * FROM ({_MODE.format(5, 2)}))
+@query(f"""WITH x AS (SELECT 'a' AS mode, * FROM ({_MODE.format(_A)}) UNION ALL SELECT 'b', * FROM ({_MODE.format(_B)}))
 SELECT mode, count(*) AS n, CAST(round(100.0::DOUBLE * count(*) FILTER (generated) / count(*), 2) * 100 AS BIGINT) AS generated_x100, CAST(round(100.0::DOUBLE * count(*) FILTER (resolved) / count(*), 2) * 100 AS BIGINT) AS resolved_x100 FROM x GROUP BY mode""")
 def mode_rates(t: Tables) -> DataFrame:
-    both = _mode(t, 3, 1).withColumn("mode", F.lit("a")).unionByName(_mode(t, 5, 2).withColumn("mode", F.lit("b")))
+    both = _mode(t, _A).withColumn("mode", F.lit("a")).unionByName(_mode(t, _B).withColumn("mode", F.lit("b")))
     x = lambda c: F.round(F.col(c) * 100).cast("long").alias(c.replace("_pct", "_x100"))
     return evaluate.mode_rates(both).select("mode", "n", x("generated_pct"), x("resolved_pct"))
 
@@ -162,16 +164,23 @@ def best_experiment(t: Tables) -> DataFrame:
     return evaluate.best_experiments(x).drop("best_rate")
 
 
-_RECON = "r AS (SELECT o_orderkey, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN TRUE WHEN 'O' THEN FALSE END AS resolved FROM orders WHERE o_orderkey % 50 = 0)"
+_RECON = "r AS (SELECT o_orderkey, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN TRUE WHEN 'O' THEN FALSE END AS resolved FROM orders)"
+
+
+def _instances(t: Tables) -> DataFrame:
+    s = F.col("o_orderstatus")
+    return t.read("orders").select(F.col("o_orderkey").cast("string").alias("instance_id"), F.when(s == "F", True).when(s == "O", False).alias("resolved"))
+
+
+@query(f"WITH {_RECON} SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS instance_id FROM r WHERE resolved IS NULL")
+def incomplete_instances(t: Tables) -> DataFrame:
+    return evaluate.incomplete_instances(_instances(t))
 
 
 @query(f"""WITH {_RECON} SELECT count(*) AS total, count(*) FILTER (resolved) AS resolved, count(*) FILTER (NOT resolved) AS unresolved, count(*) FILTER (resolved IS NULL) AS incomplete,
-array_to_string(list_sort(list(CAST(o_orderkey AS VARCHAR)) FILTER (resolved IS NULL)), ',') AS incomplete_ids, {_pct("count(*) FILTER (resolved)::DOUBLE / count(*)")} AS rate_e6 FROM r""")
+{_pct("count(*) FILTER (resolved)::DOUBLE / count(*)")} AS rate_e6 FROM r""")
 def reconstruct_rollup(t: Tables) -> DataFrame:
-    o = t.read("orders").where("o_orderkey % 50 = 0")
-    s = F.col("o_orderstatus")
-    r = o.select(F.col("o_orderkey").cast("string").alias("instance_id"), F.when(s == "F", True).when(s == "O", False).alias("resolved"))
-    return evaluate.reconstruct_rollup(r).select("total", "resolved", "unresolved", "incomplete", "incomplete_ids", scaled(F.col("resolved_rate")).alias("rate_e6"))
+    return evaluate.reconstruct_rollup(_instances(t)).select("total", "resolved", "unresolved", "incomplete", scaled(F.col("resolved_rate")).alias("rate_e6"))
 
 
 _ATTEMPTS = """a AS (SELECT user_id, event_id, ts, event_type AS sig, event_id % 4 AS f2p, event_id % 3 AS reg, event_type = 'purchase' AND value > 100 AS clean FROM events),
@@ -229,11 +238,11 @@ def patch_metrics(t: Tables) -> DataFrame:
     return out.select("event_id", big("added_lines"), big("removed_lines"), big("duplicate_line_max"), "signature_change", "placeholder", "severity")
 
 
-@query("""WITH s AS (SELECT user_id AS conv, count(*) AS selected, count(*) FILTER (event_type = 'view') AS runnable, avg(least(1.0::DOUBLE, value / 100)) AS precision, bool_or(value / 100 >= 0.8) AS sure FROM events WHERE event_id % 29 = 0 GROUP BY ALL)
+@query("""WITH s AS (SELECT user_id AS conv, count(*) AS selected, count(*) FILTER (event_type = 'view') AS runnable, avg(least(1.0::DOUBLE, value / 100)) AS precision, bool_or(value / 100 >= 0.8) AS sure FROM events GROUP BY ALL)
 SELECT conv, selected, runnable, CASE WHEN selected >= 3 THEN CASE WHEN runnable::DOUBLE / selected < 0.35 THEN 'low_runnable_ratio' WHEN precision < 0.45 THEN 'low_confidence' ELSE '' END
 ELSE CASE WHEN runnable > 0 AND sure THEN '' WHEN runnable <= 0 THEN 'no_runnable_nodeids' ELSE 'low_confidence' END END AS reason FROM s""")
 def precision_floor(t: Tables) -> DataFrame:
-    e = t.read("events").where("event_id % 29 = 0").select(F.col("user_id").alias("conv"), (F.col("value") / 100).alias("confidence"), F.lit(None).cast("double").alias("score"), (F.col("event_type") == "view").alias("runnable"))
+    e = t.read("events").select(F.col("user_id").alias("conv"), (F.col("value") / 100).alias("confidence"), F.lit(None).cast("double").alias("score"), (F.col("event_type") == "view").alias("runnable"))
     return agent.precision_floor(e, "conv").select("conv", "selected", "runnable", "reason")
 
 
@@ -270,5 +279,5 @@ def reliability_flags(t: Tables) -> DataFrame:
 
 @query("""SELECT event_type AS source, array_to_string(list_sort(list(DISTINCT CAST(user_id % 9 AS VARCHAR))), ' ') AS line FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' GROUP BY ALL""")
 def date_range_map(t: Tables) -> DataFrame:
-    e = t.read("events").where(F.to_date("ts").between("2024-01-05", "2024-01-09"))
+    e = select.between_dates(t.read("events"), "ts", "2024-01-05", "2024-01-09")
     return e.groupBy(F.col("event_type").alias("source")).agg(F.array_join(F.array_sort(F.collect_set((F.col("user_id") % 9).cast("string"))), " ").alias("line"))

@@ -100,21 +100,25 @@ def inherits_resolve(t: Tables) -> DataFrame:
 
 def _named_tests(t: Tables) -> DataFrame:
     """Tests named after the part that a customer's first line has."""
-    first = t.test_links.where("src % 5 = 0").select(F.col("src").alias("id"), F.col("dst").alias("part"))
-    s = t.symbols.select(F.col("id").alias("part"), "name")
+    first = t.first_links.select(F.col("src").alias("id"), F.col("dst").alias("part"))
+    s = t.symbols.select(F.col("id").alias("part"), "name", "class_name")
     files = t.tests.select("id", "file_path")
     key = F.concat_ws("_", F.col("id").cast("string"), F.col("part").cast("string"))
-    return first.join(s, "part").join(files, "id").select(key.alias("id"), F.concat(F.lit("test_"), F.col("name")).alias("name"), "file_path")
+    return first.join(s, "part").join(files, "id").select(key.alias("id"), F.concat(F.lit("test_"), F.col("name")).alias("name"), "file_path", "class_name")
 
 
-_TESTS = "SELECT l.src || '_' || l.dst AS id, 'test_' || s.name AS name, t.file_path FROM test_links l JOIN symbols s ON s.id = l.dst JOIN tests t ON t.id = l.src WHERE l.src % 5 = 0"
+_TESTS = "SELECT l.src || '_' || l.dst AS id, 'test_' || s.name AS name, t.file_path, s.class_name FROM first_links l JOIN symbols s ON s.id = l.dst JOIN tests t ON t.id = l.src"
 
 
-@query(f"""WITH tt AS ({_TESTS})
-SELECT tt.id AS src, s.id AS dst, 70 AS confidence_pct FROM tt JOIN symbols s ON s.name = tt.name[6:] WHERE s.file_path <> tt.file_path""")
+@query(f"""WITH tt AS MATERIALIZED ({_TESTS})
+SELECT tt.id AS src, s.id AS dst, 'Function' AS dst_label, 70 AS confidence_pct FROM tt JOIN symbols s ON s.name = tt.name[6:] WHERE s.file_path <> tt.file_path
+UNION ALL SELECT DISTINCT tt.id, c.id, 'Class', 70 FROM tt JOIN symbol_classes c ON c.name = tt.class_name WHERE c.file_path <> tt.file_path""")
 def link_naming(t: Tables) -> DataFrame:
-    out = link.link_by_name(_named_tests(t), t.symbols, t.symbols.limit(0).select("id", F.col("class_name").alias("name"), "file_path"))
-    return out.select("src", "dst", F.round(F.col("link_confidence") * 100).cast("int").alias("confidence_pct"))
+    """Tests of parts in a class are methods of a Test class."""
+    tests = _named_tests(t)
+    in_class = F.when(F.col("class_name").isNotNull(), F.concat(F.lit("Test"), "class_name", F.lit("."), "name")).otherwise(F.col("name"))
+    out = link.link_by_name(tests.withColumn("name", in_class), t.symbols, t.symbol_classes)
+    return out.select("src", "dst", "dst_label", F.round(F.col("link_confidence") * 100).cast("int").alias("confidence_pct"))
 
 
 @query(f"""WITH tt AS ({_TESTS}),
@@ -211,8 +215,7 @@ def url_path_proximity(t: Tables) -> DataFrame:
     p = t.read("pages").select("page_id", F.regexp_extract(url, r"^https?://([^/]+)", 1).alias("host"), F.explode(scalars.path_words(path)).alias("word"))
     a, b = p.withColumnRenamed("page_id", "a"), p.withColumnRenamed("page_id", "b")
     near = a.join(b, ["host", "word"]).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("near"))
-    best = near.groupBy("a").agg(F.max("near").alias("near"))
-    return near.join(best, ["a", "near"]).groupBy("a").agg(F.count(F.lit(1)).alias("ties"), F.max("near").alias("near"), F.min("b").alias("least"))
+    return select.best_with_ties(near, "a", "near").groupBy("a").agg(F.count(F.lit(1)).alias("ties"), F.max("near").alias("near"), F.min("b").alias("least"))
 
 
 @query("""WITH f AS (SELECT DISTINCT file_path FROM tests), r AS (SELECT file_path, row_number() OVER (ORDER BY file_path) - 1 AS i, count(*) OVER () AS n FROM f)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("impact_queries", "link_queries", "evaluation_queries")
+MODULES = ("impact_queries", "link_queries", "evaluation_queries", "rule_queries")
 
 
 def _merged(what: str) -> dict:
