@@ -21,8 +21,8 @@ groups of near copies with few comparisons, and need not find every link. Classe
 connected need no more. What stays undecided is narrowed by counts: of its blocks, a set with h hollow ones shares at least
 ``left`` = 1 + spare - h signatures with any set it links to. Signatures of more than HOT rows
 are passed over where the rest must still show some of these; only two sets that both lack
-enough others meet under them too. A pair that shares fewer signatures than it would have
-to, or whose sizes or 256-bit parity sketches forbid a link, goes. Each comparison that
+enough others meet under them too, mostly once, under the least one that they share. A pair
+that shares fewer others than it would have to, or whose sizes or 256-bit parity sketches forbid a link, goes. Each comparison that
 remains is exact on the sets of 64-bit element hashes. Signatures are counted once by the
 shuffle; only those that several classes share are dealt again, as far as a sieve of bounded
 size tells (what it lets through in vain is dropped by the join).
@@ -55,6 +55,8 @@ SKETCH = 256
 STAR, HEADS = 4, 8
 #: Rows of a signature that is passed over where others suffice.
 HOT = 32
+#: Least hot signatures of a class, by which its pairs are kept from meeting twice.
+LOWEST = 16
 #: The low bits of a signature name its slot: band modulo 8, then split.
 SLOT_BITS = 6
 LARGEST = 1 << 34
@@ -321,13 +323,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     left = left.union(left.join(clash, "node").select("other", "slot", "left")).groupBy("node", "slot").agg(F.max("left").alias("left"))
     cold = undecided.groupBy("node", "slot").agg(F.sum(F.col("hot").cast("long")).alias("hots")).join(left, ["node", "slot"], "left")
     cold = cold.select("node", "slot", F.coalesce("left", F.lit(0)).alias("left"), (F.coalesce("left", F.lit(0)) - F.col("hots")).alias("cold"))
-    open_ = undecided.join(cold, ["node", "slot"]).where("not hot or cold <= 0").join(classes.select("node", "n", "s0", "s1", "s2", "s3"), "node")
+    open_ = undecided.join(cold, ["node", "slot"]).where("not hot or cold <= 0")
+    lowest = open_.where("hot").groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LOWEST).alias("low"))
+    open_ = open_.join(lowest, "node", "left").withColumn("low", F.when(F.col("hot"), F.col("low"))).join(classes.select("node", "n", "s0", "s1", "s2", "s3"), "node")
     open_ = stage(open_, "jaccard-open")
-    side = lambda p: open_.select("sig", "slot", "hot", F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("root", "left", "cold", "n", "s0", "s1", "s2", "s3")))
-    met = side("a").join(side("b").drop("slot", "hot"), "sig").where((F.col("a_root") > F.col("b_root")) & _allowed(num, den))
+    side = lambda p: open_.select("sig", "slot", "hot", F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("root", "left", "cold", "low", "n", "s0", "s1", "s2", "s3")))
+    common = F.array_intersect("a_low", "b_low")  # where that is empty, the pair meets under each
+    once = ~F.col("hot") | (F.size(common) == 0) | (F.col("sig") == F.array_min(common))
+    met = side("a").join(side("b").drop("slot", "hot"), "sig").where((F.col("a_root") > F.col("b_root")) & _allowed(num, den) & once)
     met = met.groupBy("a", "b", "slot", F.greatest("a_left", "b_left").alias("left"), F.greatest("a_cold", "b_cold").alias("cold"))
-    met = met.agg(F.count(F.lit(1)).alias("all"), F.sum((~F.col("hot")).cast("long")).alias("colds"))
-    enough = F.when(F.col("cold") > 0, F.col("colds") >= F.col("cold")).otherwise((F.col("left") > 0) & (F.col("all") >= F.col("left")))
+    met = met.agg(F.sum((~F.col("hot")).cast("long")).alias("colds"))
+    enough = F.when(F.col("cold") > 0, F.col("colds") >= F.col("cold")).otherwise(F.col("left") > 0)
     rest = stage(met.where(enough).select("a", "b").distinct(), "jaccard-rest")
     unstage(members, undecided)
     more = _links(rest, classes, texts, n, num, den)
