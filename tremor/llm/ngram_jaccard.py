@@ -55,7 +55,7 @@ SKETCH = 256
 STAR, HEADS = 4, 8
 #: Rows of a signature that is passed over where others suffice.
 HOT = 32
-#: Least hot signatures of a class, by which its pairs are kept from meeting twice.
+#: Least hot signatures of a class and slot, by which its pairs are kept from meeting twice.
 LOWEST = 16
 #: The low bits of a signature name its slot: band modulo 8, then split.
 SLOT_BITS = 6
@@ -324,8 +324,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     cold = undecided.groupBy("node", "slot").agg(F.sum(F.col("hot").cast("long")).alias("hots")).join(left, ["node", "slot"], "left")
     cold = cold.select("node", "slot", F.coalesce("left", F.lit(0)).alias("left"), (F.coalesce("left", F.lit(0)) - F.col("hots")).alias("cold"))
     open_ = undecided.join(cold, ["node", "slot"]).where("not hot or cold <= 0")
-    lowest = open_.where("hot").groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LOWEST).alias("low"))
-    open_ = open_.join(lowest, "node", "left").withColumn("low", F.when(F.col("hot"), F.col("low"))).join(classes.select("node", "n", "s0", "s1", "s2", "s3"), "node")
+    lowest = open_.where("hot").groupBy("node", "slot").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LOWEST).alias("low"))
+    open_ = open_.join(lowest, ["node", "slot"], "left").withColumn("low", F.when(F.col("hot"), F.col("low"))).join(classes.select("node", "n", "s0", "s1", "s2", "s3"), "node")
     open_ = stage(open_, "jaccard-open")
     side = lambda p: open_.select("sig", "slot", "hot", F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("root", "left", "cold", "low", "n", "s0", "s1", "s2", "s3")))
     common = F.array_intersect("a_low", "b_low")  # where that is empty, the pair meets under each
