@@ -222,3 +222,59 @@ def test_streamed_snapshots(spark, tmp_path):
     incremental.follow_snapshots(spark, src, state, changes, ck).awaitTermination()
     assert {(r.path, r.content_hash) for r in spark.read.parquet(state).collect()} == {("a", "2"), ("c", "1")}
     assert {(r.path, r.status) for r in spark.read.parquet(changes).where("batch = 1").collect()} == {("a", "changed"), ("b", "deleted"), ("c", "new")}
+
+
+def test_streamed_links_survive_a_replay(spark, tmp_path):
+    src, table = str(tmp_path / "in"), str(tmp_path / "links")
+    spark.createDataFrame([("a", "b", "x", 0.5, 0.1), ("a", "b", "y", 0.7, None)], incremental.LINKS).write.parquet(src)
+    for k in range(2):  # another checkpoint: the same batch number again
+        incremental.follow_links(spark, src, table, str(tmp_path / f"ck{k}")).awaitTermination()
+    assert [tuple(r) for r in incremental.read_state(spark, table, incremental.LINKS).collect()] == [("a", "b", "y", 0.7, 0.1)]
+
+
+def test_windowed_outcomes(spark):
+    rows = spark.createDataFrame([("2024-01-01 00:01:00", "ok"), ("2024-01-01 00:09:00", "ok"), ("2024-01-01 00:11:00", "bad")], "t string, status string").withColumn("ts", F.to_timestamp("t"))
+    assert sorted((r.status, r.n) for r in incremental.windowed_outcomes(rows).collect()) == [("bad", 1), ("ok", 2)]
+
+
+def test_unknown_strategies_raise():
+    assert S.profile(None) == S.profile(" Balanced ")
+    with pytest.raises(ValueError, match="unknown strategy"):
+        S.profile("fast")
+
+
+def test_upserts_have_one_winner(spark):
+    old = spark.createDataFrame([(1, "o")], "id long, v string")
+    new = [spark.createDataFrame(rows, "id long, v string") for rows in ([(1, "x"), (1, "y")], [(1, "y"), (1, "x")])]
+    assert merge.upsert_nodes(old, new[0]).collect() == merge.upsert_nodes(old, new[1]).collect()
+
+
+def test_ranks_over_partitions(spark):
+    df = spark.createDataFrame([(f"k{i:03}",) for i in range(300)] + [(None,)], "key string").repartition(7)
+    got = {r.key: r.place for r in select.with_rank(df, "key", ranges=9).collect()}
+    assert got == {None: 0} | {f"k{i:03}": i + 1 for i in range(300)}
+
+
+def test_sinks_and_catalogues(spark, tmp_path):
+    empty = spark.createDataFrame([], "source string, tests string")
+    tables.write_test_map(empty, str(tmp_path / "map"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "map")).collect()] == ["# no tests mapped"]
+    rows = spark.createDataFrame([(1, "a|b"), (2, None), (3, "c")], "id int, v string").orderBy("id")
+    assert tables.markdown(rows, 2) == "| id | v |\n|---|---|\n| 1 | a\\|b |\n| 2 |  |\n\n1 more"
+    for name, text in (("predictions_20240102_030405.jsonl", "{}\n\n{}\n"), ("predictions_eval.jsonl", "{}\n"), ("old.jsonl", "{}\n")):
+        (tmp_path / "runs").mkdir(exist_ok=True)
+        (tmp_path / "runs" / name).write_text(text)
+    found = [(r.name, r.n, str(r.stamp)) for r in logs.prediction_catalogue(spark, str(tmp_path / "runs")).collect()]
+    assert found == [("predictions_20240102_030405.jsonl", 2, "2024-01-02 03:04:05"), ("old.jsonl", 1, "None")]
+    tables.clear_graph(spark, str(tmp_path / "graph"))
+    nodes, edges = tables.load_graph(spark, str(tmp_path / "graph"))
+    assert all(df.isEmpty() for df in [*nodes.values(), *edges.values()])
+
+
+def test_seed_files_keep_their_order(spark):
+    files = spark.createDataFrame([("pkg/a.py",), ("pkg/b.py",), ("lib/c.py",), ("lib/tests/test_c.py",)], "path string")
+    problems = spark.createDataFrame([(1, "see pkg/b.py, no/such.py and ./pkg/a.py or pkg/b.py", ["lib/tests/test_c.py::t"]), (2, None, [])], "instance_id long, text string, tests array<string>")
+    imports = spark.createDataFrame([("lib/tests/test_c.py", "pkg/a.py")], "test_file string, path string")
+    got = [(r.pos, r.path) for r in select.seed_files(problems, files, imports).orderBy("pos").collect()]
+    assert got == [(1, "pkg/b.py"), (2, "pkg/a.py"), (3, "lib/c.py"), (4, "lib/tests/test_c.py")]
+    assert select.seed_files(problems, files, most=1).count() == 1
