@@ -15,8 +15,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     its smaller ones, to the least of them. Both are an aggregation with partial sums and a
     join, so a node with very many links is split; every round is written to the shared folder.
     """
-    edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen, most = None, edges.count()
+    seen, most = None, links.count()
+    edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", most)
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -241,14 +241,15 @@ def _sets(part: pa.RecordBatch, owner: np.ndarray, h: np.ndarray) -> dict:
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes that link, by their sets; pairs is a staged table."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stage(classes.join(nodes, "node", "left_semi").select("node", "k", "t"), "jaccard-wanted", 2 * pairs.count())
+    most = pairs.count()
+    wanted = stage(classes.join(nodes, "node", "left_semi").select("node", "k", "t"), "jaccard-wanted", 2 * most)
     bits = stage(sieve(wanted, "t"), "jaccard-sieve", 1)
     text = sift(texts, "t", bits).join(wanted, ["k", "t"]).select("node", "text").dropDuplicates(["node"])
     sets = stage(text.mapInArrow(_each(n, _sets), "node long, items array<long>"), "jaccard-sets")
     x, y = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     linked = pairs.join(x, "a").join(y, "b").where(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
-    linked = stage(linked, "jaccard-links")
+    linked = stage(linked, "jaccard-links", most)
     unstage(sets, wanted, bits)
     return linked
 
@@ -305,6 +306,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         return placed.join(several, "sig")
 
     links = compare(members.withColumnRenamed("low", "head").where("node <> head").select(*pair))
+    compared = [links]
     roots = stage(connected_components(links), "jaccard-roots", rows)
     unstage(shared, bits)
     open_ = stage(place_(roots), "jaccard-placed")
@@ -313,9 +315,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     # a pair is counted once a signature, also where both are heads
     stars = open_.join(heads, "sig").where("root <> head_root").select("sig", *pair).distinct()
     more = compare(stars)
+    compared.append(more)
     unstage(open_)
     if not more.isEmpty():
-        links = stage(links.union(more), "jaccard-links")
+        links = links.union(more)
         roots = stage(connected_components(links), "jaccard-roots", rows)
     slot = F.col("sig").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).alias("slot")
     undecided = stage(place_(roots).select("*", slot), "jaccard-undecided")
@@ -337,6 +340,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rest = stage(met.where(enough).select("a", "b").distinct(), "jaccard-rest")
     unstage(members, undecided)
     more = _links(rest, classes, texts, n, num, den)
+    compared.append(more)
     unstage(open_, rest)
     if not more.isEmpty():
         roots = stage(connected_components(links.union(more)), "jaccard-roots", rows)
@@ -344,7 +348,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rooted = classes.select("h1", "h2", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stage(rooted.join(least, "root").select("h1", "h2", "root", "component_id"), "jaccard-named", rows)
-    unstage(links, more, classes)
+    unstage(classes, *compared)
     found = base.where("n > 0").join(named, ["h1", "h2"])
     alone = base.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("long"))
     cols = [F.col("doc_id"), F.col("n").alias("n_shingles"), "component_id", "root", "k", "t"]
