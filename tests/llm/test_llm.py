@@ -532,3 +532,34 @@ def test_pipeline_keeps_columns(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert not [r for r in docs.collect() if "token=" in r.text]
     assert len({r.doc_id for r in docs.collect()} & set(range(500, 505))) == 0
+
+
+WORKERS = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession, functions as F
+from tremor.llm import language_id, ngram_jaccard, prefix_fingerprint, repeat_spans, secret_scan, sequence_packing, topk_index, toxicity
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://" + sys.argv[2]).getOrCreate()
+docs = spark.createDataFrame([(i, ("bad vile " if i % 4 == 0 else "good fine ") * (1 + i % 3), "aa" if i % 2 else "bb") for i in range(60)], "doc_id long, text string, lang string")
+labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+frames = [
+    repeat_spans.remove_repeats(docs), ngram_jaccard.jaccard_components(docs), language_id.identify(docs, language_id.fit(docs)), toxicity.drop_toxic(docs, labels), toxicity.score_toxicity(docs, toxicity.fit(docs, labels)),
+    prefix_fingerprint.compare_with_next(docs), sequence_packing.pack_documents(docs), secret_scan.scan_secrets(docs),
+    topk_index.top_k(*[spark.createDataFrame([(i, [i, 1]) for i in range(9)], "id long, v array<long>")] * 2, 2),
+]
+print("rows", [f.count() for f in frames])
+"""
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Only the driver has the repository on its path."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[2])
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYTHONPATH", "PYSPARK_", "SPARK_"))}
+    (tmp_path / "cwd").mkdir()
+    done = subprocess.run([sys.executable, "-c", WORKERS, root, str(tmp_path / "shared")], env=env, cwd=tmp_path / "cwd", capture_output=True, text=True, timeout=300)
+    assert "rows [60, 60, 60" in done.stdout, done.stderr[-2000:]
