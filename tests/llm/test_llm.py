@@ -343,6 +343,16 @@ def test_secrets(spark):
     assert [(r.text, r.n_chars) for r in clean] == [("a [SECRET] z", 12), (None, None)]
 
 
+def test_words_of_the_corpus_are_cheap(spark):
+    texts = ["the secret is uvqzykworbx now", "uvqzykworbx eruzheatqth uvqzykworbx eruzheatqth"] * 6 + ["token is Xk7qWz9Lp2Rt", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = secret_scan.learn_words(df)
+    assert words[:2] == ["eruzheatqth", "uvqzykworbx"] and "qwz" not in words
+    plain, learned = ({r.doc_id: r for r in secret_scan.scan_secrets(df, words=w).collect()} for w in (None, words))
+    assert plain[0].n_guess == 1 and learned[0].n_guess == 0 and learned[12].n_guess == 1
+    assert secret_scan.assign_bits("password=password token: 8f3kq9zx", [(0, 17, 0), (18, 33, 0)], secret_scan.ranks([])).split(",")[0] == "1"
+
+
 def test_long_patterns_stay_cheap():
     cost = secret_scan.guess_cost
     assert cost("a" * 100) < cost("a" * 32) + 3 and cost("abc" * 40) < 25 and cost("Kx7Qz9Lp" * 9) < cost("Kx7Qz9Lp") + 12

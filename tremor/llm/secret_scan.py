@@ -3,8 +3,9 @@
 Three patterns find the base spans. Beyond them, a value that stands in a credential
 context is segmented into words, dates, repeats, sequences, keyboard walks and
 brute-force spans so that the total number of guesses is least (a dynamic program over
-its positions). Words have their rank in a frequency list (``word_list``, English), and
-brute force tries all character classes of the value at each place. A value that would cost at least ``min_log2`` bits is a span of kind
+its positions). Words have their rank in a frequency list: English (``word_list``), and the
+most frequent words of the corpus outside credential contexts (``learn_words``), so that
+prose in any language is cheap. Brute force tries all character classes of the value at each place. A value that would cost at least ``min_log2`` bits is a span of kind
 ``guess`` unless base spans cover it entirely; it may overlap them.
 
 Null and empty texts have no spans. Every row is scanned by itself, so repeated rows get
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import slices, table
 from .word_list import WORDS
@@ -48,11 +50,14 @@ COMMON = (
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 #: Characters by which a repeated block is found.
 SEED = 4
+#: Words learned from a corpus: at most so many, of so many occurrences at least, of 3 to 20 letters.
+VOCABULARY, LEAST_SEEN = 20_000, 5
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 MIN_LOG2 = 40.0
 
 _RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *WORDS]))}
-_WORD_LENGTHS = sorted({len(w) for w in _RANK})
+#: Letters of the longest word that is looked up.
+LONGEST_WORD = max(map(len, _RANK))
 _NEIGHBOURS = {frozenset(p) for row in KEYBOARD for p in zip(row, row[1:], strict=False)}
 _UNLEET = str.maketrans("01345$@7", "oleassat")
 
@@ -66,14 +71,22 @@ def _charset(value: str) -> int:
     return 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value)
 
 
-def _pieces(value: str) -> list[list[tuple[int, float]]]:
+def ranks(learned: list[str]) -> dict[str, int]:
+    """Ranks of the shipped words and of those learned, most frequent first; the better one of a word in both."""
+    out = dict(_RANK)
+    for i, w in enumerate(learned, len(COMMON) + 1):
+        out[w] = min(i, out.get(w, i))
+    return out
+
+
+def _pieces(value: str, rank_of: dict[str, int] | None = None) -> list[list[tuple[int, float]]]:
     """For each end position, the (start, log2 guesses) of the structured pieces that end there."""
-    n = len(value)
+    n, rank_of = len(value), rank_of or _RANK
     low, ends = value.lower(), [[] for _ in range(n + 1)]
     plain = low.translate(_UNLEET)
     for i in range(n):
-        for k in _WORD_LENGTHS:
-            if i + k <= n and (rank := _RANK.get(plain[i : i + k])):
+        for k in range(2, min(LONGEST_WORD, n - i) + 1):
+            if rank := rank_of.get(plain[i : i + k]):
                 part = value[i : i + k]
                 twist = (part[0].isupper()) + 2 * (not part.islower() and not part[:1].isupper()) + (low[i : i + k] != plain[i : i + k])
                 ends[i + k].append((i, math.log2(rank + 1) + twist))
@@ -121,13 +134,13 @@ def _follows(a: str, b: str, step: str) -> bool:
     return a.isalnum() and b.isalnum() and ord(b) - ord(a) == (1 if step == "up" else -1)
 
 
-def guess_cost(value: str, charset: int | None = None) -> float:
+def guess_cost(value: str, charset: int | None = None, rank_of: dict[str, int] | None = None) -> float:
     """Least log2 of the guesses for a value, over all its segmentations.
 
     A brute-force character costs its own class, or charset where that is given.
     """
     n = len(value)
-    pieces = _pieces(value)
+    pieces = _pieces(value, rank_of)
     best = [0.0] * (n + 1)
     for j in range(1, n + 1):
         best[j] = best[j - 1] + math.log2(charset or _alphabet(value[j - 1]))
@@ -145,7 +158,7 @@ def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
     return start >= end
 
 
-def find_spans(text: str | None, min_log2: float = MIN_LOG2) -> list[tuple[int, int, int]]:
+def find_spans(text: str | None, min_log2: float = MIN_LOG2, rank_of: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     """(start, end, kind's place in KINDS) of one text, by start, then kind; code points, end exclusive."""
     if not text:
         return []
@@ -160,7 +173,7 @@ def find_spans(text: str | None, min_log2: float = MIN_LOG2) -> list[tuple[int,
             value = value.partition(quote)[0]
         value = value.rstrip("\"',;.)")
         end = start + len(value)
-        if len(value) >= 8 and not _covered(start, end, base) and guess_cost(value, _charset(value)) >= min_log2:
+        if len(value) >= 8 and not _covered(start, end, base) and guess_cost(value, _charset(value), rank_of) >= min_log2:
             found.append((start, end, 3))
     return sorted(found, key=lambda x: (x[0], x[2]))
 
@@ -169,12 +182,38 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_log2: float = MIN_LOG2) -> DataFrame:
-    """One row per document: counts, the base spans' digest and all spans."""
+def learn_words(docs: DataFrame, text: str = "text", most: int = VOCABULARY) -> list[str]:
+    """The most frequent words of all texts, without what stands in credential contexts; ties by code point.
+
+    All words are counted, with partial sums; only the first ``most`` reach the driver.
+    """
+    words = F.split(F.lower(F.regexp_replace(text, CONTEXT.pattern, " ")), r"[^\p{L}]+")
+    counts = docs.select(F.explode(words).alias("word")).where(F.length("word").between(3, 20)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return [r.word for r in counts.where(F.col("n") >= LEAST_SEEN).orderBy(F.col("n").desc(), "word").limit(most).collect()]
+
+
+def _shared_ranks(docs: DataFrame, words: list[str] | None):
+    """The ranks for the executors: the shipped list and VOCABULARY learned words at most."""
+    return docs.sparkSession.sparkContext.broadcast(ranks(words or []))
+
+
+def assign_bits(text: str | None, spans: list[tuple[int, int, int]], rank_of: dict[str, int]) -> str:
+    """Guess costs of the values of assign spans in whole bits, in order: low ones are words or patterns."""
+    found = (ASSIGN.match(text, s) for s, _, k in spans if k == 0)
+    return ",".join(str(round(guess_cost(m[2], _charset(m[2]), rank_of))) for m in found)
+
+
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_log2: float = MIN_LOG2, words: list[str] | None = None) -> DataFrame:
+    """One row per document: counts, the base spans' digest, all spans and the bits of assigned values.
+
+    ``words`` are learned words, most frequent first.
+    """
+    shared = _shared_ranks(docs, words)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for whole in parts for x in slices(whole)):
-            rows = [find_spans(x, min_log2) for x in part.column(1).to_pylist()]
+            texts = part.column(1).to_pylist()
+            rows = [find_spans(x, min_log2, shared.value) for x in texts]
             base = [_joined([s for s in r if s[2] < 3]) for r in rows]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -183,21 +222,24 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_l
                     "base_sha256": pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()),
                     "spans": pa.array([_joined(r) for r in rows], pa.string()),
                     "n_guess": pa.array([sum(s[2] == 3 for s in r) for r in rows], pa.int64()),
+                    "assign_bits": pa.array([assign_bits(x, r, shared.value) for x, r in zip(texts, rows, strict=True)], pa.string()),
                 }
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, assign_bits string")
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", count: str = "n_chars", mark: str = "[SECRET]", min_log2: float = MIN_LOG2) -> DataFrame:
+def redact_secrets(docs: DataFrame, text: str = "text", count: str = "n_chars", mark: str = "[SECRET]", min_log2: float = MIN_LOG2, words: list[str] | None = None) -> DataFrame:
     """The same rows and columns, each text with its spans replaced; overlapping spans become one mark.
 
     A column ``count``, if there is one, changes by as much as the text's length does.
     """
 
+    shared = _shared_ranks(docs, words)
+
     def clean(x: str | None) -> str | None:
-        spans = find_spans(x, min_log2)
+        spans = find_spans(x, min_log2, shared.value)
         if not spans:
             return x
         out, at = [], 0
@@ -225,7 +267,8 @@ def redact_secrets(docs: DataFrame, text: str = "text", count: str = "n_chars",
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return scan_secrets(docs, words=learn_words(docs))
 
 
 QUERIES = {"op10_secret_scan": op10_secret_scan}
