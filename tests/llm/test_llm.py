@@ -203,6 +203,22 @@ def test_likeness():
     assert like(f("a" * 50 + "b" * 50), f("a" * 50 + "c" * 50)) > 0.4 and like(f("abcd" * 9), f("wxyz" * 9)) == 0
 
 
+def test_likeness_of_one_change_by_plain_strings():
+    """The grid finds both ends to an eighth; what is counted beyond them is truly common."""
+    rng = random.Random(21)
+    f, like, grid = prefix_fingerprint.fingerprint, prefix_fingerprint.likeness, prefix_fingerprint.GRID
+    for _ in range(60):
+        n = rng.randrange(1, 4000)
+        a = "".join(rng.choices("abcdefgh ", k=n))
+        i = rng.randrange(n)
+        j = rng.randrange(i, min(n, i + 200)) + 1
+        b = a[:i] + "Z" * rng.randrange(1, 50) + a[j:]
+        head = max((g for g in grid if g <= min(len(a), len(b)) and a[:g] == b[:g]), default=0)
+        tail = max((g for g in grid if g <= min(len(a), len(b)) and a[-g:] == b[-g:]), default=0)
+        got, longest = like(f(a), f(b)), max(len(a), len(b))
+        assert (head + tail) / longest - 1e-9 <= got <= (n - (j - i)) / longest + 1e-9 or n < 40
+
+
 def test_likeness_counts_what_is_common_inside():
     rng = random.Random(4)
     f, like = prefix_fingerprint.fingerprint, prefix_fingerprint.likeness
@@ -259,6 +275,53 @@ def test_mix_meets_its_targets(spark):
     assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_bytes_that_are_no_text(spark):
+    df = spark.sql("select id as doc_id, cast(unhex(concat('ff', hex('some words password=abcdefgh12'))) as string) as text, 'aa' as lang, 'bb' as source from range(3)")
+    model = language_id.train(["abc def"] * 10 + ["xyz uvw"] * 10, ["aa"] * 10 + ["bb"] * 10)
+    assert language_id.identify(df, model).count() == 3
+    assert {r.n_assign for r in secret_scan.scan_secrets(df).collect()} == {1}
+    assert {r.n_chars for r in prefix_fingerprint.compare_with_next(df).collect()} == {31}
+    toxic = toxicity.Model()
+    assert toxicity.score_toxicity(df, toxic).count() == 3 and secret_scan.redact_secrets(df).where("text like '%[SECRET]%'").count() == 3
+
+
+def test_languages_match_plain_sums(spark):
+    """Every subword by hand: runs of letters, closed by a mark where a separator follows, in n-grams up to four."""
+    rng = random.Random(12)
+    make = lambda p, n: " ".join("".join(rng.choices(p, k=rng.randrange(1, 9))) + rng.choice(["", ",", "1"]) for _ in range(n))
+    model = language_id.train([make("abcdé", 20) for _ in range(40)] + [make("vwxyz", 20) for _ in range(40)], ["aa"] * 40 + ["bb"] * 40)
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x100000001B3 + c) % 2**64
+        return int(common.mix64(np.array([(h + (len(gram) << 56)) % 2**64], np.uint64))[0] % np.uint64(language_id.BUCKETS))
+
+    def plain(text):
+        runs, run = [], []
+        for c in text.lower():
+            if c.isalpha():
+                run.append(ord(c))
+            elif run:
+                runs.append([*run, 1])
+                run = []
+        runs += [run] * bool(run)
+        grams = [r[i - n : i] for r in runs for i in range(1, len(r) + 1) for n in range(1, 5) if n <= i and not (n == 1 and r[i - 1] == 1)]
+        if not grams:
+            return "und", 0.0
+        z = np.mean([model.scores[bucket(g)] for g in grams], axis=0) + model.bias
+        p = np.exp(z / model.temperature - max(z / model.temperature))
+        p /= p.sum()
+        return model.labels[int(p.argmax())], float(p.max())
+
+    texts = [make("abcdévwxyz", rng.randrange(1, 12)) for _ in range(60)] + ["a", "Ab", "12", "", "z-", "ÉÉ"] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    for i, t in enumerate(texts):
+        label, score = plain(t)
+        assert abs(got[i].score - score) < 1e-4 and (got[i].lang_pred == label or abs(score - 0.5) < 1e-3), t
+
+
 # -- the models ----------------------------------------------------------------------
 
 
@@ -295,6 +358,50 @@ def test_segments_match_their_definition():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in best_segments(scores)]
 
 
+def test_toxicity_matches_its_definition(spark):
+    """Log-odds, law, segments and features by plain loops over the same sample."""
+    rng = random.Random(15)
+    rows = []
+    for i in range(900):
+        w = prose(rng, rng.randrange(5, 40)).split()
+        bad = i % 4 == 0
+        for x in rng.sample(["vileword", "nastyterm", "foulness", "grimtalk"], 3) if bad and i % 16 else ["vileword"] * (i % 9 == 0):
+            w.insert(rng.randrange(len(w)), x)
+        rows.append((i, " ".join(w), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("units", F.lit("clash"))
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    part = {r.doc_id: r.p for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(10)).alias("p")).collect()}
+    counted, rest = ([r for r in rows if (part[r[0]] < toxicity.COUNTED) == k] for k in (True, False))
+    n = [sum(r[2] == k for r in counted) for k in (0, 1)]
+    seen = [defaultdict(int), defaultdict(int)]
+    for _, text, y in counted:
+        for u in {u for t in set(re.findall(r"[^\W\d_]+", text.lower())) for u in [t + " ", *(t[:k] for k in range(4, 9) if len(t) > k)]}:
+            seen[y][u] += 1
+    want = {}
+    for u in set(seen[0]) | set(seen[1]):
+        d0, d1 = seen[0][u], seen[1][u]
+        prior = 0.5 + toxicity.PRIOR * (d0 + d1) / sum(n)
+        odds = np.log((d1 + prior) / (n[1] + toxicity.PRIOR + 1)) - np.log((d0 + prior) / (n[0] + toxicity.PRIOR + 1))
+        z = odds / np.sqrt(1 / (d1 + prior) + 1 / (d0 + prior))
+        if d0 + d1 >= toxicity.MIN_DOCS and ((z >= toxicity.Z and odds >= toxicity.LEAST and d1 >= toxicity.MIN_DOCS) or z <= -toxicity.CLEAN_Z):
+            want[u] = odds if odds > 0 else min(odds, toxicity.DRIFT)
+    assert set(want) == set(model.scores) and all(abs(model.scores[u][0] - s) < 1e-9 for u, s in want.items()) and "vileword " in want
+
+    def surprises(text):
+        tokens = re.findall(r"[^\W\d_]+", text.lower())
+        scores = [model.scores[max((u for u in toxicity.units(t) if u in want), key=lambda u: model.scores[u][1])][0] if any(u in want for u in toxicity.units(t)) else toxicity.DRIFT for t in tokens]
+        return [model.rate * s - np.log(model.k * len(tokens) + 1) for _, _, s in best_segments(scores)] or [-np.log(model.k * len(tokens) + 1)]
+
+    for _, text, _ in rest[:60]:
+        best, total, size, _, count = model.features(text)
+        found = surprises(text)
+        assert abs(best - max(found)) < 1e-9 and abs(total - sum(x for x in found if x > 0)) < 1e-9 and count == min(3, sum(x > 0 for x in found)) and abs(size - np.log1p(len(text.split()))) < 1e-9
+    x = np.array([model.features(r[1]) for r in rest])
+    z = (np.clip(x, -60, 60) - model.mean) / model.scale @ model.weights[1:] + model.weights[0]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, model).collect()}
+    assert np.allclose([got[r[0]] for r in rest], 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
 def test_toxic_words_are_learned(spark):
     rng = random.Random(5)
     rows, labels = [], []

@@ -148,6 +148,14 @@ def slices(part: pa.RecordBatch, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBa
         yield part.slice(i, rows)
 
 
+def texts(col: pa.Array) -> list[str | None]:
+    """A string column as Python values; bytes that are no UTF-8 become U+FFFD."""
+    try:
+        return col.to_pylist()
+    except UnicodeDecodeError:
+        return [None if b is None else b.decode("utf-8", "replace") for b in col.cast(pa.binary()).to_pylist()]
+
+
 def batches(tables: Iterable[dict[str, np.ndarray | pa.Array]]) -> Iterator[pa.RecordBatch]:
     """Record batches from dicts of equally long arrays; empty ones are left out."""
     for t in tables:

@@ -11,7 +11,8 @@ A second part of the sample sets the temperature that calibrates the probabiliti
 score below which a prediction counts as rejected (column ``rejected``); lang_pred itself
 is ``und`` only for null texts and texts without a letter, with score 0. Without labelled
 rows every prediction is ``und``. Repeated rows and clashing extra columns don't matter:
-only the id, the text and, in training, the label are read. Texts are taken whole.
+only the id, the text and, in training, the label are read. Texts are taken whole; bytes
+that are no UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, crc_mod, mix64, table
+from .common import buffers, chunks, crc_mod, mix64, table, texts
 
 BUCKETS = 1 << 15
 DIMS = 16
@@ -47,6 +48,13 @@ def letters(cache: list[np.ndarray] = []) -> np.ndarray:  # noqa: B006
     return cache[0]
 
 
+def lowered(col: pa.Array) -> pa.Array:
+    try:
+        return pc.utf8_lower(col)
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        return pc.utf8_lower(pa.array(texts(col), pa.string()))
+
+
 def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each subword, row of each subword) of lower-cased UTF-8 texts end to end.
 
@@ -179,7 +187,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         m = Model(*shared.value)
         names = np.array([*m.labels, "und"], object)
         for part in parts:
-            data, offsets = buffers(pc.utf8_lower(part.column(1)))
+            data, offsets = buffers(lowered(part.column(1)))
             n = part.num_rows
             pick, score = np.full(n, len(m.labels)), np.zeros(n)
             for i, j in chunks(offsets):

@@ -13,7 +13,8 @@ and the common spans between them cover: 1 for equal texts, 0 where nothing agre
 Null is the empty text; two empty texts have likeness 1, an empty and another 0. Ids that
 repeat are ordered by text; null ids stand before all others. A single document is its own
 next one. Texts of any length are taken whole; a text's arrays need about 40 bytes a code
-point, one text at a time. Other columns are not read.
+point, one text at a time. Bytes that are no UTF-8
+count as U+FFFD. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, table
+from .common import partitions, slices, table, texts
 
 # Fixed values of the fingerprint: two primes below 2**31, the bases and the grid's growth.
 PRIMES = (2147483629, 2147483587)
@@ -201,8 +202,8 @@ def _run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None  # (block, doc_id, text, fingerprint)
     for part in (x for whole in parts for x in slices(whole)):
         rows: list[tuple] = []
-        blocks, tails, ids, texts = (part.column(i).to_pylist() for i in range(4))
-        for block, tail, doc_id, text in zip(blocks, tails, ids, texts, strict=True):
+        blocks, tails, ids = (part.column(i).to_pylist() for i in range(3))
+        for block, tail, doc_id, text in zip(blocks, tails, ids, texts(part.column(3)), strict=True):
             if tail and (held is None or held[0] != block):
                 continue  # one of several equal first rows: the next row is known already
             text = text or ""

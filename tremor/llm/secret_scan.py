@@ -8,7 +8,7 @@ most frequent words of the corpus outside credential contexts (``learn_words``),
 prose in any language is cheap. Brute force tries all character classes of the value at each place. A value that would cost at least ``min_log2`` bits is a span of kind
 ``guess`` unless base spans cover it entirely; it may overlap them.
 
-Null and empty texts have no spans. Every row is scanned by itself, so repeated rows get
+Null and empty texts have no spans; bytes that are no UTF-8 count, and are written, as U+FFFD. Every row is scanned by itself, so repeated rows get
 equal results and columns beyond the two that are read don't matter. Runs, walks and repeated
 blocks count at their full length, each found once, so time is linear in a value's length.
 """
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, texts
 from .word_list import WORDS
 
 # The base patterns, their least lengths and the order of kinds.
@@ -212,8 +212,8 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_l
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for whole in parts for x in slices(whole)):
-            texts = part.column(1).to_pylist()
-            rows = [find_spans(x, min_log2, shared.value) for x in texts]
+            own = texts(part.column(1))
+            rows = [find_spans(x, min_log2, shared.value) for x in own]
             base = [_joined([s for s in r if s[2] < 3]) for r in rows]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -222,7 +222,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_l
                     "base_sha256": pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()),
                     "spans": pa.array([_joined(r) for r in rows], pa.string()),
                     "n_guess": pa.array([sum(s[2] == 3 for s in r) for r in rows], pa.int64()),
-                    "assign_bits": pa.array([assign_bits(x, r, shared.value) for x, r in zip(texts, rows, strict=True)], pa.string()),
+                    "assign_bits": pa.array([assign_bits(x, r, shared.value) for x, r in zip(own, rows, strict=True)], pa.string()),
                 }
             )
 
@@ -254,7 +254,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", count: str = "n_chars",
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for whole in parts for x in slices(whole)):
-            old = part.column(place).to_pylist()
+            old = texts(part.column(place))
             new = [clean(x) for x in old]
             cols = list(part.columns)
             cols[place] = pa.array(new, pa.string())

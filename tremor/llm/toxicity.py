@@ -19,7 +19,7 @@ through a logistic fit on the sample rows that were not counted.
 Null and empty texts have no segment and get the base rate's score. Without labels of both
 classes the score is that rate (0 without any label). Repeated rows are scored alike, label
 rows that repeat count repeatedly, null labels are left out, other columns are not read.
-Texts are taken whole.
+Texts are taken whole; bytes that are no UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, stage, table
+from .common import crc_mod, slices, stage, table, texts
 
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = range(4, 9)
@@ -144,7 +144,7 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     times: dict[int, int] = {0: 0, 1: 0}
     docs: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for part in (x for whole in parts for x in slices(whole)):
-        for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+        for text, label in zip(texts(part.column(0)), part.column(1).to_pylist(), strict=True):
             tokens = TOKEN.findall((text or "").lower())
             times[label] += len(tokens)
             docs[label].update({u for t in set(tokens) for u in units(t)})
@@ -227,7 +227,7 @@ def featurise(docs: DataFrame, model: Model, keep: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**shared.value)
         for part in (x for whole in parts for x in slices(whole)):
-            rows = [m.features(t) for t in part.column(0).to_pylist()]
+            rows = [m.features(t) for t in texts(part.column(0))]
             cols = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*cols, part.column(1)], names=[*FEATURES, part.schema.names[1]])
 
@@ -241,8 +241,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**shared.value)
         for part in (x for whole in parts for x in slices(whole)):
-            texts = part.column(1).to_pylist()
-            p = m.probability(np.array([m.features(t) for t in texts]).reshape(-1, len(FEATURES)))
+            p = m.probability(np.array([m.features(t) for t in texts(part.column(1))]).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
@@ -256,7 +255,7 @@ def toxic_passages(docs: DataFrame, model: Model, surprise: float = 3.0) -> Data
         m = Model(**shared.value)
         for part in (x for whole in parts for x in slices(whole)):
             rows = []
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for key, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
                 n, found = m.passages(text)
                 rows += [(key, a, b, s, x) for a, b, s in found if (x := m.rate * s - math.log(m.k * n + 1)) >= surprise]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -275,7 +274,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**shared.value)
         for part in (x for whole in parts for x in slices(whole)):
-            p = m.probability(np.array([m.features(t) for t in part.column(place).to_pylist()]).reshape(-1, len(FEATURES)))
+            p = m.probability(np.array([m.features(t) for t in texts(part.column(place))]).reshape(-1, len(FEATURES)))
             yield part.filter(pa.array(p < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
