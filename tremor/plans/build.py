@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import normalise_paths
 from ..operators import impact, link, merge, resolve
-from ..sources import code
+from ..sources import code, scratch
 
 Graph = tuple[dict[str, DataFrame], dict[str, DataFrame]]
 
@@ -37,9 +37,9 @@ def link_tests(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> Data
 
 
 def build_graph(spark: SparkSession, root: str) -> Graph:
-    """Scan, parse, resolve and link a source tree. The parse result is kept, since several tables come from it."""
+    """Scan, parse, resolve and link a source tree. The parse result is staged, since several tables come from it."""
     files = code.scan_tree(spark, root)
-    parsed = code.parse_files(files).persist()
+    parsed = scratch.staged(code.parse_files(files), "parsed")
     nodes, edges = code.graph_tables(files, parsed, root)
     imports = parsed.select("path", F.explode("imports").alias("module"))
     edges |= resolve_edges(nodes, imports)
@@ -54,11 +54,12 @@ def update_graph(graph: Graph, files: DataFrame, root: str = "") -> Graph:
     Imports of unchanged files are taken from the edges that are there.
     """
     nodes, edges = graph
-    diff = merge.snapshot_diff(nodes["file"], files.select("path", "content_hash")).persist()
+    diff = merge.snapshot_diff(nodes["file"], files.select("path", "content_hash"))
+    diff = scratch.staged(diff, "diff")
     stale = diff.where("status in ('changed', 'deleted')").select("path")
     fresh = files.join(diff.where("status in ('changed', 'new')").select("path"), "path", "left_semi")
     kept_nodes, kept_edges = merge.delete_files(nodes, {k: edges[k] for k in ("contains", "imports", "depends_on") if k in edges}, stale)
-    parsed = code.parse_files(fresh).persist()
+    parsed = scratch.staged(code.parse_files(fresh), "parsed")
     new_nodes, new_edges = code.graph_tables(fresh, parsed, root)
     all_nodes = {k: kept_nodes[k].unionByName(new_nodes[k], allowMissingColumns=True) for k in nodes}
     out = resolve_edges(all_nodes, parsed.select("path", F.explode("imports").alias("module")))
