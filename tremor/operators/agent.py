@@ -38,6 +38,7 @@ def candidate_order(mode: str = "hard") -> Column:
     f2p, p2p = test_signal(mode)
     lines = F.when(_num("changed_lines_total") > 0, F.col("changed_lines_total")).otherwise(10**6)
     chars = F.coalesce(F.length("prediction"), F.lit(0))
+    # The keys and their order.
     keys = [
         _flag("clean_resolution"), _flag("verify_pass_after_edit"), _flag("smoke_pass_after_edit"), _flag("tdd_gate_passed", True),
         _flag("regression_gate_passed", True), _flag("progress_gate_passed", True), _flag("patch_gate_valid"),
