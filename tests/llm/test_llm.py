@@ -577,6 +577,7 @@ def test_quotes_are_linked_and_dropped(spark):
         (None, 0, "user", "alone"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("mid", F.lit("x"))
+    assert sum(r.copies for r in quote_linking.link_conversations(df).collect()) == len(rows)
     got = [(r.conv_id, r.place, r.turn, r.text, r.reply_to, r.n_quotes) for r in quote_linking.link_conversations(df).orderBy("conv_id", "place").collect()]
     assert got == [
         (None, 1, 0, "alone", None, 0),

@@ -14,7 +14,7 @@ to, before that one's later replies.
 
 Null texts are empty messages; a message of quotes only keeps its place with empty text.
 Messages that share a turn are ordered by role, then text; rows equal in all of them are
-one message. Null ids and turns are a conversation and a place of their own, null turns
+one message with their number in ``copies``. Null ids and turns are a conversation and a place of their own, null turns
 first. A quote without a source links nothing. Hashes of passages are joined by
 conversation and hash, so a passage that very many conversations share meets only its own
 conversation. Extra columns are not read.
@@ -46,7 +46,8 @@ def _level(line: Column) -> Column:
 
 def messages(conversations: DataFrame) -> DataFrame:
     """Distinct messages with mid (place in the conversation) and lines (level, text)."""
-    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "text")
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(_level(x).alias("level"), F.trim(F.regexp_replace(x, MARKS, "")).alias("line")))
     return rows.withColumn("mid", F.row_number().over(order)).withColumn("lines", lines)
@@ -119,20 +120,20 @@ def link_quotes(msgs: DataFrame) -> DataFrame:
 
 
 def link_conversations(conversations: DataFrame) -> DataFrame:
-    """One row per message: conv_id, place (in reply order), turn, role, text without quotes, reply_to (a turn), n_quotes, depth."""
+    """One row per message: conv_id, place (in reply order), turn, role, text without quotes, reply_to (a turn), n_quotes, depth, copies."""
     msgs = stage(messages(conversations), "quote-messages")
     links = link_quotes(msgs)
     target = links.groupBy("conv_id", "mid").agg(F.min(F.struct("level", (-F.col("pos")).alias("pos"), "source"))["source"].alias("source"), F.count(F.lit(1)).alias("n_quotes"))
     target = target.select(F.col("conv_id").alias("c"), F.col("mid").alias("m"), "source", "n_quotes")
     text = F.trim(_own(F.col("lines")), F.lit("\n "))
     rows = msgs.join(target, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("mid") == F.col("m")), "left")
-    rows = rows.select("conv_id", "mid", "turn", "role", text.alias("text"), F.coalesce("source", F.when(F.col("mid") > 1, F.col("mid") - 1)).alias("parent"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"))
+    rows = rows.select("conv_id", "mid", "turn", "role", text.alias("text"), F.coalesce("source", F.when(F.col("mid") > 1, F.col("mid") - 1)).alias("parent"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), "copies")
     rows = stage(rows, "quote-parents")
     # a conversation whose messages all reply to the one before is in order as it is
     whole = Window.partitionBy("conv_id").orderBy("mid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("branched", F.max(F.coalesce(F.col("parent") != F.col("mid") - 1, F.lit(False))).over(whole))
     plain = rows.where("not branched").withColumn("reply_to", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("mid")))
-    plain = plain.select("conv_id", F.col("mid").alias("place"), "turn", "role", "text", "reply_to", "n_quotes", (F.col("mid") - 1).alias("depth"))
+    plain = plain.select("conv_id", F.col("mid").alias("place"), "turn", "role", "text", "reply_to", "n_quotes", (F.col("mid") - 1).alias("depth"), "copies")
     rows = stage(rows.where("branched").drop("branched"), "quote-branched")
     if rows.isEmpty():
         return plain
@@ -140,7 +141,7 @@ def link_conversations(conversations: DataFrame) -> DataFrame:
     up = rows.select(F.col("conv_id").alias("c2"), F.col("mid").alias("m2"), F.col("turn").alias("reply_to"))
     out = rows.join(places, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("mid") == F.col("m")))
     out = out.join(up, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("parent") == F.col("m2")), "left")
-    return plain.unionByName(out.select("conv_id", "place", "turn", "role", "text", "reply_to", "n_quotes", "depth"))
+    return plain.unionByName(out.select("conv_id", "place", "turn", "role", "text", "reply_to", "n_quotes", "depth", "copies"))
 
 
 def _reply_places(rows: DataFrame) -> DataFrame:
