@@ -205,4 +205,30 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_mix_sources": op5_mix_sources}
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of the mix: sizes and targets, the latter in thousandths of a word."""
+    sizes = _sizes(table(spark, sf_dir, "documents"))
+    targets = source_targets(sizes).withColumnRenamed("source", "s").drop("src")
+    found = sizes.join(targets, F.col("source").eqNullSafe(F.col("s")))
+    return found.select("doc_id", "size", "source_size", F.floor(F.col("target") * 1000 + 0.5).cast("long").alias("target_e3"))
+
+
+QUERIES = {"op5_mix_sources": op5_mix_sources, "mix_targets": mix_targets}
+
+ORACLE_SQL = {
+    "mix_targets": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), s AS MATERIALIZED (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight
+  FROM d GROUP BY source
+), fill AS (
+  SELECT 0 AS step, 1.5::DOUBLE * sum(source_size) / sum(weight) AS level FROM s
+  UNION ALL
+  SELECT step + 1, (SELECT (1.5::DOUBLE * sum(source_size) - coalesce(sum(2.0::DOUBLE * source_size) FILTER (fill.level * weight > 2.0::DOUBLE * source_size), 0)) / sum(weight) FILTER (fill.level * weight <= 2.0::DOUBLE * source_size) FROM s)
+  FROM fill WHERE step < 100 AND level IS NOT NULL
+), level AS (SELECT max(level) AS level FROM fill)
+SELECT d.doc_id, d.size, s.source_size, CAST(floor(least(2.0::DOUBLE * s.source_size, (SELECT level FROM level) * s.weight) * 1000 + 0.5::DOUBLE) AS BIGINT) AS target_e3
+FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source
+"""
+}

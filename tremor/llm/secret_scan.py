@@ -271,4 +271,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(docs, words=learn_words(docs))
 
 
-QUERIES = {"op10_secret_scan": op10_secret_scan}
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of the scan: the numbers of base spans."""
+    return scan_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+QUERIES = {"op10_secret_scan": op10_secret_scan, "secret_counts": secret_counts}
+
+_WORDS = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+ORACLE_SQL = {
+    "secret_counts": rf"""
+SELECT doc_id,
+  CAST(coalesce(len(list_filter(regexp_extract_all(text, '({_WORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: len(x) >= 6)), 0) AS BIGINT) AS n_assign,
+  CAST(coalesce(len(regexp_extract_all(text, 'AKIA[A-Z0-9]{{16,}}')), 0) AS BIGINT) AS n_access,
+  CAST(coalesce(len(regexp_extract_all(text, '[0-9a-f]{{24,}}')), 0) AS BIGINT) AS n_hex
+FROM documents
+"""
+}
