@@ -27,6 +27,8 @@ STAGING = {
 }
 #: Rows of a small table to a file, where their number is known before it is staged.
 FILE_ROWS = 1 << 16
+#: Tasks of a writing stage to a core: several small partitions, each computed by itself, go to one file.
+WAVES = 4
 #: A sieve has 2**SIEVE words of 64 bits at most, whatever the number of keys.
 SIEVE = 19
 
@@ -62,6 +64,18 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df in at most WAVES tasks a core, so that small partitions don't become as many files.
+
+    A task computes its partitions one after the other, so none gets larger. Left alone where
+    the number of cores may grow.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        return df
+    return df.coalesce(WAVES * sc.defaultParallelism)
+
+
 def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df below the shared folder and read it back: a later loss of executors costs no recomputation.
 
@@ -70,8 +84,7 @@ def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tremor-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    df = few_files(df) if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
     with settings(spark, STAGING):
         df.write.parquet(path)
     found = spark.read.schema(schema).parquet(path)

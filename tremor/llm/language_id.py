@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, crc_mod, mix64, table, texts
+from .common import buffers, chunks, crc_mod, few_files, mix64, table, texts
 
 BUCKETS = 1 << 15
 DIMS = 16
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc_mod(F.col("doc_id"), 4) == 2
-    found = identify(docs, fit(docs.where(~held)))
+    found = few_files(identify(docs, fit(docs.where(~held))))
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 

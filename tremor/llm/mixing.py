@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table, words
+from .common import few_files, stage, table, words
 
 # Weights in turn, the share of all sizes and the most copies of a source.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -200,9 +200,8 @@ def mix_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = mix_items(stage(_sizes(table(spark, sf_dir, "documents")), "mix-sizes"))
-    return items.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select(
-        "doc_id", "size", "source_size", "target", (_copies(F.col("place")) * F.col("size")).alias("taken")
-    )
+    rows = items.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return few_files(rows.select("doc_id", "size", "source_size", "target", (_copies(F.col("place")) * F.col("size")).alias("taken")))
 
 
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, buffers, chunks, mix64, sieve, sift, stage, table, unstage, word_hashes
+from .common import batches, buffers, chunks, few_files, mix64, sieve, sift, stage, table, unstage, word_hashes
 from .graph import connected_components
 
 #: Growth of the bands, largest K with blocks of three parts, spare blocks, splits.
@@ -368,7 +368,7 @@ def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return few_files(found.select("doc_id", "n_shingles", "component_id"))
 
 
 QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}

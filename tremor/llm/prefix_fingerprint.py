@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, table, texts
+from .common import few_files, partitions, slices, table, texts
 
 # Fixed values of the fingerprint: two primes below 2**31, the bases and the grid's growth.
 PRIMES = (2147483629, 2147483587)
@@ -267,7 +267,7 @@ def _labels(spark: SparkSession, n: int, blocks: int) -> list[int]:
 
 
 def op6_prefix_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_with_next(table(spark, sf_dir, "documents"))
+    return few_files(compare_with_next(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op6_prefix_fingerprint": op6_prefix_fingerprint}

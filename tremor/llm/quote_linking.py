@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table, unstage
+from .common import few_files, stage, table, unstage
 
 # Fixed value: marks of quoting at the start of a line.
 MARKS = r"^(?:[ \t]*>)+"
@@ -168,7 +168,7 @@ def _reply_places(rows: DataFrame) -> DataFrame:
 
 
 def op7_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_conversations(table(spark, sf_dir, "conversations"))
+    return few_files(link_conversations(table(spark, sf_dir, "conversations")))
 
 
 QUERIES = {"op7_quote_linking": op7_quote_linking}

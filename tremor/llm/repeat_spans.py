@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, batches, buffers, chunks, mix64, slices, stage, table, unstage
+from .common import CHUNK_BYTES, batches, buffers, chunks, few_files, mix64, slices, stage, table, unstage
 
 # Fixed value of the query: bytes of a repeated string.
 WIDTH = 200
@@ -334,7 +334,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few:
     mixed = hits.where("mixed").groupBy("digit", "content").agg(F.count(F.lit(1)).alias("times"), *(F.first(c).alias(c) for c in ("k", "t", "start", "count")))
     mixed = stage(mixed, "repeat-contents")
     sizes = mixed.groupBy("digit").agg((F.count(F.lit(1)) > few).alias("many"))
-    many = stage(sizes.where("many"), "repeat-many")
+    many = stage(sizes.where("many"), "repeat-many", mixed.count() // few + 1)
     body = F.substring(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("count") + width - 1).cast("int"))
     picked = mixed.join(docs_text, ["k", "t"]).select("digit", "content", "times", "count", body.alias("body"))
     picked = stage(picked.dropDuplicates(["digit", "content"]), "repeat-bodies")
@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few: i
 
 
 def op1_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+    return few_files(remove_repeats(table(spark, sf_dir, "documents"), with_kept=False))
 
 
 QUERIES = {"op1_repeat_spans": op1_repeat_spans}

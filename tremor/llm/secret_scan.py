@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts
+from .common import few_files, slices, table, texts
 from .word_list import WORDS
 
 # The base patterns, their least lengths and the order of kinds.
@@ -268,7 +268,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", count: str = "n_chars",
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return scan_secrets(docs, words=learn_words(docs))
+    return few_files(scan_secrets(docs, words=learn_words(docs)))
 
 
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, words
+from .common import few_files, stage, table, words
 
 SIZES = (512, 1024, 2048, 4096)
 SHARD_ROWS = 20_000
@@ -117,7 +117,7 @@ def pack_documents(docs: DataFrame, sizes: tuple[int, ...] = SIZES, shard_rows:
 
 
 def op8_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return few_files(pack_documents(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op8_sequence_packing": op8_sequence_packing}

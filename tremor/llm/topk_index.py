@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stage, table, unstage
+from .common import few_files, partitions, stage, table, unstage
 
 #: Rows of an index block, which bound a task's memory, and queries that a copy of one answers.
 BLOCK_ROWS = 16384
@@ -257,7 +257,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, block_rows: int
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), quantise(F.col("embedding")).alias("v")).where("v is not null and id is not null")
-    return top_k(rows, rows.where(F.col("id") % EVERY == 0))
+    return few_files(top_k(rows, rows.where(F.col("id") % EVERY == 0)))
 
 
 ORACLE_SQL = {

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, stage, table, texts
+from .common import crc_mod, few_files, slices, stage, table, texts
 
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = range(4, 9)
@@ -283,7 +283,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
-    found = score_toxicity(docs, model)
+    found = few_files(score_toxicity(docs, model))
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
