@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tremor.functions import scalars as S
 from tremor.operators import agent, evaluate, impact, link, merge, resolve, select, traverse
 from tremor.plans import build
-from tremor.sources import code, logs, tables
+from tremor.sources import code, coverage, logs, tables
 from tremor.streaming import incremental
 
 TREE = {
@@ -278,3 +278,47 @@ def test_seed_files_keep_their_order(spark):
     got = [(r.pos, r.path) for r in select.seed_files(problems, files, imports).orderBy("pos").collect()]
     assert got == [(1, "pkg/b.py"), (2, "pkg/a.py"), (3, "lib/c.py"), (4, "lib/tests/test_c.py")]
     assert select.seed_files(problems, files, most=1).count() == 1
+
+
+def test_coverage_files(spark, tmp_path):
+    import sqlite3
+
+    db = sqlite3.connect(tmp_path / "coverage.data")
+    db.executescript("create table file (id integer, path text); create table context (id integer, context text); create table line_bits (file_id integer, context_id integer, numbits blob);")
+    db.executemany("insert into file values (?, ?)", [(1, "/repo/src/a.py"), (2, "/repo/tests/test_a.py"), (3, "/other/b.py")])
+    db.executemany("insert into context values (?, ?)", [(1, ""), (2, "tests/test_a.py::test_x|run")])
+    db.executemany("insert into line_bits values (?, ?, ?)", [(1, 2, bytes([0b1010, 1])), (1, 1, bytes([0b10])), (2, 2, bytes([255])), (3, 2, bytes([255]))])
+    db.commit()
+    db.close()
+    (tmp_path / "broken").write_text("no database")
+    found = coverage.read_coverage(spark, str(tmp_path), "/repo")
+    assert sorted((r.context or "", r.file_path, r.line) for r in found.collect()) == [("", "src/a.py", 1)] + [("tests/test_a.py::test_x|run", "src/a.py", k) for k in (1, 3, 8)]
+    ratios = link.coverage_by_test(found.where("context is not null"), found.select("file_path", "line").distinct())
+    assert [tuple(r) for r in ratios.collect()] == [("tests/test_a.py::test_x", "src/a.py", 1.0)]
+
+
+def test_graph_is_refreshed_when_stale(spark, tmp_path):
+    root, path = tmp_path / "dist" / "tree", str(tmp_path / "saved")
+    for name, text in TREE.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    states = []
+    for change in (None, None, "def positive(x):\n    return abs(x)\n\ndef negative(x):\n    return -abs(x)\n"):
+        if change:
+            (root / "src/checks.py").write_text(change)
+        (nodes, edges), state = build.open_graph(spark, str(root), path)
+        states.append((state, nodes["function"].where("name = 'negative'").count(), edges["tests"].where("src like '%test_positive%'").count() > 0))
+    assert states == [("missing", 0, True), ("fresh", 0, True), ("stale", 1, True)]
+
+
+def test_scans_of_both_engines_and_text_hashes(spark, tmp_path):
+    root = tmp_path / "dist" / "t"
+    for name in ("a.py", "env/b.py", "build/c.py", ".hidden/d.py", ".git/e.py", "__init__.py", "_in/_f.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x = 1\r\n" if name == "a.py" else b"x = 1\n")
+    paths = lambda **how: sorted(r.path for r in code.scan_tree(spark, str(root), **how).collect())
+    assert paths(hidden=False, skipped=code.SKIPPED_BY_NAME) == [".hidden/d.py", "__init__.py", "_in/_f.py", "a.py", "env/b.py"]
+    assert paths(skipped=code.SKIPPED_IF_HIDDEN) == ["__init__.py", "_in/_f.py", "a.py", "build/c.py"] and paths() == ["__init__.py", "_in/_f.py", "a.py"]
+    assert {r.text for r in code.scan_tree(spark, str(root)).where("path like '%\\_%'").collect()} == {"x = 1\n"}
+    by = {by_text: {r.path: r.content_hash for r in code.scan_tree(spark, str(root), skipped=(), by_text=by_text).collect()} for by_text in (True, False)}
+    assert by[True]["a.py"] == by[True]["build/c.py"] == by[False]["build/c.py"] != by[False]["a.py"]

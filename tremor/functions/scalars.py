@@ -120,6 +120,11 @@ def dedupe_key(test_id: Column, test_file: Column, test_name: Column) -> Column:
     return F.coalesce(by_id, F.when((F.length(file) > 0) & (F.length(name) > 0), F.concat(F.lit("nodeid:"), file, F.lit("::"), name)))
 
 
+def parse_hash(text: Column) -> Column:
+    """Hash of a decoded text, whose line ends count as one kind."""
+    return F.md5(F.regexp_replace(text, r"\r\n?", "\n"))
+
+
 def repo_slug(url: Column) -> Column:
     """owner/name from a remote address in either notation."""
     path = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(url), r"\.git/?$", ""), r"^[a-z+]+://[^/]+/", ""), r"^[^@/]+@[^:/]+:", "")

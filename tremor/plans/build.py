@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import normalise_paths
 from ..operators import impact, link, merge, resolve
-from ..sources import code, scratch
+from ..schema import METADATA
+from ..sources import code, scratch, tables
 
 Graph = tuple[dict[str, DataFrame], dict[str, DataFrame]]
 
@@ -95,3 +96,35 @@ def impacted_tests(graph: Graph, paths: list[str], root: str = "", strategy: str
         as_text = lambda df: df.withColumn("test_id", F.col("test_id").cast("string"))
         return impact.hybrid_top(impact.hybrid_merge(as_text(found), as_text(covered)))
     return impact.tiered_top(impact.impacted_tests(g, changed, strategy, changed_lines), most)
+
+
+def metadata(spark: SparkSession, root: str, files: DataFrame, commit: str | None = None) -> DataFrame:
+    """The one metadata row of a tree: its fingerprint is over all paths and hashes."""
+    digest = files.agg(F.sum(F.xxhash64("path", "content_hash").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n"))
+    print_ = F.sha1(F.concat_ws(":", F.coalesce(F.col("s").cast("string"), F.lit("")), F.col("n").cast("string")))
+    row = digest.select(F.lit("graph").alias("id"), F.lit(root).alias("last_indexed_repo"), F.lit("relative").alias("path_format"), F.lit(commit).alias("last_indexed_commit"), print_.alias("repo_fingerprint"), F.current_timestamp().alias("updated_at"))
+    return spark.createDataFrame([], METADATA).unionByName(row, allowMissingColumns=True)
+
+
+def open_graph(spark: SparkSession, root: str, path: str, commit: str | None = None) -> tuple[Graph, str]:
+    """The graph of a tree as it is now, saved below ``path``, and what was found there: missing, stale or fresh.
+
+    A fresh graph is read; a stale one is updated by what changed; a missing one is built. The
+    new version is written beside the old one and named by its fingerprint, so a failure
+    leaves the old one, and a second opening finds the new one fresh.
+    """
+    files = scratch.staged(code.scan_tree(spark, root), "files")
+    now = metadata(spark, root, files, commit)
+    fingerprint = now.first()["repo_fingerprint"]
+    old = tables.read_or_empty(spark, f"{path}/metadata", METADATA).orderBy(F.col("updated_at").desc()).limit(1)
+    found = impact.freshness(old, root, commit, fingerprint).first()
+    state = found["state"] if found else "missing"
+    if state == "fresh":
+        return tables.load_graph(spark, f"{path}/{fingerprint}"), state
+    if state == "missing" or found["reason"] == "repo_mismatch":
+        graph = build_graph(spark, root)
+    else:
+        graph = update_graph(tables.load_graph(spark, f"{path}/{old.first()['repo_fingerprint']}"), files, root)
+    tables.save_graph(f"{path}/{fingerprint}", *graph)
+    now.write.mode("append").parquet(f"{path}/metadata")
+    return tables.load_graph(spark, f"{path}/{fingerprint}"), state

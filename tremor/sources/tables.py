@@ -17,14 +17,14 @@ def save_graph(path: str, nodes: dict[str, DataFrame], edges: dict[str, DataFram
 
 def load_graph(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """Saved tables; an empty one with the table's schema where none was saved."""
+    return tuple({n: read_or_empty(spark, f"{path}/{kind}/{n}", s) for n, s in schemas.items()} for kind, schemas in (("nodes", NODES), ("edges", EDGES)))
 
-    def read(kind: str, name: str, schema: str) -> DataFrame:
-        try:
-            return spark.read.parquet(f"{path}/{kind}/{name}")
-        except AnalysisException:
-            return spark.createDataFrame([], schema)
 
-    return {n: read("nodes", n, s) for n, s in NODES.items()}, {n: read("edges", n, s) for n, s in EDGES.items()}
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
 
 
 def clear_graph(spark: SparkSession, path: str) -> None:
