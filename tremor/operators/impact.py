@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CONSENSUS, DEFAULT_CONFIDENCE, boosted_score, clamp, dedupe_key, impact_score, normalise_node_id, profile, pytest_node_id, tier, tier_rank
-from .traverse import best_path_tests, transitive_tests
+from .traverse import best_paths, transitive_tests
 
 # Order of the strategies and what they say.
 SOURCES = ("direct", "transitive", "coverage", "imports")
@@ -57,9 +57,13 @@ def transitive_candidates(calls: DataFrame, tests: DataFrame, symbols: DataFrame
     """(test_id, target_file, confidence) by a flat decay, or by best paths."""
     if flat:
         return transitive_tests(calls, tests, seeds).select("test_id", F.lit(None).cast("string").alias("target_file"), "confidence")
-    hits = best_path_tests(calls, tests, seeds)
     at = symbols.select(F.col("id").alias("seed"), F.col("file_path").alias("target_file"))
-    return hits.join(at, "seed").groupBy("test_id", "target_file").agg(F.max("confidence").alias("confidence"))
+    # one path per start and file goes on to the tests: the best one does not depend on the test
+    paths = best_paths(calls, seeds, with_path=False).join(at, "seed")
+    ratio = F.col("confidence") / F.col("depth")
+    best = paths.groupBy(F.col("start").alias("dst"), "target_file").agg(F.max(F.struct(ratio.alias("r"), "confidence", "depth")).alias("b"))
+    score = F.coalesce("link_confidence", F.lit(DEFAULT_CONFIDENCE)) * F.col("b.confidence") / F.col("b.depth")
+    return tests.join(best, "dst").groupBy(F.col("src").alias("test_id"), "target_file").agg(F.max(score).alias("confidence"))
 
 
 def score_candidates(candidates: dict[str, DataFrame], strategy: str = "balanced", line_counts: DataFrame | None = None, places: int | None = None) -> DataFrame:

@@ -32,21 +32,27 @@ def transitive_tests(calls: DataFrame, tests: DataFrame, seeds: DataFrame, depth
     return hits.groupBy(F.col("src").alias("test_id")).agg(F.min("depth").alias("depth"), F.max(F.col("link_confidence") * decay).alias("confidence"))
 
 
-def best_paths(calls: DataFrame, seeds: DataFrame, depth: int = 3, default: float = 0.7) -> DataFrame:
+def best_paths(calls: DataFrame, seeds: DataFrame, depth: int = 3, default: float = 0.7, with_path: bool = True) -> DataFrame:
     """(start, seed, depth, confidence, path): least depth, then greatest product, then greatest path.
 
+    Without the path the layers are plain hash aggregations.
+
     Layer by layer only the best row per (start, seed) goes on, so the work stays within
     nodes x seeds; a path of least depth never repeats an edge. A seed that reaches itself
     by a cycle is a hit.
     """
     step = calls.select(F.col("src").alias("caller"), F.col("dst").alias("start"), F.coalesce("resolution_confidence", F.lit(default)).alias("edge"))
-    layer = seeds.select(F.col("id").alias("start"), F.col("id").alias("seed"), F.lit(1.0).alias("confidence"), F.array("id").alias("path"))
+    step = step.groupBy("caller", "start").agg(F.max("edge").alias("edge"))
+    layer = seeds.select(F.col("id").alias("start"), F.col("id").alias("seed"), F.lit(1.0).alias("confidence"), *([F.array("id").alias("path")] if with_path else []))
     found = None
     for d in range(1, depth + 1):
-        grown = layer.join(step, "start").select(F.col("caller").alias("start"), "seed", (F.col("confidence") * F.col("edge")).alias("confidence"), F.concat(F.array("caller"), F.col("path")).alias("path"))
+        grown = layer.join(step, "start").select(F.col("caller").alias("start"), "seed", (F.col("confidence") * F.col("edge")).alias("confidence"), *([F.concat(F.array("caller"), F.col("path")).alias("path")] if with_path else []))
         if found is not None:
             grown = grown.join(found.select("start", "seed"), ["start", "seed"], "left_anti")
-        layer = grown.groupBy("start", "seed").agg(F.max(F.struct("confidence", "path")).alias("b")).select("start", "seed", "b.confidence", "b.path")
+        if with_path:
+            layer = grown.groupBy("start", "seed").agg(F.max(F.struct("confidence", "path")).alias("b")).select("start", "seed", "b.confidence", "b.path")
+        else:
+            layer = grown.groupBy("start", "seed").agg(F.max("confidence").alias("confidence"))
         whole = layer.withColumn("depth", F.lit(d))
         found = whole if found is None else found.union(whole)
     return found
