@@ -27,8 +27,8 @@ STAGING = {
 }
 #: Rows of a small table to a file, where their number is known before it is staged.
 FILE_ROWS = 1 << 16
-#: Tasks of a writing stage to a core: several small partitions, each computed by itself, go to one file.
-WAVES = 4
+#: Tasks of a writing stage: so many a core, and one for so many bytes of its input, are enough.
+WAVES, TASK_BYTES = 4, 1 << 23
 #: A sieve has 2**SIEVE words of 64 bits at most, whatever the number of keys.
 SIEVE = 19
 
@@ -65,15 +65,17 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """df in at most WAVES tasks a core, so that small partitions don't become as many files.
+    """df in no more tasks than its input's bytes and the cores ask for, so that partitions of next to nothing don't become as many files.
 
-    A task computes its partitions one after the other, so none gets larger. Left alone where
-    the number of cores may grow.
+    A task computes its partitions one after the other, so none gets larger, and tasks grow in
+    number with the input. Left alone where the number of cores may grow.
     """
     sc = df.sparkSession.sparkContext
     if sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
         return df
-    return df.coalesce(WAVES * sc.defaultParallelism)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.coalesce(min(1 << 30, max(WAVES * sc.defaultParallelism, -(-size // TASK_BYTES))))
 
 
 def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
