@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_files, slices, table, texts
+from .common import few_files, slices, stage, table, texts, unstage
 from .word_list import WORDS
 
 # The base patterns, their least lengths and the order of kinds.
@@ -37,9 +37,10 @@ ASSIGN_VALUE = 6
 KINDS = ("assign", "access", "hex", "guess")
 
 #: A credential word, a separator, and the value that is judged.
-CONTEXT = re.compile(
-    r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|login|pin)["']?\s{0,3}(?::|=>|=|\bis\b)\s{0,3}["']?([!-~]{8,})"""
-)
+CREDENTIAL = "(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|login|pin)"
+CONTEXT = re.compile(CREDENTIAL + r"""["']?\s{0,3}(?::|=>|=|\bis\b)\s{0,3}["']?([!-~]{8,})""")
+#: The same values for Spark's regular expressions, found from their separators, which are rare.
+VALUES = r"(?:[:=]|\bis\b)(?<=" + CREDENTIAL + r"""["']?\s{0,3}(?::|=|is))>?\s{0,3}["']?[!-~]{8,}"""
 #: Frequent parts of chosen passwords, most frequent first, before WORDS: a word's rank is its guess count.
 COMMON = (
     "password pass admin login welcome master secret qwerty letmein dragon monkey shadow sunshine princess football "
@@ -50,7 +51,7 @@ COMMON = (
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 #: Characters by which a repeated block is found.
 SEED = 4
-#: Words learned from a corpus: at most so many, of so many occurrences at least, of 3 to 20 letters.
+#: Words learned from a corpus: at most so many, of so many occurrences at least, of 3 to 20 letters; all of a count or none.
 VOCABULARY, LEAST_SEEN = 20_000, 5
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 MIN_LOG2 = 40.0
@@ -183,13 +184,23 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def learn_words(docs: DataFrame, text: str = "text", most: int = VOCABULARY) -> list[str]:
-    """The most frequent words of all texts, without what stands in credential contexts; ties by code point.
+    """The most frequent words of all texts, without the values in credential contexts; of one count by code point.
 
-    All words are counted, with partial sums; only the first ``most`` reach the driver.
+    All words are counted, with partial sums. The least count is the one from which there are
+    at most ``most`` words, so only these reach the driver.
     """
-    words = F.split(F.lower(F.regexp_replace(text, CONTEXT.pattern, " ")), r"[^\p{L}]+")
+    words = F.split(F.lower(F.regexp_replace(text, VALUES, " ")), r"[^\p{L}]+")
     counts = docs.select(F.explode(words).alias("word")).where(F.length("word").between(3, 20)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [r.word for r in counts.where(F.col("n") >= LEAST_SEEN).orderBy(F.col("n").desc(), "word").limit(most).collect()]
+    counts = stage(counts.where(F.col("n") >= LEAST_SEEN), "secret-words")
+    least = room = None
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("n").desc()).limit(most).collect():
+        room = (most if room is None else room) - r.words
+        if room < 0:
+            break
+        least = r.n
+    found = [] if least is None else counts.where(F.col("n") >= least).collect()
+    unstage(counts)
+    return [r.word for r in sorted(found, key=lambda r: (-r.n, r.word))]
 
 
 def _shared_ranks(docs: DataFrame, words: list[str] | None):
