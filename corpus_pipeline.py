@@ -3,6 +3,10 @@
 STAGES run in order; each takes (spark, docs, sf_dir), is written as Parquet below the
 shared folder and is read again as the documents of the next one. All but the last return
 the columns of documents.
+
+Every stage takes null and empty texts, null ids and other columns, repeated rows and empty
+tables; what it does with them is said below. Ties don't occur or are decided by hashes of
+ids and texts, so a rerun gives the same rows. Extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -15,28 +19,36 @@ from tremor.llm.common import crc_mod, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; it learns from four of five labels."""
+    """Documents that the toxicity model rejects go; it learns from four of five labels.
+
+    Null and empty texts have the base rate's score and stay, unless most labels are toxic.
+    Equal rows go or stay together. Without labels of both classes all stay.
+    """
     labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0)
     return toxicity.drop_toxic(docs, labels)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard 0.8 or more.
+
+    It is the one of the least id (then of the least text hash; null ids last). Texts without
+    words are linked with nothing and all stay.
+    """
     return ngram_jaccard.drop_near_copies(docs, n=5, num=80, den=100)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced by a mark and n_chars follows."""
+    """Every document stays; its secrets are replaced by a mark and n_chars follows. Null texts and counts stay null."""
     return secret_scan.redact_secrets(docs, words=secret_scan.learn_words(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 0, 1 or 2 times."""
+    """Each document as often as the mix takes it: 0, 1 or 2 times. Texts without words are taken 0 times, or as often as their source's whole part says; a null source is one, the last."""
     return mixing.mix_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document with its place in a sequence."""
+    """One row per piece of a document with its place in a sequence; texts without words have none."""
     return sequence_packing.pack_documents(docs)
 
 
