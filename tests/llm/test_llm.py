@@ -681,3 +681,65 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     (tmp_path / "cwd").mkdir()
     done = subprocess.run([sys.executable, "-c", WORKERS, root, str(tmp_path / "shared")], env=env, cwd=tmp_path / "cwd", capture_output=True, text=True, timeout=300)
     assert "rows [60, 60, 60" in done.stdout, done.stderr[-2000:]
+
+
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    """The first three stages by plain Python with the learned model; the last two by what they owe."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    rows = []
+    for i in range(260):
+        text = prose(rng, rng.randrange(8, 60)) + (" vileword nastyterm foulness vileword" if i % 4 == 0 else "") + (" secret: Zq7xT9xV2w" if i % 7 == 0 else "")
+        rows.append((i, text, "aa", rng.choice(["s1", "s2", "s3", None]), len(text)))
+    long = " ".join(prose(rng, 1) + str(k) for k in range(5000))
+    rows += [(300, None, None, None, None), (301, "", "aa", "s1", 0), (302, rows[1][1], "aa", "s2", 9), (302, rows[1][1], "aa", "s2", 9), (None, prose(rng, 30), "aa", "s1", 3), (303, long, "aa", "s2", len(long))]
+    rows += [(400 + i, rows[5][1].replace(" ", "  ", i), "bb", "s3", 1) for i in range(3)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = [(i, int(i % 4 == 0)) for i in range(260)] + [(None, 1), (1, None)]
+    for name, data, kind in (("documents", rows, kinds), ("labels", labels, "doc_id long, toxic int")):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    at = {}
+    now = docs
+    for name, step in corpus_pipeline.STAGES:
+        now = common.stage(step(spark, now, str(tmp_path)), name)
+        at[name] = now.collect()
+
+    lab = common.table(spark, str(tmp_path), "labels")
+    model = toxicity.fit(docs, lab.where(common.crc_mod(F.col("doc_id"), 5) != 0))
+    clean = [r for r in docs.collect() if model.probability(np.array([model.features(r.text)]))[0] < 0.5]
+    assert sorted(map(str, clean)) == sorted(map(str, at["drop_toxic"])) and 180 < len(clean) < 215
+    found = components(clean, 5, 80, 100)
+    want = {c for n, c in found if n and c is not None}
+    kept = [r for r in at["drop_near_copies"] if shingles(r.text, 5)]
+    assert {r.doc_id for r in kept if r.doc_id is not None} == want and len(kept) == len(want) + 1
+    assert sum(not shingles(r.text, 5) for r in at["drop_near_copies"]) == 2
+    words = secret_scan.ranks(secret_scan.learn_words(spark.createDataFrame(at["drop_near_copies"], kinds)))
+    for r in at["redact_secrets"]:
+        before = next(x for x in at["drop_near_copies"] if x.doc_id == r.doc_id)
+        spans, text = secret_scan.find_spans(before.text, rank_of=words), before.text
+        for s, e, _ in reversed([x for i, x in enumerate(spans) if not any(y[1] > x[0] for y in spans[:i])]):
+            text = text[:s] + "[SECRET]" + text[max(e, *(y[1] for y in spans if s <= y[0] < e)) :]
+        assert r.text == text and (r.text is None) == (before.text is None)
+    size = lambda t: len((t or "").split())
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in at["redact_secrets"]:
+        sizes[r.source] += size(r.text)
+    for r in at["mix_sources"]:
+        taken[r.source] += size(r.text)
+    assert all(abs(taken[s] - t) <= 8 for s, t in filled(sizes).items() if s != "s2")  # s2 has one very long text
+    times = defaultdict(int)
+    for r in at["mix_sources"]:
+        times[r.doc_id] += 1
+    assert max(times.values()) <= 2
+    pieces = at["pack_sequences"]
+    assert sum(p.length for p in pieces) == sum(taken.values()) and all(p.bin_used <= p.bin_size for p in pieces)
+    again = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, pieces))
+
+    (tmp_path / "none").mkdir()
+    for name, kind in (("documents", kinds), ("labels", "doc_id long, toxic int")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
