@@ -14,7 +14,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = LOCAL
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
