@@ -743,3 +743,27 @@ def test_pipeline_from_end_to_end(spark, tmp_path):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
+
+def test_every_row_comes_out_once(spark, docs):
+    """Repeated rows, null ids and texts, and columns with the names that the operators use inside."""
+    named = docs.withColumns({c: F.lit("x") for c in ("score", "predicted", "rows", "copies", "place", "tail", "u", "h1", "node", "size", "p", "part", "label", "piece", "spread", "n", "word")})
+    ids = sorted((r.doc_id if r.doc_id is not None else -1) for r in docs.collect())
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = language_id.train(["abc def"] * 10 + ["xyz uvw"] * 10, ["aa"] * 10 + ["bb"] * 10)
+    found = {
+        "repeats": repeat_spans.remove_repeats(named, with_kept=False),
+        "jaccard": ngram_jaccard.jaccard_components(named),
+        "language": language_id.identify(named, model),
+        "toxicity": toxicity.score_toxicity(named, toxicity.fit(named, labels)),
+        "fingerprint": prefix_fingerprint.compare_with_next(named),
+        "secrets": secret_scan.scan_secrets(named, words=secret_scan.learn_words(named)),
+    }
+    for name, df in found.items():
+        rows = df.collect()
+        assert sorted((r.doc_id if r.doc_id is not None else -1) for r in rows) == ids, name
+        if name in ("language", "toxicity", "secrets"):  # equal rows have equal results
+            assert len({tuple(r) for r in rows if r.doc_id == 0}) == 1, name
+    assert sum(r.rows for r in mixing.mix_items(mixing._sizes(named)).collect()) == len(ids)
+    assert mixing.mix_documents(named).columns == named.columns and ngram_jaccard.drop_near_copies(named).columns == named.columns
+    assert toxicity.drop_toxic(named, labels).columns == named.columns and secret_scan.redact_secrets(named).count() == len(ids)
+
