@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.llm import mixing, ngram_jaccard, secret_scan, sequence_packing, toxicity
-from tremor.llm.common import crc_mod, stage, table
+from tremor.llm.common import crc_mod, stage, table, unstage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +66,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    done = None
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)
+        if done is not None:  # nothing reads the stage before any more
+            unstage(done)
+        done = docs
     return docs
