@@ -81,7 +81,8 @@ def few_files(df: DataFrame) -> DataFrame:
 def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df below the shared folder and read it back: a later loss of executors costs no recomputation.
 
-    ``rows`` is about the most rows that df can have; few rows go to few files.
+    ``rows`` is about the most rows that df can have, where computing them is light: its last
+    step then runs in as few tasks as there are files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tremor-{name}-{uuid.uuid4().hex}"

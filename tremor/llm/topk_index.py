@@ -243,13 +243,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, block_rows: int
 
     keyed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("k"), "id", "v")
     index = keyed.repartition(min(n_blocks, 4096), "k").sortWithinPartitions("k").mapInArrow(_pack, "k long, ids binary, bits array<int>, least array<long>, data binary")
-    index = stage(index, "topk-index", 1 + n_blocks * block_rows)
+    index = stage(index, "topk-index")
     none = F.lit(None)
     blocks = index.select("k", upto(copies).alias("copy"), none.cast("long").alias("q"), none.cast("long").alias("id"), none.cast("array<long>").alias("v"), "ids", "bits", "least", "data")
     sent = asked.select(upto(n_blocks).alias("k"), F.pmod(F.xxhash64("q"), F.lit(copies)).alias("copy"), "q", "id", "v", *(none.cast(t).alias(c) for c, t in (("ids", "binary"), ("bits", "array<int>"), ("least", "array<long>"), ("data", "binary"))))
     dealt = blocks.unionByName(sent).repartition(min(n_blocks * copies, 1 << 16), "k", "copy").sortWithinPartitions("k", "copy", F.col("q").asc_nulls_first())
     found = dealt.select("q", "id", "v", "ids", "bits", "least", "data").mapInArrow(_search(k), "q long, query_id long, vec_id long, score long")
-    found = stage(found, "topk-found", n_queries * n_blocks * k)
+    found = stage(found, "topk-found")
     unstage(vectors, asked, index)
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
