@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +16,17 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: White space of any kind beyond ASCII's six: such texts are split with WORD, all others by str.split.
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_WORD, _SPACE = re.compile(WORD), re.compile(r"[\x20\x09-\x0D]")
 #: The shared folder of a session in local mode that names none; a cluster must name its own.
 LOCAL_SHARED = "/tmp/checkpoints"
 #: Text bytes that a numpy kernel takes at once; one longer text is taken alone.
 CHUNK_BYTES = 1 << 18
 #: Texts that a Python kernel takes out of a record batch at once.
 CHUNK_ROWS = 512
+#: Code points of a very long text that are split into words at once.
+PIECE = 1 << 20
 #: While a table is staged: bytes of a record batch that goes to a Python worker, and shuffle
 #: files go once the table is written, as nothing reads them again.
 STAGING = {
@@ -172,6 +180,35 @@ def texts(col: pa.Array) -> list[str | None]:
         return [None if b is None else b.decode("utf-8", "replace") for b in col.cast(pa.binary()).to_pylist()]
 
 
+def once(name: str, make: Callable[[], object]) -> object:
+    """What a worker process makes once for all of its tasks.
+
+    Functions come by value with the globals they use, made anew for each task; this store is a
+    module of the process, so it stays.
+    """
+    store = sys.modules.setdefault("_made_once", ModuleType("_made_once")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
+def pieces(text: str, most: int = PIECE) -> Iterator[str]:
+    """A text in pieces of about ``most`` code points; only ASCII white space parts them, so no word is cut."""
+    i = 0
+    while len(text) - i > most:
+        cut = _SPACE.search(text, i + most)
+        if cut is None:
+            break
+        yield text[i : cut.start()]
+        i = cut.start()
+    yield text[i:] if i else text
+
+
+def split_words(text: str) -> list[str]:
+    """The words of a text in order."""
+    return _WORD.findall(text) if ODD_SPACE.search(text) else text.split()
+
+
 def batches(tables: Iterable[dict[str, np.ndarray | pa.Array]]) -> Iterator[pa.RecordBatch]:
     """Record batches from dicts of equally long arrays; empty ones are left out."""
     for t in tables:

@@ -8,6 +8,8 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
+    "bpe_codec",
+    "filter_audit",
     "language_id",
     "mixing",
     "ngram_jaccard",
@@ -16,6 +18,7 @@ MODULES = (
     "repeat_spans",
     "secret_scan",
     "sequence_packing",
+    "tokenizer_alignment",
     "topk_index",
     "toxicity",
 )
