@@ -73,6 +73,21 @@ def test_repeats_match_brute_force(docs, width, few):
     assert sorted((r[0] or -1, *r[1:]) for r in got) == want
 
 
+@pytest.mark.parametrize("few", [256, 1])
+def test_alternating_strings_are_told_apart(spark, few):
+    """Strings on which sums modulo powers of two agree: a 0-1 sequence by bit counts, and its complement."""
+    rng = random.Random(9)
+    a = "".join("ht"[bin(i).count("1") & 1] for i in range(128))
+    b = a.translate(str.maketrans("ht", "th"))
+    p, q = ("".join(rng.choice("0123456789") for _ in range(60)) for _ in range(2))
+    texts = []
+    for _ in range(20):
+        x = "".join(rng.choice(WORDS[0] + "xyzuvwqg") for _ in range(64))
+        texts += [p + a + x + b + q, p + b + x + a + q]
+    got = repeat_spans.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), few=few).drop("kept").orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == removed(texts, 200) and sum(r.n_removed for r in got) == 0
+
+
 def test_repeats_of_very_long_texts(spark, monkeypatch):
     monkeypatch.setattr(repeat_spans, "CHUNK_BYTES", 700)
     rng = random.Random(3)

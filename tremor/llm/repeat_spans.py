@@ -16,8 +16,9 @@ only suffixes in groups that are still shared go on:
    FEW contents is sorted inside a task; a more frequent one is sorted across tasks, in
    blocks of neighbouring suffixes that get finer where they stay undecided.
 
-Digits are compared by 64-bit hashes that add up along the passes. The bytes to remove are
-those of the repeated suffixes' windows; matches never cross documents.
+Contents, cores and wholes are compared by BLAKE2b digests of 64 bits within one digit, the
+suffixes of a task by their bytes. The bytes to remove are those of the repeated suffixes'
+windows; matches never cross documents.
 
 Null is the empty text; texts below WIDTH bytes keep all bytes. Repeated rows are separate
 documents, so their texts are removed in full if long enough; they share an internal key
@@ -54,8 +55,9 @@ PLACE_BITS = np.uint64(int(2 * CHUNK_BYTES).bit_length())
 class Rolling:
     """Hashes of any span of a byte buffer from prefix sums of a random polynomial modulo 2**64.
 
-    The base is odd, hence invertible, so a span's sum can be shifted to a common origin. This
-    modulus is weak from about 1,000 symbols on; spans here have less than 2 * WIDTH bytes.
+    The base is odd, hence invertible, so a span's sum can be shifted to a common origin. There
+    are fixed pairs of different strings with equal sums under this modulus, so these hashes
+    only sort suffixes into groups that are split further: by ``digests`` or by their bytes.
     """
 
     def __init__(self, seed: int):
@@ -79,6 +81,14 @@ class Rolling:
     def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix64((prefix[ends] - prefix[starts]) * self.down[starts])
 
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """BLAKE2b digests of spans of a byte buffer as 64-bit integers; they tell contents of one digit apart."""
+    view, size = memoryview(np.ascontiguousarray(data)), {"digest_size": 8}
+    found = b"".join([hashlib.blake2b(view[a:b], **size).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(found, np.int64)
+
+
 def _windows(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, roll: Rolling) -> dict[str, np.ndarray]:
     """Runs of suffixes with one digit: owner row, first start, number, digit and content."""
     starts_ok = np.repeat(offsets[1:] - width, np.maximum(np.diff(offsets), 0))
@@ -104,8 +114,8 @@ def _windows(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, roll:
     first = good[new]
     count = np.diff(np.concatenate([np.flatnonzero(new), [len(good)]]))
     row = np.searchsorted(offsets, first, side="right") - 1
-    content = roll.spans(prefix, first, first + count + width - 1) + count.astype(np.uint64)
-    return {"row": row, "start": first - offsets[row], "count": count, "digit": grams[anchor[new]].view(np.int64), "content": content.view(np.int64)}
+    content = digests(data, first, first + count + width - 1)
+    return {"row": row, "start": first - offsets[row], "count": count, "digit": grams[anchor[new]].view(np.int64), "content": content}
 
 
 def _runs(width: int, gram: int):
@@ -224,7 +234,7 @@ def _cut_blocks(width: int, gram: int, step: int):
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, finer = Rolling(1), Rolling(3)
+        roll = Rolling(1)
         for part in parts:
             digit, content = (part.column(i).to_numpy() for i in range(2))
             data, offsets = buffers(part.column(2))
@@ -246,15 +256,14 @@ def _cut_blocks(width: int, gram: int, step: int):
             end = np.minimum(high[of], (block + 1) * step - shift[r])
             core_from = np.minimum((block + 1) * step - 1, width - gram) - shift[r]
             core_to = block * step - shift[r] + width
-            prefix = finer.prefix(data)
             yield from batches(
                 [
                     {
                         "digit": digit[r],
                         "content": content[r],
                         "block": block.astype(np.int32),
-                        "core": finer.spans(prefix, offsets[r] + core_from, offsets[r] + core_to).view(np.int64),
-                        "whole": finer.spans(prefix, offsets[r] + begin, offsets[r] + end - 1 + width).view(np.int64),
+                        "core": digests(data, offsets[r] + core_from, offsets[r] + core_to),
+                        "whole": digests(data, offsets[r] + begin, offsets[r] + end - 1 + width),
                         "place": (begin + shift[r]).astype(np.int32),
                         "low": begin.astype(np.int32),
                         "high": end.astype(np.int32),
