@@ -6,69 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalise_paths
-from ..operators import impact, link, merge, resolve
+from ..operators import impact, merge
 from ..schema import METADATA
-from ..sources import code, scratch, tables
+from ..sources import code, scratch, store
+from . import delta
 
 Graph = tuple[dict[str, DataFrame], dict[str, DataFrame]]
 
 
-def references(nodes: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Calls and bases by text, with where they stand."""
-    calls = nodes["function"].select(F.col("id").alias("caller"), F.posexplode("calls").alias("seq", "called"), F.col("module_name").alias("caller_module"), F.col("class_name").alias("caller_class"))
-    bases = nodes["class"].select(F.col("id").alias("child"), F.posexplode("bases").alias("seq", "base"), F.col("module_name").alias("child_module"))
-    return calls, bases
-
-
-def resolve_edges(nodes: dict[str, DataFrame], imports: DataFrame) -> dict[str, DataFrame]:
-    calls, bases = references(nodes)
-    return {"calls": resolve.resolve_calls_ranked(calls, nodes["function"]), "imports": resolve.resolve_imports_by_suffix(imports, nodes["file"]), "inherits": resolve.resolve_bases_ranked(bases, nodes["class"])}
-
-
-def link_tests(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> DataFrame:
-    """All linkers, the greatest confidence per pair."""
-    named = link.link_by_name(nodes["test"], nodes["function"], nodes["class"])
-    own = nodes["function"].select(F.concat(F.lit("test::"), "id").alias("test"), F.explode("calls").alias("called"))
-    static = link.link_by_imports(nodes["test"], edges["imports"], nodes["function"], own).withColumn("dst_label", F.lit("Function"))
-    called = link.link_by_calls(nodes["test"], nodes["function"], edges["calls"]).withColumn("dst_label", F.lit("Function"))
-    cols = ["src", "dst", "dst_label", "link_source", "link_confidence"]
-    rows = named.select(cols).union(static.select(cols)).union(called.select(cols))
-    best = rows.groupBy("src", "dst").agg(F.max_by(F.struct("dst_label", "link_source", "link_confidence"), F.struct("link_confidence", "link_source")).alias("b"))
-    return best.select("src", "dst", "b.*").withColumn("coverage", F.lit(None).cast("double"))
-
-
 def build_graph(spark: SparkSession, root: str) -> Graph:
     """Scan, parse, resolve and link a source tree. The parse result is staged, since several tables come from it."""
     files = code.scan_tree(spark, root)
     parsed = scratch.staged(code.parse_files(files), "parsed")
     nodes, edges = code.graph_tables(files, parsed, root)
-    imports = parsed.select("path", F.explode("imports").alias("module"))
-    edges |= resolve_edges(nodes, imports)
-    edges["tests"] = link_tests(nodes, edges)
+    edges |= delta.resolve_edges(nodes)
+    edges["tests"] = delta.link_tests(nodes, edges)
     edges["depends_on"] = spark.createDataFrame([], "src string, dst string, coverage_pct double, link_source string, link_confidence double")
     return nodes, edges
 
 
 def update_graph(graph: Graph, files: DataFrame, root: str = "") -> Graph:
-    """The graph after a new scan: only new and changed files are parsed, deleted ones go, edges are resolved against all nodes.
+    """The graph after a new scan: only new and changed files are parsed, deleted ones go, and edges are renewed by ``delta``.
 
-    Imports of unchanged files are taken from the edges that are there.
+    The result is that of a full build, but for coverage edges, which no scan gives.
     """
     nodes, edges = graph
     diff = merge.snapshot_diff(nodes["file"], files.select("path", "content_hash"))
-    diff = scratch.staged(diff, "diff")
+    diff = scratch.staged(diff.where("status <> 'unchanged'"), "diff")
     stale = diff.where("status in ('changed', 'deleted')").select("path")
     fresh = files.join(diff.where("status in ('changed', 'new')").select("path"), "path", "left_semi")
-    kept_nodes, kept_edges = merge.delete_files(nodes, {k: edges[k] for k in ("contains", "imports", "depends_on") if k in edges}, stale)
+    kept_nodes, kept_edges = merge.delete_files(nodes, {k: edges[k] for k in ("contains", "depends_on") if k in edges}, stale)
     parsed = scratch.staged(code.parse_files(fresh), "parsed")
     new_nodes, new_edges = code.graph_tables(fresh, parsed, root)
     all_nodes = {k: kept_nodes[k].unionByName(new_nodes[k], allowMissingColumns=True) for k in nodes}
-    out = resolve_edges(all_nodes, parsed.select("path", F.explode("imports").alias("module")))
-    # edges into changed files went with them; those of unchanged importers still hold
-    old = edges["imports"].join(fresh.select(F.col("path").alias("src")), "src", "left_anti").join(all_nodes["file"].select(F.col("path").alias("dst")), "dst", "left_semi").join(all_nodes["file"].select(F.col("path").alias("src")), "src", "left_semi")
-    out["imports"] = out["imports"].unionByName(old.select("src", "dst")).distinct()
+    out = delta.renew_edges(delta.Change(nodes, all_nodes, diff), edges)
     out["contains"] = kept_edges["contains"].unionByName(new_edges["contains"])
-    out["tests"] = link_tests(all_nodes, out)
     out["depends_on"] = kept_edges.get("depends_on", edges["depends_on"])
     return all_nodes, out
 
@@ -106,25 +78,45 @@ def metadata(spark: SparkSession, root: str, files: DataFrame, commit: str | Non
     return spark.createDataFrame([], METADATA).unionByName(row, allowMissingColumns=True)
 
 
-def open_graph(spark: SparkSession, root: str, path: str, commit: str | None = None) -> tuple[Graph, str]:
-    """The graph of a tree as it is now, saved below ``path``, and what was found there: missing, stale or fresh.
+def open_graph(spark: SparkSession, root: str, path: str, commit: str | None = None, tries: int = 5) -> tuple[Graph, str]:
+    """The graph of a tree as it is now, kept in the store at ``path``, and what was found there: missing, stale or fresh.
 
-    A fresh graph is read; a stale one is updated by what changed; a missing one is built. The
-    new version is written beside the old one and named by its fingerprint, so a failure
-    leaves the old one, and a second opening finds the new one fresh.
+    A fresh graph is read. Where only the commit is another, the metadata alone are renewed;
+    where files differ, the graph is updated by what changed; a missing one, or another tree's,
+    is built. A new version is in place at once or not at all, and the one before it stays, so a
+    failure at any point leaves a graph that can be read. If another opener was faster, this one
+    looks again at what is there, ``tries`` times in all.
     """
+    kept = store.GraphStore(spark, path)
     files = scratch.staged(code.scan_tree(spark, root), "files")
-    now = metadata(spark, root, files, commit)
-    fingerprint = now.first()["repo_fingerprint"]
-    old = tables.read_or_empty(spark, f"{path}/metadata", METADATA).orderBy(F.col("updated_at").desc()).limit(1)
-    found = impact.freshness(old, root, commit, fingerprint).first()
-    state = found["state"] if found else "missing"
-    if state == "fresh":
-        return tables.load_graph(spark, f"{path}/{fingerprint}"), state
-    if state == "missing" or found["reason"] == "repo_mismatch":
-        graph = build_graph(spark, root)
-    else:
-        graph = update_graph(tables.load_graph(spark, f"{path}/{old.first()['repo_fingerprint']}"), files, root)
-    tables.save_graph(f"{path}/{fingerprint}", *graph)
-    now.write.mode("append").parquet(f"{path}/metadata")
-    return tables.load_graph(spark, f"{path}/{fingerprint}"), state
+    now = metadata(spark, root, files, commit).first().asDict()
+    now["updated_at"] = now["updated_at"].isoformat()
+    first = None
+    for last in range(tries - 1, -1, -1):
+        base = kept.manifest()
+        old = (base or {}).get("metadata", {})
+        seen = spark.createDataFrame([("graph", old.get("last_indexed_repo"), old.get("last_indexed_commit"), old.get("repo_fingerprint"))], "id string, last_indexed_repo string, last_indexed_commit string, repo_fingerprint string")
+        found = impact.freshness(seen, root, commit, now["repo_fingerprint"]).first()
+        first = first or found["state"]
+        if found["state"] == "fresh":
+            return kept.load(base["version"]), first
+        try:
+            if old.get("last_indexed_repo") == root and old.get("repo_fingerprint") == now["repo_fingerprint"]:
+                made = kept.set_metadata(now, base)
+            elif found["state"] == "missing" or found["reason"] == "repo_mismatch":
+                made = kept.save(*build_graph(spark, root), now, base)
+            else:
+                made = kept.save(*update_graph(kept.load(base["version"]), files, root), now, base)
+            return kept.load(made["version"]), first
+        except store.Conflict:
+            if not last:
+                raise
+    raise ValueError("tries must be 1 or more")
+
+
+def graph_statistics(spark: SparkSession, path: str, most_age: float | None = None) -> DataFrame:
+    """Row counts of a kept graph beside its metadata; they are read from the newest version, or counted again beyond ``most_age`` seconds."""
+    kept = store.GraphStore(spark, path)
+    old = (kept.manifest() or {}).get("metadata", {})
+    counts = kept.statistics(most_age)
+    return counts.select("*", *(F.lit(old.get(c)).cast("string").alias(c) for c in ("last_indexed_repo", "last_indexed_commit", "repo_fingerprint", "updated_at")))

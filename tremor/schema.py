@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-FILE = "path string not null, name string, content_hash string, repo_path string, last_modified timestamp, updated_at timestamp"
+FILE = "path string not null, name string, content_hash string, repo_path string, last_modified timestamp, updated_at timestamp, imports array<string>"
 FUNCTION = (
     "id string not null, name string, file_path string, start_line int, end_line int, signature string, docstring string, "
     "qualified_name string, module_name string, symbol_key string, class_name string, calls array<string>"

@@ -164,7 +164,7 @@ def is_test_function(path: Column, name: Column, class_name: Column) -> Column:
 
 def graph_tables(files: DataFrame, parsed: DataFrame, repo: str = "") -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """Node tables and containment from scanned and parsed files; test functions, methods too, are both functions and tests."""
-    file = files.select("path", base_name(F.col("path")).alias("name"), "content_hash", F.lit(repo).alias("repo_path"), "last_modified")
+    file = files.select("path", base_name(F.col("path")).alias("name"), "content_hash", F.lit(repo).alias("repo_path"), "last_modified").join(parsed.select("path", "imports"), "path", "left")
     f = parsed.select("path", F.explode("functions").alias("f")).select(F.col("path").alias("file_path"), "f.*")
     shown = F.concat_ws(".", "class_name", "name")
     module = module_name(F.col("file_path"))
