@@ -9,7 +9,7 @@ from ..functions.scalars import is_test_path, jaccard
 
 # Thresholds of a useful selection, limits of a patch, placeholder marks.
 LEAST_SELECTED, LEAST_RUNNABLE, LEAST_PRECISION, SURE = 3, 0.35, 0.45, 0.8
-MOST_FILES, DELETION_FLOOR, DELETION_RATIO, MOST_REPEATS = 3, 50, 5, 4
+MOST_FILES, DELETION_FLOOR, DELETION_RATIO, MOST_REPEATS, MOST_SHOWN = 3, 50, 5, 4, 3
 PLACEHOLDERS = ("TODO", "FIXME", "Placeholder", "NotImplementedError")
 UNRELIABLE = 0.35
 
@@ -113,13 +113,20 @@ def progress_gate(attempts: DataFrame, group: str, order: list[str], limit: int
 
 
 def patch_metrics(patches: DataFrame, diff: str = "diff", most_lines: int = 200) -> DataFrame:
-    """Counts and gates of a unified diff, with its severity and reasons."""
+    """Counts and gates of a unified diff, with its severity, the reasons of a failure and those of a warning."""
     lines = F.split(F.coalesce(diff, F.lit("")), "\n")
     df = patches.withColumn("_lines", lines)
     df = df.withColumn("_added", F.transform(F.filter("_lines", lambda x: F.rlike(x, F.lit(r"^\+(?!\+\+\s)"))), lambda x: F.substr(x, F.lit(2))))
     df = df.withColumn("_removed", F.transform(F.filter("_lines", lambda x: F.rlike(x, F.lit(r"^-(?!--\s)"))), lambda x: F.substr(x, F.lit(2))))
     trimmed = F.filter(F.transform("_added", lambda x: F.trim(x)), lambda x: x != "")
-    repeats = F.array_max(F.transform(F.array_distinct("_t"), lambda x: F.size(F.filter("_t", lambda y: y == x))))
+    # equal lines are neighbours once sorted, so one scan counts them
+    start = F.struct(F.lit(None).cast("string").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def count(acc: Column, x: Column) -> Column:
+        run = F.when(acc["line"] == x, acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("line"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    repeats = F.aggregate(F.array_sort("_t"), start, count, lambda acc: acc["most"])
     define = r"^([+-])def\s+([A-Za-z_]\w*)\s*\((.*)\)\s*:"
 
     def defs(sign: str) -> Column:
@@ -135,7 +142,8 @@ def patch_metrics(patches: DataFrame, diff: str = "diff", most_lines: int = 200)
             "files_changed": F.size(F.filter("_lines", lambda x: x.startswith("diff --git "))),
             "added_lines": F.size("_added"),
             "removed_lines": F.size("_removed"),
-            "duplicate_line_max": F.coalesce(repeats, F.lit(0)),
+            "duplicate_line_max": repeats,
+            "removed_functions": removed_functions(F.coalesce(diff, F.lit(""))),
             "signature_change": changed | one_sided,
             "placeholder": F.exists("_added", lambda x: F.rlike(x, F.lit("|".join(PLACEHOLDERS)))),
             "comment_only": ~(code("_added") | code("_removed")),
@@ -146,26 +154,39 @@ def patch_metrics(patches: DataFrame, diff: str = "diff", most_lines: int = 200)
         F.when(~F.rlike(F.coalesce(diff, F.lit("")), F.lit(r"\S")), "empty_diff"),
         F.when(F.col("files_changed") > MOST_FILES, F.concat(F.lit("too_many_files:"), F.col("files_changed").cast("string"))),
         F.when((total > most_lines) & F.lit(most_lines > 0), F.concat(F.lit("too_many_changed_lines:"), total.cast("string"), F.lit(f"_limit_{most_lines}"))),
-        F.when((F.col("removed_lines") > DELETION_FLOOR) & (F.col("added_lines") > 0) & (F.col("removed_lines") > DELETION_RATIO * F.col("added_lines")), "catastrophic_deletion"),
+        F.when((F.col("removed_lines") > DELETION_FLOOR) & (F.col("added_lines") > 0) & (F.col("removed_lines") > DELETION_RATIO * F.col("added_lines")), F.concat(F.lit("catastrophic_deletion:"), F.col("removed_lines").cast("string"), F.lit("_removed_vs_"), F.col("added_lines").cast("string"), F.lit("_added"))),
         F.when((total > 0) & F.col("comment_only"), "comment_only_diff"),
         F.when(F.col("duplicate_line_max") >= MOST_REPEATS, F.concat(F.lit("repetitive_code:max_repeat="), F.col("duplicate_line_max").cast("string"))),
         F.when(F.col("placeholder"), "placeholder_code"),
+        F.when(F.size("removed_functions") > 0, F.concat(F.lit("removed_function_without_replacement:"), F.array_join(F.slice("removed_functions", 1, MOST_SHOWN), "|"))),
     )
     df = df.withColumn("fail_reasons", F.array_join(F.filter(fails, lambda x: x.isNotNull()), ","))
+    df = df.withColumn("warn_reasons", F.when(F.col("signature_change"), "potential_signature_change").otherwise(""))
     severity = F.when(F.col("fail_reasons") != "", "fail").when(F.col("signature_change"), "warn").otherwise("info")
     return df.withColumn("severity", severity).withColumn("valid", F.col("severity") != "fail").drop("_lines", "_added", "_removed", "_t", "_dd", "_ad")
 
 
-def removed_functions(files: DataFrame) -> DataFrame:
-    """(path, name): functions that a file's diff section removes without adding them; tests and other files left out. files: (path, section)."""
-    lines = F.split("section", "\n")
+def removed_functions(diff: Column) -> Column:
+    """``path:name`` of each function, at any indent, that a file's section removes and doesn't add again; only of Python files that are no tests."""
+    # a section runs from its header to the next; text before the first belongs to no file
+    sections = F.slice(F.split(F.concat(F.lit("\n"), diff), r"\ndiff --git "), 2, 1 << 30)
+
+    def names(section: Column, sign: str) -> Column:
+        return F.regexp_extract_all(section, F.lit(rf"(?m)^\{sign}\s*def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))
+
+    def removed(section: Column) -> Column:
+        path = F.trim(F.regexp_extract(section, r"^a/(.*?) b/", 1))
+        added = names(section, "+")
+        gone = F.filter(names(section, "-"), lambda n: ~F.array_contains(added, n))
+        return F.when(path.endswith(".py") & ~is_test_like(path), F.transform(gone, lambda n: F.concat(path, F.lit(":"), n))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(sections, removed))
 
-    def names(sign: str) -> Column:
-        pattern = rf"^\{sign}\s*def\s+([A-Za-z_]\w*)\s*\("
-        return F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(pattern))), lambda x: F.regexp_extract(x, pattern, 1))
 
-    py = F.col("path").endswith(".py") & ~is_test_path(F.col("path"))
-    return files.where(py).select("path", F.explode(F.array_except(names("-"), names("+"))).alias("name"))
+def is_test_like(path: Column) -> Column:
+    """A test by its lower-case path: below tests, testing or a nested test folder, or named test_x or x_test."""
+    p = F.lower(F.trim(path))
+    return F.rlike(p, F.lit(r"(^|/)(tests|testing)(/|$)|/test/|(^|/)test_[^/]*$|_test\.py$"))
 
 
 def precision_floor(selected: DataFrame, group: str) -> DataFrame:

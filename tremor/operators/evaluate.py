@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import error_category, file_stamp, floor_percent, is_blank
+from .select import median_of
 
 COMPLETED = "completed"
 
@@ -52,9 +53,11 @@ def regression_summary(instances: DataFrame) -> DataFrame:
 
 
 def generation_stats(predictions: DataFrame) -> DataFrame:
-    """Rows, generated patches and lengths (mean, median, greatest; whole numbers) of (prediction)."""
-    size = F.when(~is_blank(F.col("prediction")), F.length("prediction"))
-    return predictions.agg(F.count(F.lit(1)).alias("total"), F.count(size).alias("generated"), F.floor(F.avg(size)).alias("mean_length"), F.floor(F.median(size)).alias("median_length"), F.max(size).cast("long").alias("max_length"))
+    """Rows, generated patches and lengths (mean, median, greatest; whole numbers) of (prediction); the median by distributed selection."""
+    lengths = predictions.select(F.when(~is_blank(F.col("prediction")), F.length("prediction")).alias("size"))
+    middle = median_of(lengths, "size")
+    size = F.col("size")
+    return lengths.agg(F.count(F.lit(1)).alias("total"), F.count(size).alias("generated"), F.floor(F.avg(size)).alias("mean_length"), F.lit(None if middle is None else int(middle)).cast("long").alias("median_length"), F.max(size).cast("long").alias("max_length"))
 
 
 def error_counts(predictions: DataFrame, error: str = "error") -> DataFrame:

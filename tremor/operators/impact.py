@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CONSENSUS, DEFAULT_CONFIDENCE, boosted_score, clamp, dedupe_key, impact_score, normalise_node_id, profile, pytest_node_id, tier, tier_rank
+from .intervals import points_in_intervals
+from .select import cap_per_group
 from .traverse import best_paths, transitive_tests
 
 # Order of the strategies and what they say.
@@ -23,12 +25,13 @@ REASONS = {
 def changed_symbols(symbols: DataFrame, changed_lines: DataFrame) -> DataFrame:
     """Symbols (id, file_path, start_line, end_line) whose interval holds a changed line (file_path, line).
 
-    The lines of a file are joined by file; the interval test runs inside that equi join.
+    A line meets the symbols of its own block of lines, one block of each size (``intervals``).
     """
     low = F.coalesce("start_line", "end_line", F.lit(0))
     high = F.coalesce("end_line", "start_line", F.lit(0))
     lines = changed_lines.select("file_path", "line").distinct()
-    return symbols.join(lines, "file_path").where((F.col("line") >= low) & (F.col("line") <= high)).select("id", "file_path").distinct()
+    spans = symbols.select("id", "file_path", low.alias("low"), high.alias("high"))
+    return points_in_intervals(lines, spans, "file_path", "line", "low", "high").select("id", "file_path").distinct()
 
 
 def overlapping(symbols: DataFrame, low: Column | int, high: Column | int) -> DataFrame:
@@ -101,13 +104,13 @@ def ranked(impacted: DataFrame) -> DataFrame:
 
 def tiered_top(impacted: DataFrame, k: int, descending_id: bool = False, runnable_first: bool = False) -> DataFrame:
     """The first k rows, high tier first, then medium, then low; one row per test."""
-    once = impacted.dropDuplicates(["test_id"])
     order = [tier_rank(F.col("score")), F.col("score").desc()]
     if runnable_first and "runnable" in impacted.columns:
         order.insert(1, F.col("runnable").desc())
     if "line_count" in impacted.columns:
         order.append(F.col("line_count").desc())
     order.append(F.col("test_id").desc() if descending_id else F.col("test_id").asc())
+    once = cap_per_group(impacted, "test_id", [*order, *(F.col(c) for c in impacted.columns if c not in ("test_id", "path", "matched_files"))], 1).drop("n")
     return once.withColumn("tier", tier(F.col("score"))).orderBy(*order).limit(k)
 
 
@@ -121,7 +124,7 @@ def coverage_diff(coverage: DataFrame, changed: DataFrame, threshold: float = 0.
     hit = coverage.join(changed.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(F.col("test").alias("test_id"), "file_path", "ratio")
     totals = hit.groupBy("test_id").agg(F.max("ratio").alias("score"), F.count(F.lit(1)).alias("coverage_hits")).where(F.col("score") >= threshold)
     # only the first files of a test are gathered; Spark cuts each partition's before the shuffle
-    first = capped(hit, "test_id", [F.col("ratio").desc(), F.col("file_path")], files)
+    first = cap_per_group(hit, "test_id", [F.col("ratio").desc(), F.col("file_path")], files)
     listed = F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("r"), "file_path")))
     names = first.groupBy("test_id").agg(F.transform(listed, lambda x: x["file_path"]).alias("matched_files"))
     return totals.join(names, "test_id").select("test_id", "score", "coverage_hits", "matched_files")
@@ -145,7 +148,7 @@ def hybrid_merge(graph: DataFrame, coverage: DataFrame) -> DataFrame:
         df = df.withColumn("key", key).where("key is not null").withColumn("score", F.coalesce("score", F.lit(0.0)))
         return df.groupBy("key").agg(*base.values(), F.max("score").alias(f"{p}_score"), *(c.alias(n) for n, c in own.items()))
 
-    g = side(graph, "g", {"confidence": F.max("confidence"), "line_count": F.max("line_count"), "path": F.max_by("path", "score")})
+    g = side(graph, "g", {"confidence": F.max("confidence"), "line_count": F.max("line_count"), "path": F.max_by("path", F.struct("score", "path"))})
     c = side(coverage, "c", {"coverage_hits": F.max("coverage_hits"), "matched_files": F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched_files"))))})
     both = g.join(c, "key", "full_outer")
     gs, cs = F.coalesce("g_score", F.lit(0.0)), F.coalesce("c_score", F.lit(0.0))
@@ -228,8 +231,3 @@ def freshness(metadata: DataFrame, repo: str, commit: str, fingerprint: str) ->
     )
     state = F.when(F.col("last_indexed_repo").isNull(), "missing").when(reason == "", "fresh").otherwise("stale")
     return metadata.select("id", state.alias("state"), reason.alias("reason"))
-
-
-def capped(rows: DataFrame, partition: str, order: list[Column], k: int) -> DataFrame:
-    w = Window.partitionBy(partition).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")

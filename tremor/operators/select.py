@@ -45,6 +45,48 @@ def with_rank(rows: DataFrame, key: str, ranges: int = RANGES) -> DataFrame:
     return parts.withColumn("_in", F.row_number().over(inside)).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("place", F.col("_before") + F.col("_in") - 1).drop("_part", "_in", "_before")
 
 
+#: Bits that a pass of the selection decides: so many counts come to the driver, whatever the rows.
+DIGIT = 12
+
+
+def values_at(rows: DataFrame, value: str, places: list[int]) -> list[int]:
+    """The whole numbers of 0 and more at these places (from 0) of the order of all, by counts of digits from the top down.
+
+    A pass counts the next DIGIT bits of the values that agree with what is decided: the counts
+    of 2**DIGIT digits are partial sums of every task, and no task holds or sorts the values.
+    Nulls are left out. Places outside raise.
+    """
+    v = F.col(value).cast("long")
+    rows = rows.where(v.isNotNull())
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.max(v).alias("most"), F.min(v).alias("least")).first()
+    if any(not 0 <= p < total["n"] for p in places) or total["n"] and total["least"] < 0:
+        raise ValueError("places must lie within the rows, values must be 0 or more")
+    top = DIGIT * max(1, -(-int(total["most"] or 0).bit_length() // DIGIT))
+    found = {p: (0, p) for p in places}  # decided bits, and the place among the values that begin with them
+    for low in range(top - DIGIT, -1, -DIGIT):
+        prefix = F.call_function("shiftright", v, F.lit(low + DIGIT)) if low + DIGIT < 63 else F.lit(0).cast("long")
+        digit = F.call_function("shiftright", v, F.lit(low)).bitwiseAND(F.lit((1 << DIGIT) - 1))
+        counts: dict[int, dict[int, int]] = {}
+        for r in rows.where(prefix.isin(sorted({b for b, _ in found.values()}))).groupBy(prefix.alias("b"), digit.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(r["b"], {})[r["d"]] = r["n"]
+        for p, (bits, place) in found.items():
+            for d in sorted(counts[bits]):
+                if place < counts[bits][d]:
+                    found[p] = (bits << DIGIT | d, place)
+                    break
+                place -= counts[bits][d]
+    return [found[p][0] for p in places]
+
+
+def median_of(rows: DataFrame, value: str) -> float | None:
+    """The exact median of whole numbers of 0 and more, the mean of the middle two of an even number; null without values."""
+    n = rows.where(F.col(value).isNotNull()).count()
+    if not n:
+        return None
+    low, high = values_at(rows, value, [(n - 1) // 2, n // 2])
+    return (low + high) / 2
+
+
 def head_sample(rows: DataFrame, key: str, k: int) -> DataFrame:
     return rows.select(key).distinct().orderBy(key).limit(k)
 

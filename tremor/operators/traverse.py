@@ -1,9 +1,34 @@
-"""Bounded reachability over call edges."""
+"""Bounded reachability over call edges.
+
+Each layer is written below one folder, as the partition of its depth, and what was found so far
+is one scan of that folder: the plan of a layer does not hold the plans of the layers before it,
+whatever the depth, and a lost executor costs one layer. A layer without rows ends the walk.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
+
+from ..sources import scratch
+
+
+class Layers:
+    """Rows by depth, layer after layer."""
+
+    def __init__(self, like: DataFrame, name: str):
+        self.spark = like.sparkSession
+        self.path = scratch.scratch_path(self.spark, name)
+        self.columns = like.schema
+        self.found: DataFrame = self.spark.createDataFrame([], StructType([*like.schema.fields]).add("depth", IntegerType()))
+
+    def add(self, layer: DataFrame, depth: int) -> DataFrame:
+        """Write a layer; its rows as written."""
+        layer.select(*self.columns.names).write.parquet(f"{self.path}/depth={depth}")
+        schema = self.found.schema
+        self.found = self.spark.read.schema(schema).parquet(self.path)
+        return self.found.where(F.col("depth") == depth).drop("depth")
 
 
 def reachable_callers(calls: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
@@ -12,17 +37,15 @@ def reachable_callers(calls: DataFrame, seeds: DataFrame, depth: int = 3) -> Dat
     Each layer is a join with the frontier, distinct, less what was seen: a node is
     expanded once. A seed that another seed calls is a caller like any other.
     """
-    step = calls.select(F.col("src").alias("caller"), F.col("dst").alias("node")).distinct()
+    step = scratch.staged(calls.select(F.col("src").alias("caller"), F.col("dst").alias("node")).distinct(), "steps")
     frontier = seeds.select(F.col("id").alias("node")).distinct()
-    found = None
+    layers = Layers(step.select(F.col("caller").alias("node")), "reached")
     for d in range(1, depth + 1):
         layer = step.join(frontier, "node").select(F.col("caller").alias("node")).distinct()
-        if found is not None:
-            layer = layer.join(found.select("node"), "node", "left_anti")
-        frontier = layer
-        layer = layer.withColumn("depth", F.lit(d))
-        found = layer if found is None else found.union(layer)
-    return found
+        frontier = layers.add(layer.join(layers.found.select("node"), "node", "left_anti"), d)
+        if frontier.isEmpty():
+            break
+    return layers.found
 
 
 def transitive_tests(calls: DataFrame, tests: DataFrame, seeds: DataFrame, depth: int = 3, decay: float = 0.7) -> DataFrame:
@@ -42,20 +65,20 @@ def best_paths(calls: DataFrame, seeds: DataFrame, depth: int = 3, default: floa
     by a cycle is a hit.
     """
     step = calls.select(F.col("src").alias("caller"), F.col("dst").alias("start"), F.coalesce("resolution_confidence", F.lit(default)).alias("edge"))
-    step = step.groupBy("caller", "start").agg(F.max("edge").alias("edge"))
+    step = scratch.staged(step.groupBy("caller", "start").agg(F.max("edge").alias("edge")), "steps")
     layer = seeds.select(F.col("id").alias("start"), F.col("id").alias("seed"), F.lit(1.0).alias("confidence"), *([F.array("id").alias("path")] if with_path else []))
-    found = None
+    layers = Layers(layer, "paths")
     for d in range(1, depth + 1):
         grown = layer.join(step, "start").select(F.col("caller").alias("start"), "seed", (F.col("confidence") * F.col("edge")).alias("confidence"), *([F.concat(F.array("caller"), F.col("path")).alias("path")] if with_path else []))
-        if found is not None:
-            grown = grown.join(found.select("start", "seed"), ["start", "seed"], "left_anti")
+        grown = grown.join(layers.found.select("start", "seed"), ["start", "seed"], "left_anti")
         if with_path:
-            layer = grown.groupBy("start", "seed").agg(F.max(F.struct("confidence", "path")).alias("b")).select("start", "seed", "b.confidence", "b.path")
+            grown = grown.groupBy("start", "seed").agg(F.max(F.struct("confidence", "path")).alias("b")).select("start", "seed", "b.confidence", "b.path")
         else:
-            layer = grown.groupBy("start", "seed").agg(F.max("confidence").alias("confidence"))
-        whole = layer.withColumn("depth", F.lit(d))
-        found = whole if found is None else found.union(whole)
-    return found
+            grown = grown.groupBy("start", "seed").agg(F.max("confidence").alias("confidence"))
+        layer = layers.add(grown, d)
+        if layer.isEmpty():
+            break
+    return layers.found
 
 
 def best_path_tests(calls: DataFrame, tests: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:

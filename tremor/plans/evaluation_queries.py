@@ -238,6 +238,19 @@ def patch_metrics(t: Tables) -> DataFrame:
     return out.select("event_id", big("added_lines"), big("removed_lines"), big("duplicate_line_max"), "signature_change", "placeholder", "severity")
 
 
+_REMOVAL = """concat('diff --git a/', CASE event_id % 6 WHEN 0 THEN 'tests/test_m.py' WHEN 1 THEN 'notes.txt' ELSE 'src/m.py' END, ' b/x', chr(10), '-def gone', event_id % 4, '(a):', chr(10),
+CASE WHEN event_id % 3 = 0 THEN concat('+def gone', event_id % 4, '(a, b):', chr(10)) ELSE concat('+x = ', event_id, chr(10)) END,
+CASE WHEN event_id % 5 = 0 THEN concat('diff --git a/src/z.py b/src/z.py', chr(10), '-    def inner(self):', chr(10), '+y = 2', chr(10)) ELSE '' END)"""
+
+
+@query("""WITH g AS (SELECT event_id, list_filter([CASE WHEN event_id % 6 > 1 AND event_id % 3 <> 0 THEN 'src/m.py:gone' || (event_id % 4) END, CASE WHEN event_id % 5 = 0 THEN 'src/z.py:inner' END], lambda x: x IS NOT NULL) AS gone FROM events)
+SELECT event_id, CASE WHEN len(gone) > 0 THEN 'removed_function_without_replacement:' || array_to_string(gone, '|') ELSE '' END AS fail_reasons, 'potential_signature_change' AS warn_reasons,
+CASE WHEN len(gone) > 0 THEN 'fail' ELSE 'warn' END AS severity FROM g""")
+def patch_removals(t: Tables) -> DataFrame:
+    d = t.read("events").select("event_id", F.expr(_REMOVAL.replace("chr(10)", "'\\n'")).alias("diff"))
+    return agent.patch_metrics(d).select("event_id", "fail_reasons", "warn_reasons", "severity")
+
+
 @query("""WITH s AS (SELECT user_id AS conv, count(*) AS selected, count(*) FILTER (event_type = 'view') AS runnable, avg(least(1.0::DOUBLE, value / 100)) AS precision, bool_or(value / 100 >= 0.8) AS sure FROM events GROUP BY ALL)
 SELECT conv, selected, runnable, CASE WHEN selected >= 3 THEN CASE WHEN runnable::DOUBLE / selected < 0.35 THEN 'low_runnable_ratio' WHEN precision < 0.45 THEN 'low_confidence' ELSE '' END
 ELSE CASE WHEN runnable > 0 AND sure THEN '' WHEN runnable <= 0 THEN 'no_runnable_nodeids' ELSE 'low_confidence' END END AS reason FROM s""")
