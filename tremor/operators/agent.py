@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_test_path, jaccard
+from ..functions.scalars import jaccard
 
 # Thresholds of a useful selection, limits of a patch, placeholder marks.
 LEAST_SELECTED, LEAST_RUNNABLE, LEAST_PRECISION, SURE = 3, 0.35, 0.45, 0.8

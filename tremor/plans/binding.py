@@ -52,7 +52,7 @@ class Tables:
 
     @cached_property
     def first_links(self) -> DataFrame:
-        """(src, dst): each test's part on the first line of its first order."""
+        """(src, dst): the part that a test is named after, as a test has one name: that of the first line of its first order."""
         line = F.struct("l_orderkey", "l_linenumber", "l_partkey")
         return self.lines.groupBy(F.col("o_custkey").alias("src")).agg(F.min(line).alias("m")).select("src", F.col("m.l_partkey").alias("dst"))
 
@@ -78,10 +78,11 @@ class Tables:
 
     @cached_property
     def test_imports(self) -> DataFrame:
-        """Test files import the files of what their tests' first lines name."""
+        """Test files import the files of everything that their tests' lines name."""
         t = self.tests.select(F.col("id").alias("src"), F.col("file_path").alias("test_file"))
         f = self.functions.select(F.col("id").alias("dst"), F.col("file_path").alias("path"))
-        return self.first_links.join(t, "src").join(f, "dst").select(F.col("test_file").alias("src"), F.col("path").alias("dst")).distinct()
+        pairs = self.lines.select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"))
+        return pairs.join(t, "src").join(f, "dst").select(F.col("test_file").alias("src"), F.col("path").alias("dst")).distinct()
 
     @cached_property
     def coverage(self) -> DataFrame:
@@ -166,7 +167,7 @@ _VIEWS = {
     "calls": """SELECT part AS src, next_part AS dst, max(CASE flag WHEN 'A' THEN 0.98::DOUBLE WHEN 'N' THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END) AS resolution_confidence
         FROM steps WHERE part <> next_part GROUP BY ALL""",
     "imports": """SELECT DISTINCT a.path AS src, b.path AS dst FROM steps JOIN files a ON a.fid = supp JOIN files b ON b.fid = next_supp WHERE supp <> next_supp""",
-    "test_imports": """SELECT DISTINCT t.file_path AS src, f.file_path AS dst FROM first_links l JOIN tests t ON t.id = l.src JOIN functions f ON f.id = l.dst""",
+    "test_imports": """SELECT DISTINCT t.file_path AS src, f.file_path AS dst FROM test_links l JOIN tests t ON t.id = l.src JOIN functions f ON f.id = l.dst""",
     "quantities": "SELECT o_custkey AS test, l_suppkey AS fid, sum(CAST(l_quantity AS BIGINT)) AS q FROM lines GROUP BY ALL",
     "coverage": """SELECT q.test, path AS file_path, q.q::DOUBLE / t.total::DOUBLE AS ratio FROM quantities q
         JOIN (SELECT test, sum(q) AS total FROM quantities GROUP BY ALL) t ON t.test = q.test JOIN files ON files.fid = q.fid""",
