@@ -10,11 +10,11 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import base_name, is_test_path, matches_any, module_name, parse_hash, qualify_self
+from . import formats
 
 # Directories that are skipped, name patterns of tests. Two engines skip different ones: the first
 # these by name, the second others and whatever is hidden; the default skips what either does.
@@ -47,41 +47,18 @@ def scan_tree(spark: SparkSession, root: str, hidden: bool = True, skipped: tupl
     The hash is over bytes, or with ``by_text`` over the decoded text where there is one.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", True).load(root)
-    files = files.select("path", "content", "modificationTime").union(_passed_over(spark, root))
+    files = files.select("path", "content", "modificationTime")
     prefix = "^(?:[a-z0-9]+:/*)?/*" + "/".join(map(_quoted, root.split("://", 1)[-1].strip("/").split("/"))) + "/+"
-    path = F.regexp_replace("path", prefix, "")
+    files = files.withColumn("path", F.regexp_replace("path", prefix, ""))
+    # what Spark's readers pass over, found and read by tasks
+    formats.register(spark)
+    files = files.union(spark.read.format("source_tree").option("names", "passed_over").load(root))
     text = F.try_validate_utf8(F.col("content").cast("string"))
     digest = F.coalesce(parse_hash(text), F.md5("content")) if by_text else F.md5("content")
-    rows = files.select(path.alias("path"), "content", text.alias("text"), digest.alias("content_hash"), F.col("modificationTime").alias("last_modified"))
+    rows = files.select("path", "content", text.alias("text"), digest.alias("content_hash"), F.col("modificationTime").alias("last_modified"))
     return rows.where(kept_path(F.col("path"), hidden, skipped))
 
 
-def _store(root: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
-
-
-def _passed_over(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, modificationTime) of the files that Spark's readers pass over: below or with a name that begins with a dot or an underscore.
-
-    Only their names are listed on the driver; executors read them.
-    """
-    store, top = _store(root.rstrip("/"))
-    listed = store.get_file_info(fs.FileSelector(top, recursive=True))
-    odd = [(i.path, i.mtime) for i in listed if i.is_file and i.path.endswith(".py") and any(p[:1] in "._" for p in i.path[len(top) :].split("/") if p)]
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, _ = _store(root)
-        for part in parts:
-            contents = []
-            for path in part.column(0).to_pylist():
-                with here.open_input_stream(path) as f:
-                    contents.append(f.read())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(contents, pa.binary()), part.column(1)], names=["path", "content", "modificationTime"])
-
-    names = spark.createDataFrame(odd, "path string, modificationTime timestamp")
-    return names.mapInArrow(run, "path string, content binary, modificationTime timestamp")
-
-
 def _quoted(part: str) -> str:
     return "".join("\\" + c if not (c.isalnum() or c in "_-") else c for c in part)
 

@@ -2,50 +2,19 @@
 
 from __future__ import annotations
 
-import sqlite3
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_test_path, normalise_paths
-
-# Fixed value: tables of a data file; numbits is a bitmap of line numbers, the least significant bit first.
-LINES = "select f.path, c.context, b.numbits from line_bits b join file f on f.id = b.file_id left join context c on c.id = b.context_id"
-
-
-def _lines(content: bytes) -> Iterator[tuple[str, str | None, int]]:
-    db = sqlite3.connect(":memory:")
-    try:
-        db.deserialize(content)
-        for path, context, bits in db.execute(LINES):
-            for i, byte in enumerate(bits):
-                for k in range(8):
-                    if byte >> k & 1:
-                        yield path, context or None, 8 * i + k
-    finally:
-        db.close()
+from . import formats
 
 
 def read_coverage(spark: SparkSession, path: str, root: str = "") -> DataFrame:
     """(context, file_path, line) of the data files below a path; files outside root and test files are left out.
 
-    A file that is no such database gives no rows. Spark passes over names that begin with a
-    dot, so the data file needs another one.
+    A file that is no such database gives no rows; names that begin with a dot are read too.
     """
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for content in part.column(0):
-                try:
-                    rows = list(_lines(content.as_py()))
-                except sqlite3.DatabaseError:
-                    continue
-                if rows:
-                    file, context, line = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_pydict({"file": pa.array(file, pa.string()), "context": pa.array(context, pa.string()), "line": pa.array(line, pa.int32())})
-
-    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "file string, context string, line int")
+    formats.register(spark)
+    found = spark.read.format("coverage_lines").load(path)
     rows = found.select("context", normalise_paths(F.col("file"), root).alias("file_path"), "line")
     return rows.where(F.col("file_path").isNotNull() & ~is_test_path(F.col("file_path"))).distinct()
