@@ -160,13 +160,16 @@ def name_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda x: x != ""))
 
 
-def naming_confidence(target: Column, test_file: Column, function: Column, function_file: Column) -> Column:
-    """0.75 exact, 0.7 dotted suffix, 0.58 contained, else 0.45; 0.05 for each common leading directory up to 0.2."""
-    base = F.when(function == target, 0.75).when(F.endswith(function, F.concat(F.lit("."), target)), 0.7).when(F.contains(function, target), 0.58).otherwise(0.45)
-    same = F.zip_with(directories(test_file), directories(function_file), lambda a, b: a.eqNullSafe(b) & a.isNotNull())
-    common = F.array_position(same, F.lit(False))
-    count = F.when(common == 0, F.size(same)).otherwise(common - 1)
-    return clamp(base + F.least(F.lit(0.2), count * 0.05), 0.0, 0.9)
+def name_match(target: Column, function: Column) -> Column:
+    """0.75 exact, 0.7 dotted suffix, 0.58 contained, else 0.45."""
+    return F.when(function == target, 0.75).when(F.endswith(function, F.concat(F.lit("."), target)), 0.7).when(F.contains(function, target), 0.58).otherwise(0.45)
+
+
+def folder_bonus(a: Column, b: Column) -> Column:
+    """0.05 for each common leading directory of two lists, up to 0.2, which four give."""
+    same = [F.coalesce(F.get(a, F.lit(i)) == F.get(b, F.lit(i)), F.lit(False)) for i in range(4)]
+    count = F.when(~same[0], 0).when(~same[1], 1).when(~same[2], 2).when(~same[3], 3).otherwise(4)
+    return F.least(F.lit(0.2), count * 0.05)
 
 
 def path_words(path: Column) -> Column:
