@@ -16,7 +16,8 @@ counted. A segment is significant if its surprise is above 0. The best surprise,
 the significant ones, their number, the tokens of high score in them and the length go
 through a logistic fit on the sample rows that were not counted.
 
-Null and empty texts have no segment and get the base rate's score. Without labels of both
+Null and empty texts have no segment; the logistic scores them as it does any text without
+one, which is well below the base rate where most labels are clean. Without labels of both
 classes the score is that rate (0 without any label). Repeated rows are scored alike, label
 rows that repeat count repeatedly, null labels are left out, other columns are not read.
 Texts are taken whole; bytes that are no UTF-8 count as U+FFFD.
