@@ -21,7 +21,7 @@ from tremor.llm.common import crc_mod, stage, table, unstage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from four of five labels.
 
-    Null and empty texts have the base rate's score and stay, unless most labels are toxic.
+    Null and empty texts have no toxic passage and the score of such texts; they stay, unless most labels are toxic.
     Equal rows go or stay together. Without labels of both classes all stay.
     """
     labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0)
