@@ -3,11 +3,18 @@
 Three patterns find the base spans. Beyond them, a value that stands in a credential
 context is segmented into words, dates, repeats, sequences, keyboard walks and
 brute-force spans so that the total number of guesses is least (a dynamic program over
-its positions). Words have their rank in a frequency list: English (``word_list``), and the
+its positions); a mark that joins two parts costs little once it was used. Words have their rank in a frequency list: English (``word_list``), and the
 most frequent words of the corpus outside credential contexts (``learn_words``), so that
 prose in any language is cheap. Brute force tries all character classes of the value at each place. A value that would cost at least ``min_log2`` bits is a span of kind
 ``guess`` unless base spans cover it entirely; it may overlap them.
 
+Ordinary values are told from secrets by their form. A mail address is none. Of links, file
+paths and code (names with brackets, placeholders) only the parts count that mix letters with
+digits or cases within. Parts joined by marks are a sentence, and no secret, if two of them are
+function words. Letters of scripts without case cost nothing; other letters beyond ASCII count
+in values that hold a digit or a symbol too. Pass phrases are four words or more without
+function words, quoted or up to the end of their line. Other values end at the first blank.
+
 Null and empty texts have no spans; bytes that are no UTF-8 count, and are written, as U+FFFD. Every row is scanned by itself, so repeated rows get
 equal results and columns beyond the two that are read don't matter. Runs, walks and repeated
 blocks count at their full length, each found once, so time is linear in a value's length.
@@ -18,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,11 +44,31 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_VALUE = 6
 KINDS = ("assign", "access", "hex", "guess")
 
-#: A credential word, a separator, and the value that is judged.
-CREDENTIAL = "(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|login|pin)"
-CONTEXT = re.compile(CREDENTIAL + r"""["']?\s{0,3}(?::|=>|=|\bis\b)\s{0,3}["']?([!-~]{8,})""")
+#: A credential word, a separator, and the value that is judged: no blanks, letters of any script.
+CREDENTIAL = r"(?i:pass(?:word|wd|[ _-]?phrase|code)?|pwd|secret|token|credentials?|authorization|auth|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|login|pin|(?:seed|recovery)[ _-]phrase|mnemonic)"
+VALUE = r"""["']?(?:(?i:bearer|basic|token)\x20)?([^\x00-\x20\x7f\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]{8,})"""
+CONTEXT = re.compile(CREDENTIAL + r"""["']?\s{0,3}(?::|=>|=|\bis\b)\s{0,3}""" + VALUE)
 #: The same values for Spark's regular expressions, found from their separators, which are rare.
-VALUES = r"(?:[:=]|\bis\b)(?<=" + CREDENTIAL + r"""["']?\s{0,3}(?::|=|is))>?\s{0,3}["']?[!-~]{8,}"""
+VALUES = r"(?:[:=]|\bis\b)(?<=" + CREDENTIAL + r"""["']?\s{0,3}(?::|=|is))>?\s{0,3}""" + VALUE
+_PHRASE = r"[a-zß-öø-ÿ]++(?:\x20[a-zß-öø-ÿ]++){3,23}"
+PHRASE = re.compile(CREDENTIAL + rf"""["']?\x20{{0,3}}[:=]\x20{{0,3}}(?:(["'])({_PHRASE})\1|({_PHRASE})(?=[.,;]?(?:[\r\n]|\Z)))""")
+#: Words of sentences, and words that speak of secrets rather than being one.
+FUNCTION_WORDS = frozenset(
+    (
+        "a all also an and any are as at be been but by can do does for from has have here how if in into is it its "
+        "may must my no not of on or our see should so than that the their them then there these they this to was we "
+        "were what when where which who will with you your "
+        "least minimum maximum required characters letters digits please enter choose forgot reset invalid "
+        "incorrect wrong changed expired confirm missing optional password token secret"
+    ).split()
+)
+#: Ends of host names of mail addresses.
+MAIL = re.compile(r"(?:mailto:)?[\w.+-]+@(?:[a-z0-9-]+\.)+(?:com|org|net|edu|gov|info|io|dev|eu|[a-z]{2})", re.I)
+#: Links; paths; calls and lookups of names; placeholders.
+FORM = re.compile(r"(?i:[a-z][a-z0-9+.-]{1,15}://|www\.)|(?:[A-Za-z]:[\\/]|~?/|\.{1,2}[\\/]|\\\\)[\w./\\@,+-]*\Z|[A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*[(\[]|[$<{%]+[A-Za-z_][\w. -]*[}>%]")
+#: A mark between two parts; a short number between marks.
+JOINT = re.compile(r"(?<=[^\W_])[-_./:\x20](?=[^\W_])")
+NUMBER = re.compile(r"(?<![^\W_])\d{1,4}(?![^\W_])")
 #: Frequent parts of chosen passwords, most frequent first, before WORDS: a word's rank is its guess count.
 COMMON = (
     "password pass admin login welcome master secret qwerty letmein dragon monkey shadow sunshine princess football "
@@ -68,8 +96,14 @@ def _alphabet(c: str) -> int:
 
 
 def _charset(value: str) -> int:
-    """Characters of all classes that a value has: what brute force tries at each place."""
-    return 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value)
+    """Characters of all classes that a value has: what brute force tries at each place; 64 letters beyond ASCII."""
+    ascii_only = 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value)
+    return max(ascii_only, 1) + 64 * any(c > "\x7f" and c.lower() != c.upper() for c in value)
+
+
+def _uncased(c: str) -> bool:
+    """A letter of a script without case, or a sign that belongs to a letter."""
+    return c > "\x7f" and unicodedata.category(c) in ("Lo", "Lm", "Mn", "Mc", "Me")
 
 
 def ranks(learned: list[str]) -> dict[str, int]:
@@ -84,6 +118,8 @@ def _pieces(value: str, rank_of: dict[str, int] | None = None) -> list[list[tupl
     """For each end position, the (start, log2 guesses) of the structured pieces that end there."""
     n, rank_of = len(value), rank_of or _RANK
     low, ends = value.lower(), [[] for _ in range(n + 1)]
+    if len(low) != n:  # a few letters become two
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_UNLEET)
     for i in range(n):
         for k in range(2, min(LONGEST_WORD, n - i) + 1):
@@ -93,6 +129,12 @@ def _pieces(value: str, rank_of: dict[str, int] | None = None) -> list[list[tupl
                 ends[i + k].append((i, math.log2(rank + 1) + twist))
     for m in DATE.finditer(value):
         ends[m.end()].append((m.start(), math.log2(365 * 120) if m.end() - m.start() > 4 else math.log2(120)))
+    used: set[str] = set()
+    for m in JOINT.finditer(value):
+        ends[m.end()].append((m.start(), 1.0 if m[0] in used else math.log2(33)))
+        used.add(m[0])
+    for m in NUMBER.finditer(value):
+        ends[m.end()].append((m.start(), math.log2(10) * len(m[0])))
     for step, cost in (("repeat", 1.0), ("up", 2.0), ("down", 2.0), ("walk", 4.0)):
         i = 0
         while i < n - 1:
@@ -138,18 +180,44 @@ def _follows(a: str, b: str, step: str) -> bool:
 def guess_cost(value: str, charset: int | None = None, rank_of: dict[str, int] | None = None) -> float:
     """Least log2 of the guesses for a value, over all its segmentations.
 
-    A brute-force character costs its own class, or charset where that is given.
+    A brute-force character costs its own class, or charset where that is given; letters of
+    scripts without case cost nothing.
     """
     n = len(value)
     pieces = _pieces(value, rank_of)
     best = [0.0] * (n + 1)
     for j in range(1, n + 1):
-        best[j] = best[j - 1] + math.log2(charset or _alphabet(value[j - 1]))
+        best[j] = best[j - 1] + (0.0 if _uncased(value[j - 1]) else math.log2(charset or _alphabet(value[j - 1])))
         for i, cost in pieces[j]:
             best[j] = min(best[j], best[i] + cost)
     return best[n]
 
 
+def _parts(value: str) -> list[str]:
+    return [p for p in re.split(r"[\W_]+", value) if p]
+
+
+def _plain(part: str) -> bool:
+    """A part of digits alone, or of letters that differ in case at most by their first."""
+    return part.isdigit() or (part.isalpha() and (part.isupper() or part[1:] == part[1:].lower()))
+
+
+def _sentence(value: str) -> bool:
+    parts = _parts(value)
+    return sum(p.lower() in FUNCTION_WORDS for p in parts) >= 2 and all(_plain(p) and not (p.isdigit() and len(p) > 4) for p in parts)
+
+
+def value_cost(value: str, rank_of: dict[str, int] | None = None) -> float:
+    """Least log2 of the guesses for a value in a credential context; 0 for ordinary ones, by their form."""
+    if MAIL.fullmatch(value) or _sentence(value):
+        return 0.0
+    if FORM.match(value):
+        return sum(guess_cost(p, _charset(p), rank_of) for p in _parts(value) if not _plain(p))
+    if not value.isascii() and not any(c.isdigit() or c in "!#$%&*+=?@^|~<>" for c in value):
+        return 0.0
+    return guess_cost(value, _charset(value), rank_of)
+
+
 def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
     """Whether the union of spans, sorted by start, holds start to end."""
     for s, e, _ in spans:
@@ -172,9 +240,15 @@ def find_spans(text: str | None, min_log2: float = MIN_LOG2, rank_of: dict[str,
         value = m[1]
         if (quote := text[start - 1]) in "\"'":  # a quoted value ends with its quote
             value = value.partition(quote)[0]
-        value = value.rstrip("\"',;.)")
+        value = value.rstrip("\"',;.)»”’。，；）")
         end = start + len(value)
-        if len(value) >= 8 and not _covered(start, end, base) and guess_cost(value, _charset(value), rank_of) >= min_log2:
+        if len(value) >= 8 and not _covered(start, end, base) and value_cost(value, rank_of) >= min_log2:
+            found.append((start, end, 3))
+    for m in PHRASE.finditer(text):
+        start, end = m.span(2) if m[2] else m.span(3)
+        phrase = text[start:end]
+        if not FUNCTION_WORDS.intersection(phrase.split(" ")) and guess_cost(phrase, 26, rank_of) >= min_log2:
+            found = [s for s in found if s[2] != 3 or not start <= s[0] < end]
             found.append((start, end, 3))
     return sorted(found, key=lambda x: (x[0], x[2]))
 
