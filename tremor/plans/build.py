@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalise_paths
-from ..operators import impact, merge
+from ..operators import impact, link, merge
 from ..schema import METADATA
 from ..sources import code, scratch, store
 from . import delta
@@ -120,3 +120,18 @@ def graph_statistics(spark: SparkSession, path: str, most_age: float | None = No
     old = (kept.manifest() or {}).get("metadata", {})
     counts = kept.statistics(most_age)
     return counts.select("*", *(F.lit(old.get(c)).cast("string").alias(c) for c in ("last_indexed_repo", "last_indexed_commit", "repo_fingerprint", "updated_at")))
+
+
+def refresh_coverage(spark: SparkSession, path: str, tests: list[str], coverage: DataFrame, per_test: int = 12, least: float = 0.1, most: int | None = 2000) -> DataFrame:
+    """Puts the coverage links of chosen tests into the graph kept at ``path`` and gives a report of one row.
+
+    tests: files or node ids as a tool was given them; coverage: (test, file_path, ratio), as
+    ``link.coverage_by_test`` has it. Only the buckets that hold these links are written; an edge
+    keeps its greatest confidence and coverage. ``metadata`` stay as they are.
+    """
+    asked = spark.createDataFrame(list(enumerate(tests)), "place int, ref string")
+    chosen = link.chosen_tests(asked)
+    links = scratch.staged(link.chosen_coverage(chosen, coverage, per_test, least, most), "chosen-coverage")
+    merged = lambda old, new: merge.upsert_edges(old, new, maxima=("coverage_pct",))
+    store.GraphStore(spark, path).change("edges", "depends_on", links, merged)
+    return link.chosen_report(asked, chosen, links, most)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scalars import scaled
-from ..operators import link, merge, resolve, select
+from ..operators import link, merge, overlap, resolve, select
 from .binding import Tables, ctes
 
 QUERIES: dict = {}
@@ -206,16 +206,57 @@ s AS (SELECT a.page_id AS a, b.page_id AS b, len(list_intersect(a.words, b.words
 r AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY near DESC) AS k FROM s WHERE near > 0)
 SELECT a, count(*) AS ties, max(near) AS near, min(b) AS least FROM r WHERE k = 1 GROUP BY a""")
 def url_path_proximity(t: Tables) -> DataFrame:
-    """Per page: the pages of its host that share most directory words, all ties counted.
-
-    Pages meet by host and word, so a host's pages without a word in common never pair.
-    """
+    """Per page: the pages of its host that share most directory words, all ties counted; word sets meet, not pages."""
     url = F.col("url")
     path = F.regexp_replace(F.regexp_extract(url, r"^https?://[^/]+/([^?]*)", 1), "/+$", "")
-    p = t.read("pages").select("page_id", F.regexp_extract(url, r"^https?://([^/]+)", 1).alias("host"), F.explode(scalars.path_words(path)).alias("word"))
-    a, b = p.withColumnRenamed("page_id", "a"), p.withColumnRenamed("page_id", "b")
-    near = a.join(b, ["host", "word"]).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("near"))
-    return select.best_with_ties(near, "a", "near").groupBy("a").agg(F.count(F.lit(1)).alias("ties"), F.max("near").alias("near"), F.min("b").alias("least"))
+    p = t.read("pages").select("page_id", F.regexp_extract(url, r"^https?://([^/]+)", 1).alias("host"), scalars.path_words(path).alias("words"))
+    return overlap.best_partners(p, "page_id", ["host"], F.col("words")).withColumnRenamed("page_id", "a")
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)/', 1) AS dir FROM pages),
+s AS (SELECT dir || '/m' || page_id || '.py' AS source, list_distinct(string_split(dir, '/')) AS dirs FROM p),
+t AS (SELECT DISTINCT dir || '/tests/tests.py' AS test, list_distinct(string_split(dir, '/')) AS dirs FROM p),
+x AS (SELECT source, test, len(list_intersect(s.dirs, t.dirs)) AS near FROM s, t),
+r AS (SELECT *, rank() OVER (PARTITION BY test ORDER BY near DESC) AS k FROM x WHERE near > 0)
+SELECT source, test FROM r WHERE k = 1""")
+def folder_tests_links(t: Tables) -> DataFrame:
+    """A module for every page, a tests.py for every folder: linked by the folders they share, all ties."""
+    folder = F.regexp_extract("url", r"^https?://([^?#]*)/", 1)
+    p = t.read("pages").select(F.col("page_id"), folder.alias("dir"))
+    modules = p.select(F.concat("dir", F.lit("/m"), "page_id", F.lit(".py")).alias("path"))
+    tests = p.select(F.concat("dir", F.lit("/tests/tests.py")).alias("path")).distinct()
+    return link.link_by_file_name(modules.union(tests))
+
+
+_COVERED = """c AS (SELECT 'tests/t' || (o_custkey % 40) || '.py::test_' || o_custkey AS test, 'src/n' || (l_suppkey % 25) || '.py' AS file_path, l_linenumber * 10 + l_suppkey % 10 AS line FROM lines),
+f AS (SELECT file_path, count(DISTINCT line) AS total FROM c GROUP BY ALL),
+h AS (SELECT test, file_path, count(DISTINCT line) AS hit FROM c GROUP BY ALL),
+v AS (SELECT test, h.file_path, hit::DOUBLE / total::DOUBLE AS ratio, row_number() OVER (PARTITION BY test ORDER BY hit::DOUBLE / total::DOUBLE DESC, h.file_path) AS n FROM h JOIN f ON f.file_path = h.file_path),
+a AS (SELECT c_custkey AS place, CASE WHEN c_custkey % 2 = 0 THEN 'tests/t' || (c_custkey % 40) || '.py' ELSE 'tests/t' || (c_custkey % 40) || '.py::test_' || c_custkey END AS ref FROM customer),
+s AS (SELECT ref, min(place) AS place FROM a GROUP BY ref ORDER BY place, ref LIMIT 12),
+k AS (SELECT test, min(place) AS place FROM (SELECT DISTINCT test FROM c) t JOIN s ON t.test = s.ref OR starts_with(t.test, s.ref || '::') GROUP BY test),
+o AS (SELECT v.test AS src, file_path AS dst, ratio FROM v JOIN k ON k.test = v.test WHERE n <= 12 AND ratio >= 0.1 ORDER BY place, src, ratio DESC, dst LIMIT 2000)"""
+
+
+def _chosen(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    test = lambda key: F.concat(F.lit("tests/t"), F.col(key) % 40, F.lit(".py::test_"), F.col(key))
+    rows = t.lines.select(test("o_custkey").alias("context"), F.concat(F.lit("src/n"), F.col("l_suppkey") % 25, F.lit(".py")).alias("file_path"), (F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10).alias("line"))
+    c = F.col("c_custkey")
+    ref = F.when(c % 2 == 0, F.concat(F.lit(" ./tests/t"), c % 40, F.lit(".py "))).otherwise(F.translate(test("c_custkey"), "/", "\\"))
+    asked = t.read("customer").select(c.alias("place"), ref.alias("ref"))
+    chosen = link.chosen_tests(asked)
+    return asked, chosen, link.chosen_coverage(chosen, link.coverage_by_test(rows, rows.select("file_path", "line").distinct()))
+
+
+@query(f"WITH {_COVERED} SELECT src, dst, CAST(floor((0.7::DOUBLE + 0.3::DOUBLE * ratio) * 1e6 + 0.5::DOUBLE) AS BIGINT) AS confidence_e6 FROM o")
+def targeted_coverage(t: Tables) -> DataFrame:
+    """Files and node ids chosen from all customers' tests: the first twelve, twelve files each, 2,000 rows."""
+    return _chosen(t)[2].select("src", "dst", scaled(F.col("link_confidence")).alias("confidence_e6"))
+
+
+@query(f"WITH {_COVERED} SELECT count(*) AS links_created, (SELECT count(*) FROM s) AS tests_considered, count(DISTINCT src) AS tests_with_coverage, (SELECT count(DISTINCT ref) > 12 FROM a) AS tests_capped, count(*) >= 2000 AS rows_capped FROM o")
+def targeted_coverage_report(t: Tables) -> DataFrame:
+    return link.chosen_report(*_chosen(t))
 
 
 @query("""WITH f AS (SELECT DISTINCT file_path FROM tests), r AS (SELECT file_path, row_number() OVER (ORDER BY file_path) - 1 AS i, count(*) OVER () AS n FROM f)
