@@ -524,6 +524,8 @@ def test_forms_tell_ordinary_values_from_secrets(spark):
     values = ["".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=8)) for _ in range(1000)]
     assert all(secret_scan.value_cost(v) == secret_scan.guess_cost(v, secret_scan._charset(v)) for v in values)  # forms take none of these
     assert sum(secret_scan.value_cost(v) >= secret_scan.MIN_LOG2 for v in values) > 950  # the others hold words of two letters or more
+    for text in ("pwd: uvqzykworbx and some other words", "secret=>token=correct horse battery staple", "x is pin: Zq7xT9xV2w", "basis: Zq7xT9xV2w token:\n 'Zq7xT9xV2w'"):
+        assert sum(s[2] == 3 for s in secret_scan.find_spans(text)) >= 1, text
     long = "token: " + "字" * 100000 + " login: " + "a-" * 50000
     assert len(secret_scan.find_spans(long)) <= 1
     rows = [(i, t) for i, t in enumerate((*ORDINARY, *SECRET))]

@@ -47,11 +47,16 @@ KINDS = ("assign", "access", "hex", "guess")
 #: A credential word, a separator, and the value that is judged: no blanks, letters of any script.
 CREDENTIAL = r"(?i:pass(?:word|wd|[ _-]?phrase|code)?|pwd|secret|token|credentials?|authorization|auth|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|login|pin|(?:seed|recovery)[ _-]phrase|mnemonic)"
 VALUE = r"""["']?(?:(?i:bearer|basic|token)\x20)?([^\x00-\x20\x7f\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]{8,})"""
-CONTEXT = re.compile(CREDENTIAL + r"""["']?\s{0,3}(?::|=>|=|\bis\b)\s{0,3}""" + VALUE)
+#: Separators are rare, so contexts are found from them: what stands before one, its rest and the value after it.
+SEPARATOR = re.compile(r"[:=]|is\b")
+BEFORE = re.compile(CREDENTIAL + r"""["']?\s{0,3}\Z""")
+AFTER = re.compile(r">?\s{0,3}" + VALUE)
+#: Characters before a separator that hold a credential word, a quote and three blanks.
+REACH = 24
 #: The same values for Spark's regular expressions, found from their separators, which are rare.
 VALUES = r"(?:[:=]|\bis\b)(?<=" + CREDENTIAL + r"""["']?\s{0,3}(?::|=|is))>?\s{0,3}""" + VALUE
 _PHRASE = r"[a-zß-öø-ÿ]++(?:\x20[a-zß-öø-ÿ]++){3,23}"
-PHRASE = re.compile(CREDENTIAL + rf"""["']?\x20{{0,3}}[:=]\x20{{0,3}}(?:(["'])({_PHRASE})\1|({_PHRASE})(?=[.,;]?(?:[\r\n]|\Z)))""")
+PHRASE = re.compile(rf"""\x20{{0,3}}(?:(["'])({_PHRASE})\1|({_PHRASE})(?=[.,;]?(?:[\r\n]|\Z)))""")
 #: Words of sentences, and words that speak of secrets rather than being one.
 FUNCTION_WORDS = frozenset(
     (
@@ -235,21 +240,31 @@ def find_spans(text: str | None, min_log2: float = MIN_LOG2, rank_of: dict[str,
     found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     base = sorted(found)
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(1)
-        value = m[1]
+    at = said = 0  # ends of the last value and the last phrase: neither overlap their own kind
+    for m in SEPARATOR.finditer(text):
+        if m[0] == "is" and m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+            continue
+        if not BEFORE.search(text, max(said, m.start() - REACH), m.start()):
+            continue
+        if m[0] != "is" and (p := PHRASE.match(text, m.end())):
+            start, end = p.span(2) if p[2] else p.span(3)
+            phrase = text[start:end]
+            if not FUNCTION_WORDS.intersection(phrase.split(" ")) and guess_cost(phrase, 26, rank_of) >= min_log2:
+                found.append((start, end, 3))
+                said = at = p.end()
+                continue
+        if m.start() < at or not BEFORE.search(text, max(at, m.start() - REACH), m.start()):
+            continue
+        if not (v := AFTER.match(text, m.end())):
+            continue
+        start, at = v.span(1)
+        value = v[1]
         if (quote := text[start - 1]) in "\"'":  # a quoted value ends with its quote
             value = value.partition(quote)[0]
         value = value.rstrip("\"',;.)»”’。，；）")
         end = start + len(value)
         if len(value) >= 8 and not _covered(start, end, base) and value_cost(value, rank_of) >= min_log2:
             found.append((start, end, 3))
-    for m in PHRASE.finditer(text):
-        start, end = m.span(2) if m[2] else m.span(3)
-        phrase = text[start:end]
-        if not FUNCTION_WORDS.intersection(phrase.split(" ")) and guess_cost(phrase, 26, rank_of) >= min_log2:
-            found = [s for s in found if s[2] != 3 or not start <= s[0] < end]
-            found.append((start, end, 3))
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
