@@ -128,12 +128,6 @@ def between_dates(rows: DataFrame, at: str, first: str, last: str) -> DataFrame:
     return rows.where(F.to_date(at).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
-def best_with_ties(rows: DataFrame, group: str, score: str) -> DataFrame:
-    """All rows of each group that have its greatest score; the maximum is a partial aggregation."""
-    best = rows.groupBy(group).agg(F.max(score).alias(score))
-    return rows.join(best, [group, score])
-
-
 def source_candidates(test_file: Column) -> Column:
     """Files that a test file's path is likely about: beside the tests folder, then beside itself."""
     name = F.element_at(F.split(test_file, "/"), -1)
