@@ -234,6 +234,24 @@ def test_likeness_of_one_change_by_plain_strings():
         assert (head + tail) / longest - 1e-9 <= got <= (n - (j - i)) / longest + 1e-9 or n < 40
 
 
+def test_ends_are_found_to_within_one_span():
+    """Bounds by plain strings: no more than what is common, no less than that without one longest span an end."""
+    rng = random.Random(22)
+    f, like, longest_span = prefix_fingerprint.fingerprint, prefix_fingerprint.likeness, prefix_fingerprint.LONGEST
+    for _ in range(60):
+        n = rng.randrange(1000, 20000)
+        a = "".join(rng.choices("abcdefgh ", k=n))
+        i, k = rng.randrange(n), rng.randrange(1, 50)
+        b = a[:i] + "Z" * k + a[i:]
+        got = like(f(a), f(b))
+        assert (n - 2 * longest_span) / (n + k) <= got <= n / (n + k) + 1e-9
+        assert len(f(a)) < n
+    # ends that overlap count once; the same numbers in another order share both ends only
+    assert like(f("x" * 100), f("x" * 50)) == 0.5
+    x, y = np.array([1, 2, 3, 4, 5, 6]), np.array([1, 2, 9, 5, 6])
+    assert prefix_fingerprint._ends(x, y) == (2, 2) and prefix_fingerprint._ends(x, x[:3]) == (3, 0) and prefix_fingerprint._ends(x[:0], y) == (0, 0)
+
+
 def test_likeness_counts_what_is_common_inside():
     rng = random.Random(4)
     f, like = prefix_fingerprint.fingerprint, prefix_fingerprint.likeness

@@ -3,12 +3,14 @@
 The code points of a text are the coefficients of a polynomial modulo two primes; with the
 prefix arrays of its partial sums, any two spans are compared in constant time and the
 longest common extension of two positions is found by binary search (``Prefixes``). A
-fingerprint keeps the length, the hash of the whole text and the prefix and suffix hashes
-at GRID lengths, so the longest common prefix and suffix of two texts can be located by
-binary search from their fingerprints alone, to the grid's precision. It also keeps the
-hashes of content-defined spans that cover the text end to end (cut where a hash of the
-last WINDOW code points says so). Likeness is the share of the longer text that both ends
-and the common spans between them cover: 1 for equal texts, 0 where nothing agrees.
+fingerprint keeps the length, the hash of the whole text, and the hashes of content-defined
+spans that cover the text end to end (cut where a hash of the last WINDOW code points says
+so). The spans of two fingerprints are sequences themselves: their longest common beginning
+and ending are found by binary search over prefix hashes of these, which locates the common
+ends of the texts to within one span. Prefix and suffix hashes at GRID lengths do so for
+short ends, of which a span is a large part. Likeness is the share of the longer text that
+both ends and the common spans between them cover: 1 for equal texts, 0 where nothing agrees.
+The ends never overlap: together they are no longer than the shorter text.
 
 Null is the empty text; two empty texts have likeness 1, an empty and another 0. Ids that
 repeat are ordered by text; null ids stand before all others. A single document is its own
@@ -19,7 +21,9 @@ count as U+FFFD. Other columns are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import string
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -39,6 +43,9 @@ GROWTH = 1.125
 STEP = 64
 # Content-defined spans: code points that decide on a cut, one cut in EVERY, and the longest span.
 WINDOW, EVERY, LONGEST = 8, 32, 255
+# Hashes at grid lengths have three letters of six bits.
+LETTERS = np.frombuffer((string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/").encode(), np.uint8)
+PLACES = np.array([12, 6, 0], np.uint64)
 
 
 def _grid(most: int) -> list[int]:
@@ -72,11 +79,12 @@ POWERS = Powers()
 
 
 class Prefixes:
-    """Prefix hashes of one text: h[i] = sum of c[j] * base**j for j < i, modulo each prime."""
+    """Prefix hashes of one text, or of numbers below 2**32: h[i] = sum of c[j] * base**j for j < i, modulo each prime."""
 
-    def __init__(self, text: str, powers: Powers = POWERS):
+    def __init__(self, text: str | np.ndarray, powers: Powers = POWERS):
         self.n = len(text)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) if isinstance(text, str) else text
+        points = points.astype(np.uint64) + np.uint64(1)
         powers.upto(self.n + 1)
         self.powers, self.down = powers.up, powers.down
         self.h = []
@@ -125,6 +133,14 @@ class Prefixes:
             low, high = (mid, high) if self.same(i, other, j, mid) else (low, mid - 1)
         return low
 
+    def common_before(self, i: int, other: Prefixes, j: int) -> int:
+        """Longest n with text[i-n:i] equal to other's [j-n:j], by binary search."""
+        low, high = 0, min(i, j)
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if self.same(i - mid, other, j - mid, mid) else (low, mid - 1)
+        return low
+
 
 def _hashes(x: Prefixes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """First part of span() for many spans at once."""
@@ -141,34 +157,34 @@ def _cuts(x: Prefixes) -> np.ndarray:
     return cuts
 
 
-def _hex24(values: np.ndarray) -> str:
-    """The low 24 bits of each value as 6 hex digits."""
-    return np.ascontiguousarray((values & np.uint64((1 << 24) - 1)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]).tobytes().hex()
+def _letters(values: np.ndarray) -> str:
+    """The low 18 bits of each value as three letters."""
+    return LETTERS[(values[:, None] >> PLACES & np.uint64(63)).astype(np.int64)].tobytes().decode()
 
 
 def fingerprint(text: str) -> str:
     """``n:whole:prefixes:suffixes:spans``.
 
-    Prefixes and suffixes are 6 hex digits for each grid length up to n, spans 8 for each
-    content-defined span in order: 6 of its hash, 2 of its length.
+    Prefixes and suffixes are three letters for each grid length up to n; spans are, in base64,
+    four bytes for each content-defined span in order: three of its hash, one of its length.
     """
     x = Prefixes(text)
     lengths = GRID_ARRAY[: bisect_right(GRID, x.n)]
-    heads = _hex24(x.h[1][lengths])
-    tails = _hex24(x.spans(x.n - lengths, np.full(len(lengths), x.n), 1))
+    heads = _letters(x.h[1][lengths])
+    tails = _letters(x.spans(x.n - lengths, np.full(len(lengths), x.n), 1))
     cuts = _cuts(x)
     starts, ends = (cuts[:-1], cuts[1:]) if x.n else (cuts[:0], cuts[:0])
     cut = np.uint64((1 << 24) - 1)
-    spans = ((_hashes(x, starts, ends) & cut) << np.uint64(8) | (ends - starts).astype(np.uint64)).astype(">u4").tobytes().hex()
-    return f"{x.n}:{x.prefix(x.n):016x}:{heads}:{tails}:{spans}"
+    spans = ((_hashes(x, starts, ends) & cut) << np.uint64(8) | (ends - starts).astype(np.uint64)).astype(">u4").tobytes()
+    return f"{x.n}:{x.prefix(x.n):016x}:{heads}:{tails}:{base64.b64encode(spans).decode()}"
 
 
 def _agree(a: str, b: str) -> int:
     """Largest grid length at which both hash lists agree; agreement is monotone."""
-    low, high = 0, min(len(a), len(b)) // 6
+    low, high = 0, min(len(a), len(b)) // 3
     while low < high:
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[6 * mid - 6 : 6 * mid] == b[6 * mid - 6 : 6 * mid] else (low, mid - 1)
+        low, high = (mid, high) if a[3 * mid - 3 : 3 * mid] == b[3 * mid - 3 : 3 * mid] else (low, mid - 1)
     return GRID[low - 1] if low else 0
 
 
@@ -178,17 +194,31 @@ def likeness(a: str, b: str) -> float:
     m, other, heads2, tails2, spans2 = b.split(":")
     if n == m and whole == other:
         return 1.0
-    longest = max(int(n), int(m))
-    head, tail = _agree(heads, heads2), _agree(tails, tails2)
-    between = _between(spans, head, int(n) - tail) & _between(spans2, head, int(m) - tail)
-    return min(head + tail + sum((k & 255) * times for k, times in between.items()), longest) / longest if longest else 1.0
+    longest, shortest = max(int(n), int(m)), min(int(n), int(m))
+    x, y = _spans(spans), _spans(spans2)
+    first, last = _ends(x, y)
+    head = max(_agree(heads, heads2), int((x[:first] & 255).sum()))
+    tail = min(max(_agree(tails, tails2), int((x[len(x) - last :] & 255).sum())), shortest - head)
+    between = _between(x, head, int(n) - tail) & _between(y, head, int(m) - tail)
+    return min(head + tail + sum((k & 255) * times for k, times in between.items()), longest) / longest
+
+
+def _spans(text: str) -> np.ndarray:
+    """Hash and length of each span, as one number."""
+    return np.frombuffer(base64.b64decode(text), ">u4").astype(np.int64)
+
+
+def _ends(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """How many spans two texts begin with alike, and how many of the others they end with alike."""
+    a, b = Prefixes(x), Prefixes(y)
+    first = a.common(0, b, 0)
+    return first, min(a.common_before(a.n, b, b.n), min(a.n, b.n) - first)
 
 
-def _between(spans: str, start: int, end: int) -> Counter[int]:
+def _between(spans: np.ndarray, start: int, end: int) -> Counter[int]:
     """How often each span lies between two places of the text."""
-    all_ = np.frombuffer(bytes.fromhex(spans), ">u4")
-    ends = np.cumsum(all_ & 255)
-    return Counter(all_[(ends - (all_ & 255) >= start) & (ends <= end)].tolist())
+    ends = np.cumsum(spans & 255)
+    return Counter(spans[(ends - (spans & 255) >= start) & (ends <= end)].tolist())
 
 
 def edit(text: str, following: str) -> str:
