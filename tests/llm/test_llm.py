@@ -271,6 +271,19 @@ def test_likeness_counts_what_is_common_inside():
 # -- mixing ------------------------------------------------------------------------
 
 
+def test_rows_of_one_key_are_taken_together_or_apart(spark):
+    """Many rows with one (null) id, size and source: their words taken are those given, no row beyond twice."""
+    rows = [(None, f"w{i % 700} x", "s") for i in range(1000)] + [(i, "a b c", "t") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    items = mixing.mix_items(mixing._sizes(df))
+    want = items.where("doc_id is null").agg(F.sum("copies")).first()[0]
+    got = mixing.mix_documents(df).where("doc_id is null").groupBy("text").count().collect()
+    per_text = {f"w{k} x": 2 if k < 300 else 1 for k in range(700)}
+    low, high = want // 1000, -(-want // 1000)
+    assert sum(r["count"] for r in got) == want
+    assert all(low * per_text[r.text] <= r["count"] <= high * per_text[r.text] for r in got)
+
+
 def filled(sizes, share=1.5, most=2.0):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(order)}
@@ -681,6 +694,72 @@ def test_parts_of_messages_are_quoted(spark):
         assert got[i] == ((i - 1, 0) if source is None else (source, 1)), text
 
 
+def test_quotes_by_plain_loops(spark):
+    """Sources, numbers of linked quotes and the passages without a source, from nested loops over random conversations."""
+    rng = random.Random(31)
+    fold = lambda x: " ".join(x.lower().split())
+    rows, convs = [], {}
+    for conv in range(40):
+        pool = [prose(rng, rng.randrange(2, 5)) for _ in range(12)]
+        own = []  # own lines of each message
+        for turn in range(rng.randrange(2, 12)):
+            passages = []  # (level, lines), never two neighbours of a level
+            for _ in range(rng.randrange(0, 3) if turn else 0):
+                lines = rng.choice(own)
+                i = rng.randrange(len(lines))
+                quoted = lines[i : i + rng.randrange(1, 4)]
+                if rng.random() < 0.3:
+                    quoted = [*quoted, prose(rng, 3)]
+                if rng.random() < 0.2:
+                    quoted = [prose(rng, 4)]
+                passages += [(rng.randrange(1, 3), [rng.choice([x, x.upper(), x.replace(" ", "   ")]) for x in quoted]), (0, [rng.choice(pool)])]
+            passages = passages or [(0, rng.choices(pool, k=rng.randrange(1, 6)))]
+            text = "\n".join(rng.choice(["> ", ">"]) * level + x for level, lines in passages for x in lines)
+            own.append([x for level, lines in passages if level == 0 for x in lines])
+            rows.append((conv, turn, "user", text))
+            convs.setdefault(conv, []).append(passages)
+
+    def holder(conv, turn, part):
+        for m in range(turn - 1, -1, -1):
+            lines = [fold(x) for level, ls in convs[conv][m] if level == 0 for x in ls]
+            if any(" ".join(lines[i:j]) == part for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)):
+                return m
+        return None
+
+    want = {}
+    for conv, messages in convs.items():
+        for turn, passages in enumerate(messages):
+            found, unlinked = [], 0
+            for pos, (level, lines) in enumerate(passages):
+                if level:
+                    source = holder(conv, turn, fold(" ".join(lines)))
+                    if source is None:
+                        weight = defaultdict(int)
+                        for part in map(fold, set(lines)):
+                            if (m := holder(conv, turn, part)) is not None:
+                                weight[m] += len(part)
+                        source = max(weight, key=lambda m: (weight[m], m), default=None)
+                    if source is None:
+                        unlinked += 1
+                    else:
+                        found.append((level, -pos, source))
+            want[conv, turn] = (min(found)[2] if found else turn - 1 if turn else None, len(found), unlinked)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = quote_linking.link_conversations(df).collect()
+    assert {(r.conv_id, r.turn): (r.reply_to, r.n_quotes, r.n_unlinked) for r in got} == want
+    assert sum(n for _, n, _ in want.values()) > 50 and sum(u for _, _, u in want.values()) > 5
+
+
+def test_quotes_without_a_source_are_kept_apart(spark):
+    rows = [(1, 0, "user", "First thing said."), (1, 1, "user", "> never said this\n> nor that\nno\n> First thing said.\nyes\n>> nor the other\n>\n"), (1, 2, "user", ">\n> \nonly blanks")]
+    got = quote_linking.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
+    assert [(r.text, r.n_quotes, r.n_unlinked, r.unlinked) for r in got] == [
+        ("First thing said.", 0, 0, None),
+        ("no\nyes", 1, 2, "> never said this\n> nor that\n\n>> nor the other"),
+        ("only blanks", 0, 0, None),
+    ]
+
+
 def test_reply_order_of_deep_conversations(spark):
     n = 5000
     rows = [(None, i, "user", f"message number {i}") for i in range(n)]

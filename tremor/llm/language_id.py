@@ -10,7 +10,7 @@ needs only the product of both matrices: one row of scores per bucket.
 A second part of the sample sets the temperature that calibrates the probabilities and the
 score below which a prediction counts as rejected (column ``rejected``); lang_pred itself
 is ``und`` only for null texts and texts without a letter, with score 0. Without labelled
-rows every prediction is ``und``. Repeated rows and clashing extra columns don't matter:
+rows every prediction is ``und``. A row without an id is neither held out nor learned from. Repeated rows and clashing extra columns don't matter:
 only the id, the text and, in training, the label are read. Texts are taken whole; bytes
 that are no UTF-8 count as U+FFFD.
 """
@@ -205,7 +205,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc_mod(F.col("doc_id"), 4) == 2
     found = few_files(identify(docs, fit(docs.where(~held))))
-    return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 QUERIES = {"op3_language_id": op3_language_id}

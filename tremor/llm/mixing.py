@@ -33,6 +33,8 @@ MOST = 2.0
 BLOCK = 64
 #: Documents of a source, an order of size and a direction whose rounding may be turned.
 CHOICE = 8
+#: Classes by text hash that rows of one id, size and source are numbered in.
+SPLITS = 256
 EPS = 1e-9
 
 
@@ -174,22 +176,34 @@ def _copies(place: Column, copies: str = "copies", rows: str = "rows") -> Column
     return F.floor((F.col(copies) + F.col(rows) - place) / F.col(rows))
 
 
-def _sizes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("size"), "source")
+def _sizes(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("size"), "source", *more)
 
 
 def mix_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
-    """The documents of the mix: each as often as it was given copies, none for 0."""
-    items = mix_items(stage(_sizes(docs), "mix-sizes"), seed, **how)
+    """The documents of the mix: each as often as it was given copies, none for 0.
+
+    Rows of one id, size and source (null ids, say) are numbered by SPLITS classes of their text's
+    hash, then by text, so no task holds all of them; equal texts are alike, whichever goes first.
+    """
+    split = F.pmod(F.xxhash64("text"), F.lit(SPLITS)).cast("int")
+    sizes = stage(_sizes(docs, split.alias("mix_split")), "mix-sizes")
+    items = mix_items(sizes, seed, **how)
 
     def key(d: DataFrame, size: Column) -> Column:
         return F.concat_ws("|", F.coalesce(d["doc_id"].cast("string"), F.lit("~")), size.cast("string"), F.coalesce(F.concat(F.lit("="), d["source"]), F.lit("~")))
 
     given = items.select(key(items, items["size"]).alias("mix_key"), F.col("rows").alias("mix_rows"), F.col("copies").alias("mix_total"))
-    place = F.row_number().over(Window.partitionBy("mix_key").orderBy("text"))
+    # rows in the classes before each: SPLITS numbers a key at most
+    before = Window.partitionBy("mix_key").orderBy("mix_split").rowsBetween(Window.unboundedPreceding, -1)
+    classes = sizes.select(key(sizes, sizes["size"]).alias("mix_key"), "mix_split").groupBy("mix_key", "mix_split").count()
+    classes = classes.withColumn("mix_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    given = stage(classes.join(given, "mix_key"), "mix-given")
+    place = F.col("mix_before") + F.row_number().over(Window.partitionBy("mix_key", "mix_split").orderBy("text"))
     return (
         docs.withColumn("mix_key", key(docs, words(docs["text"])))
-        .join(given, "mix_key")
+        .withColumn("mix_split", split)
+        .join(given, ["mix_key", "mix_split"])
         .withColumn("mix_place", place)
         .withColumn("mix_copies", _copies(F.col("mix_place"), "mix_total", "mix_rows"))
         .where("mix_copies > 0")

@@ -15,7 +15,9 @@ to, before that one's later replies.
 Null texts are empty messages; a message of quotes only keeps its place with empty text.
 Messages that share a turn are ordered by role, then text; rows equal in all of them are
 one message with their number in ``copies``. Null ids and turns are a conversation and a place of their own, null turns
-first. A quote without a source links nothing. Hashes of passages are joined by
+first. A quote without a source links nothing and is not in the text, but it is not lost: such
+passages are counted in ``n_unlinked`` and kept, with their marks, in ``unlinked`` (null for none;
+passages of white space only don't count). Hashes of passages are joined by
 conversation and hash, so a passage that very many conversations share meets only its own
 conversation. Extra columns are not read.
 """
@@ -81,6 +83,17 @@ def _own(lines: Column) -> Column:
     return F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
 
 
+def _unlinked(lines: Column, linked: Column) -> Column:
+    """The quoted passages, with their marks, whose places are not among the linked ones."""
+    kept = F.filter(_passages(lines), lambda x, i: (x["level"] > 0) & (F.trim(x["text"], F.lit(" \t\n")) != "") & ~F.array_contains(linked, i))
+
+    def marked(x: Column) -> Column:
+        marks = F.concat(F.repeat(F.lit(">"), x["level"]), F.lit(" "))
+        return F.array_join(F.transform(F.split(x["text"], "\n"), lambda line: F.concat(marks, line)), "\n")
+
+    return F.transform(kept, marked)
+
+
 def _starts(cuts: Column) -> Column:
     """(pieces, their number, hash of the first) of each cut."""
     return F.transform(cuts, lambda c: F.struct(F.size(c).alias("k"), F.xxhash64(F.trim(F.try_element_at(c, F.lit(1)))).alias("first")))
@@ -120,20 +133,23 @@ def link_quotes(msgs: DataFrame) -> DataFrame:
 
 
 def link_conversations(conversations: DataFrame) -> DataFrame:
-    """One row per message: conv_id, place (in reply order), turn, role, text without quotes, reply_to (a turn), n_quotes, depth, copies."""
+    """One row per message: conv_id, place (in reply order), turn, role, text without quotes, reply_to (a turn), n_quotes, depth, copies, n_unlinked, unlinked."""
     msgs = stage(messages(conversations), "quote-messages")
     links = link_quotes(msgs)
-    target = links.groupBy("conv_id", "mid").agg(F.min(F.struct("level", (-F.col("pos")).alias("pos"), "source"))["source"].alias("source"), F.count(F.lit(1)).alias("n_quotes"))
-    target = target.select(F.col("conv_id").alias("c"), F.col("mid").alias("m"), "source", "n_quotes")
+    target = links.groupBy("conv_id", "mid").agg(F.min(F.struct("level", (-F.col("pos")).alias("pos"), "source"))["source"].alias("source"), F.count(F.lit(1)).alias("n_quotes"), F.collect_set("pos").alias("linked"))
+    target = target.select(F.col("conv_id").alias("c"), F.col("mid").alias("m"), "source", "n_quotes", "linked")
     text = F.trim(_own(F.col("lines")), F.lit("\n "))
     rows = msgs.join(target, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("mid") == F.col("m")), "left")
-    rows = rows.select("conv_id", "mid", "turn", "role", text.alias("text"), F.coalesce("source", F.when(F.col("mid") > 1, F.col("mid") - 1)).alias("parent"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), "copies")
-    rows = stage(rows, "quote-parents")
+    without = F.when(F.col("text").contains(">"), _unlinked(F.col("lines"), F.coalesce("linked", F.expr("cast(array() as array<int>)"))))
+    without = F.when(F.size(without) > 0, without)
+    rows = rows.select("conv_id", "mid", "turn", "role", without.alias("without"), text.alias("text"), F.coalesce("source", F.when(F.col("mid") > 1, F.col("mid") - 1)).alias("parent"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), "copies")
+    without = (F.coalesce(F.size("without"), F.lit(0)).alias("n_unlinked"), F.array_join("without", "\n\n").alias("unlinked"))
+    rows = stage(rows.select(*(c for c in rows.columns if c != "without"), *without), "quote-parents")
     # a conversation whose messages all reply to the one before is in order as it is
     whole = Window.partitionBy("conv_id").orderBy("mid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("branched", F.max(F.coalesce(F.col("parent") != F.col("mid") - 1, F.lit(False))).over(whole))
     plain = rows.where("not branched").withColumn("reply_to", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("mid")))
-    plain = plain.select("conv_id", F.col("mid").alias("place"), "turn", "role", "text", "reply_to", "n_quotes", (F.col("mid") - 1).alias("depth"), "copies")
+    plain = plain.select("conv_id", F.col("mid").alias("place"), "turn", "role", "text", "reply_to", "n_quotes", (F.col("mid") - 1).alias("depth"), "copies", "n_unlinked", "unlinked")
     rows = stage(rows.where("branched").drop("branched"), "quote-branched")
     if rows.isEmpty():
         return plain
@@ -141,7 +157,7 @@ def link_conversations(conversations: DataFrame) -> DataFrame:
     up = rows.select(F.col("conv_id").alias("c2"), F.col("mid").alias("m2"), F.col("turn").alias("reply_to"))
     out = rows.join(places, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("mid") == F.col("m")))
     out = out.join(up, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("parent") == F.col("m2")), "left")
-    return plain.unionByName(out.select("conv_id", "place", "turn", "role", "text", "reply_to", "n_quotes", "depth", "copies"))
+    return plain.unionByName(out.select("conv_id", "place", "turn", "role", "text", "reply_to", "n_quotes", "depth", "copies", "n_unlinked", "unlinked"))
 
 
 def _reply_places(rows: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ through a logistic fit on the sample rows that were not counted.
 Null and empty texts have no segment; the logistic scores them as it does any text without
 one, which is well below the base rate where most labels are clean. Without labels of both
 classes the score is that rate (0 without any label). Repeated rows are scored alike, label
-rows that repeat count repeatedly, null labels are left out, other columns are not read.
+rows that repeat count repeatedly, null labels are left out, other columns are not read. A
+row without an id is neither held out nor learned from.
 Texts are taken whole; bytes that are no UTF-8 count as U+FFFD.
 """
 
@@ -285,7 +286,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
     found = few_files(score_toxicity(docs, model))
-    return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {"op4_toxicity": op4_toxicity}
