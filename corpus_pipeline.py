@@ -43,7 +43,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 0, 1 or 2 times. Texts without words are taken 0 times, or as often as their source's whole part says; a null source is one, the last."""
+    """Each document as often as the mix takes it: 0, 1 or 2 times. A text without words is taken as often as the whole part of its source's share says (0, 1 or 2); a null source is one, the last."""
     return mixing.mix_documents(docs)
 
 
