@@ -121,6 +121,16 @@ def link_naming(t: Tables) -> DataFrame:
     return out.select("src", "dst", "dst_label", F.round(F.col("link_confidence") * 100).cast("int").alias("confidence_pct"))
 
 
+@query(f"""WITH tt AS MATERIALIZED ({_TESTS})
+SELECT tt.id AS src, s.id AS dst, 'Function' AS dst_label, CASE WHEN s.class_name IS NULL THEN 70 ELSE 65 END AS confidence_pct
+FROM tt JOIN symbols s ON s.name = tt.name[6:] WHERE s.file_path <> tt.file_path""")
+def link_naming_dotted(t: Tables) -> DataFrame:
+    """Methods go by Class.method, so tests find them by the last part of their qualified names only."""
+    dotted = F.concat_ws(".", "class_name", "name")
+    out = link.link_by_name(_named_tests(t), t.symbols.withColumn("name", dotted), t.symbol_classes)
+    return out.select("src", "dst", "dst_label", F.round(F.col("link_confidence") * 100).cast("int").alias("confidence_pct"))
+
+
 @query(f"""WITH tt AS ({_TESTS}),
 raw AS (SELECT id, file_path, unnest(list_distinct(list_concat([name[6:]], list_transform(range(2, len(string_split(name, '_')) + 1), lambda i: array_to_string(string_split(name, '_')[i:], '_'))))) AS target FROM tt),
 tg AS (SELECT * FROM raw WHERE contains(target, '_') OR len(target) >= 3),

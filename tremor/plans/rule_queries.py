@@ -365,6 +365,13 @@ def missing_instances(t: Tables) -> DataFrame:
     return logs.instances(rows, t.read("customer").select(F.col("c_custkey").alias("instance_id")))[1]
 
 
+@query("""SELECT o_orderkey AS instance_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def missing_returns(t: Tables) -> DataFrame:
+    """Of all orders as asked instances, those that the set of returned lines lacks."""
+    rows = t.read("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("instance_id"), F.lit("[]").alias("FAIL_TO_PASS"), F.lit("").alias("PASS_TO_PASS"))
+    return logs.instances(rows, t.read("orders").select(F.col("o_orderkey").alias("instance_id")))[1]
+
+
 # -- rules -------------------------------------------------------------------------
 
 
