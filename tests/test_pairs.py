@@ -5,14 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tremor.operators import impact
+from tremor.operators import impact, link, resolve
 
 
 def rows_of(df):
     return sorted(map(tuple, df.collect()))
 
 
-
 @pytest.fixture(scope="module")
 def graph(spark):
     """Tests, links, calls, imports; confidences that tie, and links of confidence 0."""
@@ -63,3 +62,65 @@ def test_candidates_are_not_tests_times_files(spark):
     assert found["transitive"].count() == 400
     best = impact_queries._union(View, "balanced")
     assert best.count() == 400
+
+
+def above_the_join(df):
+    """What the plan does with the pairs after the join that makes them."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(lines) if "Join " in x)
+    return [x for x in lines[:at] if "Aggregate" in x or "Window" in x or "Repartition" in x]
+
+
+def suffixes(name):
+    p = name.split(".")
+    return {".".join(p[i:]) for i in range(1, len(p))}
+
+
+def test_pairs_by_name_stand_once_without_a_shuffle(spark):
+    """calls_resolve_suffix, inherits_by_name: several shared keys, repeated rows, nulls."""
+    rng = random.Random(4)
+    functions = [(i, rng.choice("abc"), ".".join(rng.choice("abc") for _ in range(rng.randrange(1, 5)))) for i in range(40)] + [(40, "a", None), (3, "b", "c.b")]
+    calls = [(rng.randrange(15), rng.choice(["a", "b.c", "c", "a.b.c", "b", "zz", None])) for _ in range(80)]
+    f = spark.createDataFrame(functions, "id long, name string, qualified_name string")
+    c = spark.createDataFrame(calls, "caller long, called string")
+    got = resolve.resolve_calls_by_suffix(c, f)
+    want = {(s, i) for s, k in calls for i, n, q in functions if k is not None and (k == n or (q and k in suffixes(q)))}
+    assert rows_of(got) == sorted(want)
+    assert above_the_join(got) == []
+    bases = spark.createDataFrame([(s, k) for s, k in calls], "child long, base string")
+    got = resolve.resolve_bases_by_name(bases, f)
+    assert rows_of(got) == sorted({(s, i) for s, k in calls for i, n, _ in functions if k == n and s != i})
+    assert above_the_join(got) == []
+
+
+def test_ranked_lookups_match_loops_without_a_shuffle_of_pairs(spark):
+    """calls_resolve_ranked, inherits_resolve: the first rule of a lookup, the best lookup of a pair."""
+    rng = random.Random(5)
+    keys = sorted({(rng.choice(["simple", "symbol"]), rng.choice("abcd"), rng.randrange(12)) for _ in range(50)})
+    lookups = [(rng.randrange(8), seq, [(rng.choice(["simple", "symbol"]), rng.choice(["a", "b", "c", "d", "e", None]), f"m{seq}{j}", rng.choice([0.4, 0.7, 0.9])) for j in range(rng.randrange(1, 5))]) for seq in range(40)]
+    k = spark.createDataFrame(keys, "kind string, key string, id long")
+    rows = spark.createDataFrame(lookups, "src long, seq long, rules array<struct<kind:string,key:string,method:string,confidence:double>>")
+    best = {}
+    for src, seq, rules in lookups:
+        seen = set()
+        for kind, key, method, confidence in rules:
+            ids = {i for x, y, i in keys if (x, y) == (kind, key)}
+            c = min(confidence, 0.5) if len(ids) > 1 else confidence
+            for i in ids - seen - {src}:
+                best[src, i] = max(best.get((src, i), (-1.0, -1, "")), (c, seq, method))
+            seen |= ids
+    got = resolve._ranked(rows, k, 0.5)
+    assert rows_of(got) == sorted((s, d, m, c) for (s, d), (c, _, m) in best.items())
+    assert above_the_join(got) == []
+
+
+def test_links_by_name_are_not_grouped_after_the_join(spark):
+    """link_naming, link_naming_dotted: an exact name before a dotted one, repeated rows, methods of Test classes."""
+    tests = spark.createDataFrame([(1, "test_x", "t.py"), (2, "TestC.test_x", "t.py"), (3, "TestC.test_y", "f.py"), (2, "TestC.test_x", "t.py"), (4, "other", "t.py")], "id long, name string, file_path string")
+    functions = spark.createDataFrame([(10, "x", "m.x", "f.py"), (11, "C.x", "m.C.x", "f.py"), (12, "x", None, "t.py"), (13, "C.y", "y", "g.py"), (14, "x", "m.z", "g.py"), (10, "x", "m.x", "f.py")], "id long, name string, qualified_name string, file_path string")
+    classes = spark.createDataFrame([(20, "C", "f.py"), (21, "C", "g.py"), (21, "C", "g.py")], "id long, name string, file_path string")
+    got = link.link_by_name(tests, functions, classes)
+    named = [(s, d, "Function", c) for s in (1, 2) for d, c in ((10, 0.7), (11, 0.65), (14, 0.7))]
+    want = sorted([*named, (2, 20, "Class", 0.7), (2, 21, "Class", 0.7), (3, 21, "Class", 0.7)])
+    assert rows_of(got.select("src", "dst", "dst_label", "link_confidence")) == want
+    assert above_the_join(got) == []
