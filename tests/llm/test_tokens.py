@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tremor.llm import bpe_codec, tokenizer_alignment
+from tremor.llm import bpe_codec, common, tokenizer_alignment
 
 pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, a string, b string, n long, block string, ids string"
@@ -179,3 +179,24 @@ def test_strings_are_encoded_alike_alone_and_within_texts():
         assert "".join(cut) == " " + text
         assert [i for s in cut for i in pair.a.encode(s, add_special_tokens=False).ids] == pair.a.encode(" " + text, add_special_tokens=False).ids
         assert list(itertools.chain(*pair._encode_b(cut))) == pair.b.encode(text) or not text
+
+
+def test_last_step_gets_bounded_batches(spark, monkeypatch):
+    """Blocks are large rows: however many a task has, a record batch holds no more than its bytes allow."""
+    add_up = tokenizer_alignment._add_up
+
+    def checked(parts):
+        def one(part):
+            if part.num_rows > 1:
+                raise RuntimeError(f"{part.num_rows} blocks in one batch")
+            return part
+
+        return add_up(one(p) for p in parts)
+
+    monkeypatch.setitem(common.STAGING, "spark.sql.execution.arrow.maxBytesPerBatch", "1000")
+    texts = [f"word{i} and other{i} words" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, tokenizer_alignment.align_documents(docs, block=100).collect()))
+    monkeypatch.setattr(tokenizer_alignment, "_add_up", checked)
+    assert sorted(map(tuple, tokenizer_alignment.align_documents(docs, block=100).collect())) == want
+    assert len(want) == 60
