@@ -124,3 +124,33 @@ def test_links_by_name_are_not_grouped_after_the_join(spark):
     want = sorted([*named, (2, 20, "Class", 0.7), (2, 21, "Class", 0.7), (3, 21, "Class", 0.7)])
     assert rows_of(got.select("src", "dst", "dst_label", "link_confidence")) == want
     assert above_the_join(got) == []
+
+
+def test_direct_tests_choose_links_before_orders_come_in(spark, tmp_path, monkeypatch):
+    """impact_direct, impact_line_boost, nodeid_normalise: no walk is run, and lines of other parts meet no order."""
+    from tremor.plans import impact_queries
+
+    spark.range(20).selectExpr("id s_suppkey", "concat('s', id) s_name", "int(id % 3) s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(40).selectExpr("id p_partkey", "'a b' p_name", "int(id % 5 + 1) p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(30).selectExpr("id o_orderkey", "id % 4 o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(120).selectExpr("id % 30 l_orderkey", "id % 40 l_partkey", "double(id % 10) / 100 l_discount").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(6).selectExpr("id event_id", "id user_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(4).selectExpr("id c_custkey", "int(0) c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+
+    def walked(*args, **more):
+        raise AssertionError("a walk was run")
+
+    monkeypatch.setattr(impact, "best_paths", walked)
+    found = {n: impact_queries.QUERIES[n](spark, str(tmp_path)) for n in ("impact_direct", "impact_line_boost", "nodeid_normalise")}
+    links = {}
+    for i in range(120):
+        if i % 40 % 20 % 10 == 0:
+            key = i % 30 % 4, f"src/n{i % 20 % 3}/s{i % 20}.py"
+            links[key] = max(links.get(key, 0), 1 - i % 10 / 100)
+    best = {t: max((c, f) for (u, f), c in links.items() if u == t) for t, _ in links}
+    assert rows_of(found["impact_direct"].select("test_id", "target_file")) == sorted((t, f) for t, (_, f) in best.items())
+    assert found["nodeid_normalise"].count() == len(best) == found["impact_line_boost"].count()
+    for df in found.values():
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        semi = next(i for i, x in enumerate(lines) if "LeftSemi" in x)
+        assert any("o_orderkey" in x or "l_orderkey" in x for x in lines[:semi] if "Join Inner" in x)
