@@ -154,3 +154,29 @@ def test_direct_tests_choose_links_before_orders_come_in(spark, tmp_path, monkey
         lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
         semi = next(i for i, x in enumerate(lines) if "LeftSemi" in x)
         assert any("o_orderkey" in x or "l_orderkey" in x for x in lines[:semi] if "Join Inner" in x)
+
+
+def test_ranges_that_many_tests_ran_meet_functions_once(spark, monkeypatch):
+    """link_overlap: what is joined by lines is the distinct ranges of files, whatever the keys of files and contexts are."""
+    rng = random.Random(6)
+    contexts = [(c, c % 40) for c in range(60)]
+    functions = [(i, i % 3, low, low + rng.choice([-1, 0, 7, 30])) for i in range(40) for low in [rng.randrange(100)]] + [(90, None, 1, 5)]
+    ranges = [(c, c % 3, 40, 55) for c in range(70)] + [(rng.randrange(60), rng.randrange(4), low, low + 15) for low in (10, 80) for _ in range(30)]
+    linked = [(1, 4), (2, 5), (7, 1)]
+    met, pairs = [], link.overlapping_pairs
+
+    def counted(left, *rest):
+        met.append(left.count())
+        return pairs(left, *rest)
+
+    monkeypatch.setattr(link, "overlapping_pairs", counted)
+    got = link.link_coverage_overlap(
+        spark.createDataFrame(contexts, "context long, test_id long"),
+        spark.createDataFrame(functions, "id long, file_path long, start_line int, end_line int"),
+        spark.createDataFrame(ranges, "context long, file_path long, low int, high int"),
+        spark.createDataFrame(linked, "src long, dst long"),
+    )
+    tests = dict(contexts)
+    want = {(tests[c], i) for c, f, a, b in ranges if c in tests for i, g, x, y in functions if f == g and x <= y and x <= b and y >= a}
+    assert rows_of(got.select("src", "dst")) == sorted(want - set(linked))
+    assert met == [len({r[1:] for r in ranges})]
