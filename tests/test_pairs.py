@@ -180,3 +180,23 @@ def test_ranges_that_many_tests_ran_meet_functions_once(spark, monkeypatch):
     want = {(tests[c], i) for c, f, a, b in ranges if c in tests for i, g, x, y in functions if f == g and x <= y and x <= b and y >= a}
     assert rows_of(got.select("src", "dst")) == sorted(want - set(linked))
     assert met == [len({r[1:] for r in ranges})]
+
+
+def test_links_by_tokens_are_scored_once_for_tests_that_ask_alike(spark):
+    """link_naming_tokens: tests come in after the scores, and pairs are not grouped then; repeated ids, names and files."""
+    functions = spark.createDataFrame([(i, f"{'ab'[i % 2]}lpha_{i}", f"m.x{i}", f"tests/n{i % 2}/f.py") for i in range(10)], "id long, name string, qualified_name string, file_path string")
+    rows = [(i, "test_alpha_4", f"tests/n{i % 2}/t{i}.py") for i in range(50)] + [(50, "test_blpha_3", "src/t.py"), (51, None, "src/t.py"), (1, "test_blpha_3", "tests/n1/t.py"), (52, "test_alpha_4", None), (3, "test_alpha_4", "tests/n1/t3.py")]
+    tests = spark.createDataFrame(rows, "id long, name string, file_path string")
+    alone = {}
+    for _, name, path in rows:
+        key = name, path and path.rsplit("/", 1)[0]
+        if key not in alone:
+            one = spark.createDataFrame([(0, name, path)], "id long, name string, file_path string")
+            alone[key] = [(r.dst, r.link_confidence) for r in link.link_by_tokens(one, functions).collect()]
+    best = {}
+    for src, name, path in rows:
+        for dst, c in alone[name, path and path.rsplit("/", 1)[0]]:
+            best[src, dst] = max(best.get((src, dst), 0.0), c)
+    got = link.link_by_tokens(tests, functions)
+    assert len(best) > 200 and rows_of(got) == sorted((s, d, c) for (s, d), c in best.items())
+    assert above_the_join(got) == []
