@@ -200,3 +200,22 @@ def test_links_by_tokens_are_scored_once_for_tests_that_ask_alike(spark):
     got = link.link_by_tokens(tests, functions)
     assert len(best) > 200 and rows_of(got) == sorted((s, d, c) for (s, d), c in best.items())
     assert above_the_join(got) == []
+
+
+def test_best_paths_of_tests_without_the_path(spark, graph, monkeypatch):
+    """impact_transitive_bestpath: the same rows, and the query's walk keeps no path, which it does not return."""
+    from tremor.operators import traverse
+    from tremor.plans import impact_queries
+
+    _, _, links, calls, _, _, seeds = graph
+    kept = traverse.best_path_tests(calls, links, seeds)
+    assert rows_of(traverse.best_path_tests(calls, links, seeds, with_path=False)) == rows_of(kept.drop("path"))
+    asked, walk = [], traverse.best_paths
+    monkeypatch.setattr(traverse, "best_paths", lambda *a, **k: asked.append(k.get("with_path", True)) or walk(*a, **k))
+
+    class View:
+        pass
+
+    View.calls, View.test_links, View.seeds = calls, links, seeds
+    assert impact_queries.impact_transitive_bestpath(View).count() == kept.count()
+    assert asked == [False]
