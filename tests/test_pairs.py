@@ -219,3 +219,35 @@ def test_best_paths_of_tests_without_the_path(spark, graph, monkeypatch):
     View.calls, View.test_links, View.seeds = calls, links, seeds
     assert impact_queries.impact_transitive_bestpath(View).count() == kept.count()
     assert asked == [False]
+
+
+def test_functions_are_not_dealt_out_by_the_test_files_that_import_them(spark):
+    """link_static: what is shuffled are files, imports and tests, not functions times test files; repeated rows, nulls, ids in two files."""
+    rng = random.Random(8)
+    tests = [(i, f"t{i % 40}.py") for i in range(120)] + [(3, "t3.py"), (4, "t9.py"), (121, None)]
+    functions = [(i, f"n{i % 7}", f"f{i % 2}.py") for i in range(200)] + [(5, "n5", "f1.py"), (5, "n6", "f1.py"), (6, None, "f0.py"), (7, "n1", None), (8, "n1", "f9.py")]
+    imports = [(f"t{i % 40}.py", f"f{i % 2 if i < 40 else rng.randrange(3)}.py") for i in range(80)] + [("t1.py", None), (None, "f1.py")]
+    calls = [(rng.randrange(120), f"{rng.choice(['', 'm.', 'self.'])}n{rng.randrange(9)}") for _ in range(150)] + [(1, None)]
+    names = {t: {c.split(".")[-1] for x, c in calls if x == t and c} for t, _ in tests}
+    pairs = {(t, p, d, n, f) for t, p in tests for d, n, f in functions if p and f and (p, f) in imports}
+    want = sorted((t, d, 0.8 if n in names[t] else 0.5) for t, _, d, n, _ in pairs)
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in ((tests, "id long, file_path string"), (imports, "src string, dst string"), (functions, "id long, name string, file_path string"), (calls, "test long, called string"))]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = link.link_by_imports(*frames)
+        assert rows_of(got.select("src", "dst", "link_confidence")) == want
+        assert rows_of(link.link_by_imports(*frames, every=True).select("src", "dst", "link_confidence")) == [(t, d, 0.8) for t, d, _ in want]
+
+        def dealt(plan):
+            own = plan.metrics().get("shuffleRecordsWritten").get().value() if plan.nodeName() == "Exchange" else 0
+            return own + sum(dealt(plan.children().apply(i)) for i in range(plan.children().size()))
+
+        run = got._jdf.queryExecution()
+        run.toRdd().count()
+        rows = dealt(run.executedPlan())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(want) > 10000 and 0 < rows < 1500
