@@ -1,5 +1,6 @@
 """Steps over pairs: what they form before the result, and the result against plain loops."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tremor.operators import impact, link, resolve
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def rows_of(df):
     return sorted(map(tuple, df.collect()))
@@ -251,3 +254,20 @@ def test_functions_are_not_dealt_out_by_the_test_files_that_import_them(spark):
         for k, v in kept.items():
             spark.conf.set(k, v)
     assert len(want) > 10000 and 0 < rows < 1500
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_coverage_of_chosen_files_is_worked_out_once(spark, monkeypatch):
+    """strategy_hybrid: what the changed files cover, and the starts that reach them, are written once and read again."""
+    from tremor.plans import binding, rule_queries
+    from tremor.sources import scratch
+
+    written, write = {}, scratch.staged
+
+    def kept(df, name):
+        written.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(scratch, "staged", kept)
+    rule_queries.strategy_hybrid(binding.Tables(spark, DATA))
+    assert len(written["covered"]) == len(written["best"]) == 1
